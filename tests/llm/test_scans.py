@@ -41,7 +41,7 @@ def test_secret_base_spans(spark, tiny):
         assert [(s.start, s.kind, s.end) for s in r.base_spans] == want, r.doc_id
         assert r.secret_spans == r.base_spans
         n += len(want)
-    assert n > 5
+    assert n >= 5
 
 
 def test_secret_digest_text(spark):
