@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
-from .common import read
+from . import decontaminate, minhash, pii, ppm, quality, secrets, toxicity
+from .common import fold, read, whole
 
 #: Offsets and counts of the base kinds go into a digest that any engine can recompute.
 ORACLE: dict[str, str] = {}
 
 
+def op1_spaced_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.overlaps(docs, read(spark, sf_dir, "benchmark"))
+
+
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    trie = ppm.train(docs.filter(~held_out).select(whole("text").alias("text")))
+    keyed = docs.select("doc_id", held_out.alias("held_out"), F.xxhash64(whole("text")).alias("hash"), "text")
+    scored, base = ppm.score_texts(keyed, trie), ppm.base_scores(docs, ~held_out).withColumnRenamed("doc_id", "key")
+    both = scored.join(base, scored["doc_id"].eqNullSafe(base["key"]) & (scored["hash"] == base["text_hash"]))
+    return both.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.train(docs))
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
+    kind = lambda x: F.get(F.array(*[F.lit(k) for k in pii.KINDS]), x["kind"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(text("base_spans"), 256).alias("base_sha256"), text("pii_spans").alias("spans"))
+
+
 def op4_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = secrets.train(*secrets.labelled_samples(docs))
@@ -34,7 +59,24 @@ def op8_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr", "threshold")
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "class_id")
+
+
+def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = lambda c: fold(c, 4) == 2
+    trained = toxicity.train(docs, labels, ~held_out("doc_id"))
+    out = toxicity.score_toxicity(docs, trained, ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spaced_seed": op1_spaced_seed,
+    "op2_ppm": op2_ppm,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_secret_markov": op4_secret_markov,
+    "op5_dart_minhash": op5_dart_minhash,
     "op8_quality_llr": op8_quality_llr,
+    "op10_toxicity_cnn": op10_toxicity_cnn,
 }
