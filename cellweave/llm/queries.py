@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, pii, ppm, quality, secrets, toxicity
+from . import decontaminate, line_chunks, minhash, mixing, pii, ppm, quality, secrets, sharding, toxicity
 from .common import fold, read, whole
 
 #: Offsets and counts of the base kinds go into a digest that any engine can recompute.
@@ -52,6 +52,37 @@ def op4_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Token weights of the languages.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def op6_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rates, model = mixing.mixture(docs, read(spark, sf_dir, "labels").select("doc_id"), TARGETS)
+    named = [F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rates.select("doc_id", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_"), "n_tokens", *named, "rate").drop("_")
+
+
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.without_repeated_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.md5(F.col("clean").cast("binary"))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_lines", F.length("clean").cast("long").alias("clean_chars"), digest.alias("clean_md5"))
+
+
+ORACLE["op7_line_chunks"] = """
+WITH l AS (SELECT doc_id, i, x, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h FROM (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+r AS (SELECT *, ((coalesce(lag(h, 2) OVER w, 0) * 66049 + coalesce(lag(h, 1) OVER w, 0) * 257 + h) % 2147483647) % 4 = 0 AS ends FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM r),
+c AS (SELECT doc_id, place, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS body FROM p GROUP BY doc_id, place),
+g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, place) > 1 AND n >= 2 AS gone FROM c)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*)::BIGINT AS n_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+  length(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), ''))::BIGINT AS clean_chars,
+  md5(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS clean_md5
+FROM g GROUP BY doc_id
+"""
+
+
 def op8_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
@@ -63,6 +94,13 @@ def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "class_id")
 
 
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    sized = docs.select("doc_id", sharding.text_size(whole("text")).alias("size"), F.crc32(whole("text").cast("binary")).alias("text_crc32"))
+    out = sharding.shards(sized)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = lambda c: fold(c, 4) == 2
@@ -77,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_secret_markov": op4_secret_markov,
     "op5_dart_minhash": op5_dart_minhash,
+    "op6_soft_mixture": op6_soft_mixture,
+    "op7_line_chunks": op7_line_chunks,
     "op8_quality_llr": op8_quality_llr,
+    "op9_sampled_splitters": op9_sampled_splitters,
     "op10_toxicity_cnn": op10_toxicity_cnn,
 }
