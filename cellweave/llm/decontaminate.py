@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import whole
 
-# 8 of 13 words each, chosen so that any two changes miss one mask at least.
+# 8 of 13 words each; every word but the outermost is ignored by one mask at least.
 MASKS = ("1101100110101", "1010111001011", "1110010101011")
 SPAN = len(MASKS[0])
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
