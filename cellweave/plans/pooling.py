@@ -228,9 +228,9 @@ def join_weights(t):  # noqa: ANN001, ANN201
     return out.groupBy("l_linenumber").agg(F.count("*").alias("rows"), F.count("weight").alias("matched"), F.sum("weight").alias("total"))
 
 
-@query("step_intersect", "SELECT step FROM (SELECT 2000 + step_no AS step, dataset AS series FROM <metrics>) GROUP BY step HAVING count(DISTINCT series) = (SELECT count(DISTINCT dataset) FROM <metrics>)")
+@query("step_intersect", "SELECT step FROM (SELECT 2000 + step_no AS step, kind AS series FROM <metrics>) GROUP BY step HAVING count(DISTINCT series) = (SELECT count(DISTINCT kind) FROM <metrics>)")
 def step_intersect(t):  # noqa: ANN001, ANN201
-    return align.step_intersect(t("metrics").select((F.col("step_no") + 2000).alias("step"), F.col("dataset").alias("series")))
+    return align.step_intersect(t("metrics").select((F.col("step_no") + 2000).alias("step"), F.col("kind").alias("series")))
 
 
 FLAGSHIP = filled(stats_sql(f"(SELECT res, num AS v FROM {LEVELS})", "res"))

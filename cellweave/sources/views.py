@@ -39,14 +39,14 @@ FROM (SELECT l_partkey % 4 AS k, CAST(4300050 + 100 * ((l_partkey * 7919 + l_ord
     # a register of units
     "units": """
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 6.0 + CAST(o_orderkey * 13 % 8000 AS DOUBLE) / 1000.0 END AS lon, 47.5 + CAST(o_custkey * 17 % 7000 AS DOUBLE) / 1000.0 AS lat,
-  CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS BIGINT) AS DOUBLE) END AS kw, CAST(o_orderdate AS DATE) AS commissioned,
+  CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS DOUBLE) END AS kw, CAST(o_orderdate AS DATE) AS commissioned,
   CASE o_orderkey % 4 WHEN 0 THEN 35 WHEN 1 THEN 31 WHEN 2 THEN 37 ELSE 38 END AS status,
   CASE WHEN o_orderkey % 8 = 3 THEN CAST('2000-06-15' AS DATE) END AS decommissioned, CASE WHEN o_orderkey % 9 = 0 THEN 889 ELSE 888 END AS lage
 FROM {orders}""",
     # pixels of yearly tiles with a quality layer
     "pixels": """
-SELECT extract(year FROM l_shipdate) AS step, CASE WHEN l_suppkey % 2 = 0 THEN 'h18v03' ELSE 'h18v04' END AS tile, (l_orderkey * 7 + l_partkey) % 2400 AS r, (l_partkey * 5 + l_suppkey * 3) % 2400 AS c,
-  CASE WHEN l_orderkey % 11 = 0 THEN -999 ELSE CAST(l_extendedprice AS BIGINT) END AS raw, l_linenumber % 4 AS quality
+SELECT CAST(extract(year FROM l_shipdate) AS BIGINT) AS step, CASE WHEN l_suppkey % 2 = 0 THEN 'h18v03' ELSE 'h18v04' END AS tile, (l_orderkey * 7 + l_partkey) % 2400 AS r, (l_partkey * 5 + l_suppkey * 3) % 2400 AS c,
+  CASE WHEN l_orderkey % 11 = 0 THEN -999 ELSE CAST(floor(l_extendedprice) AS BIGINT) END AS raw, l_linenumber % 4 AS quality
 FROM {lineitem}""",
     # pixels of a forest raster, each place once
     "forest_pixels": """
@@ -63,21 +63,21 @@ SELECT n_nationkey AS ord, n_name AS name, 1 + n_nationkey % 3 AS tier, 10.0 + C
 FROM {nation}""",
     # points near the places
     "points": """
-SELECT o_orderkey AS id, 10.0 + CAST(o_orderkey * 13 % 3000 AS DOUBLE) / 2000.0 AS lon, 50.0 + CAST(o_custkey * 17 % 3000 AS DOUBLE) / 2000.0 AS lat, CAST(CAST(o_totalprice AS BIGINT) % 100000 AS DOUBLE) AS height
+SELECT o_orderkey AS id, 10.0 + CAST(o_orderkey * 13 % 3000 AS DOUBLE) / 2000.0 AS lon, 50.0 + CAST(o_custkey * 17 % 3000 AS DOUBLE) / 2000.0 AS lat, CAST(CAST(floor(o_totalprice) AS BIGINT) % 100000 AS DOUBLE) AS height
 FROM {orders}""",
     # a catalog of metrics by dataset, and modes that read them
     "metrics": """
-SELECT DISTINCT concat('ds', CAST(n_regionkey AS STRING)) AS dataset, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'height_' ELSE 'colour_' END, CAST(2000 + n_nationkey % 8 AS STRING)) AS metric, n_nationkey % 8 AS step_no
+SELECT DISTINCT concat('ds', CAST(n_regionkey AS STRING)) AS dataset, concat(CASE WHEN n_nationkey % 3 = 0 THEN 'height_' ELSE 'colour_' END, CAST(2000 + n_nationkey % 4 AS STRING)) AS metric, CASE WHEN n_nationkey % 3 = 0 THEN 'height' ELSE 'colour' END AS kind, n_nationkey % 4 AS step_no
 FROM {nation}""",
     # events as successive runs that describe metrics of datasets
     "runs": """
 SELECT event_id AS run, concat('ds', CAST(user_id % 6 AS STRING)) AS dataset, concat('m', CAST(event_id % 4 AS STRING)) AS metric, CAST(6 + event_id % 4 AS BIGINT) AS res,
-  concat('label ', event_type) AS label, CAST(CAST(value AS BIGINT) AS DOUBLE) AS top, concat('2024-01-', CASE WHEN extract(day FROM ts) < 10 THEN '0' ELSE '' END, CAST(extract(day FROM ts) AS STRING)) AS reference_date
+  concat('label ', event_type) AS label, CAST(CAST(floor(value) AS BIGINT) AS DOUBLE) AS top, concat('2024-01-', CASE WHEN extract(day FROM ts) < 10 THEN '0' ELSE '' END, CAST(extract(day FROM ts) AS STRING)) AS reference_date
 FROM {events}""",
     # files of a download folder
     "files": """
 SELECT event_id AS id, concat('VNP46A4.A', CAST(2012 + event_id % 5 AS STRING), '001.h', CAST(18 + user_id % 2 AS STRING), 'v0', CAST(3 + event_id % 2 AS STRING), '.', CAST(100000 + event_id * 7919 % 99991 AS STRING), CASE WHEN event_id % 6 = 0 THEN '.xml' ELSE '.h5' END) AS name,
-  CAST(CAST(value AS BIGINT) AS BIGINT) AS size, CAST(event_id * 1000 AS BIGINT) AS mtime, concat('level', CAST(user_id % 4 AS STRING)) AS folder, props
+  CAST(floor(value) AS BIGINT) AS size, CAST(event_id * 1000 AS BIGINT) AS mtime, concat('level', CAST(user_id % 4 AS STRING)) AS folder, props
 FROM {events}""",
 }
 
