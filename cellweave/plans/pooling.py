@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellweave.functions import cells, values
 from cellweave.operators import align, pool, stats
 from cellweave.operators.pool import MetricSpec
-from cellweave.plans.registry import cell_sql, centre_sql, filled, parent_sql, query
+from cellweave.plans.registry import cell_sql, parent_sql, query
 
 RES, UP = 9, [8, 7]
 SUM, MEAN = MetricSpec("sum", value="v"), MetricSpec("mean", value="v")
@@ -233,12 +233,8 @@ def step_intersect(t):  # noqa: ANN001, ANN201
     return align.step_intersect(t("metrics").select((F.col("step_no") + 2000).alias("step"), F.col("kind").alias("series")))
 
 
-FLAGSHIP = filled(stats_sql(f"(SELECT res, num AS v FROM {LEVELS})", "res"))
-
-
-def people(t) -> DataFrame:  # noqa: ANN001
-    """Population per cell at three resolutions with statistics: parse, locate, pool, roll up, align."""
-    rows = t("grid_rows").select(values.parse_grid_id(F.col("grid_id")).alias("g"), values.parse_value(F.col("value_text"), ("-1",)).alias("v"))
+def people_rows(t) -> DataFrame:  # noqa: ANN001
+    """cell, v, w of the published rows: parsed, placed, ids checked."""
+    rows = t("grid_rows").select(values.parse_grid_id(F.col("grid_id")).alias("g"), values.parse_value(F.col("value_text"), ("-1",)).alias("v"), values.parse_value(F.col("weight_text")).alias("w"))
     x, y = values.grid_centroid(F.col("g"))
-    rows = cells.with_cell(rows.select("v", x.alias("x"), y.alias("y")), "x", "y", RES)
-    return pool.rollup(pool.pool(rows, SUM, ["cell"]), RES, UP)
+    return cells.with_cell(rows.select("v", "w", x.alias("x"), y.alias("y")), "x", "y", RES)
