@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant_array, stored, whole, words
+from .common import constant_array, free_name, stored, whole, words
 
 MAX_DOMAINS = 16
 
@@ -104,6 +104,7 @@ def mixture(
 ) -> tuple[DataFrame, Classifier]:  # noqa: ANN003
     """Memberships and rates of all documents; the classifier learns from the labelled keys with the smallest hashes."""
     few = labelled_keys.select(F.col(key).alias("_k")).filter("_k is not null").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_labelled)
+    docs = docs.select(key, text, domain)
     labelled = docs.join(F.broadcast(few), F.col(key) == F.col("_k"), "left_semi")
     model = train(labelled, domain, text)
     members = stored(memberships(docs, model, key, text))
@@ -112,9 +113,10 @@ def mixture(
 
 def repeated(docs: DataFrame, rates: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row as often as its rate says: the whole part, and once more by a hash for the rest."""
-    r = rates.select(F.col(key).alias("_k"), F.col("text_hash").alias("_h"), F.col("rate").alias("_rate"))
-    rows = docs.withColumn("_t", F.xxhash64(whole(text)))
-    rows = rows.join(r, rows[key].eqNullSafe(r["_k"]) & (rows["_t"] == r["_h"]))
-    u = F.pmod(F.xxhash64("_k", "_h", F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.floor(F.col("_rate") + u).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)
+    k, h, rate, t, copy = (free_name(docs, c) for c in ("_k", "_h", "_rate", "_t", "_copy"))
+    r = rates.select(F.col(key).alias(k), F.col("text_hash").alias(h), F.col("rate").alias(rate))
+    rows = docs.withColumn(t, F.xxhash64(whole(text)))
+    rows = rows.join(r, rows[key].eqNullSafe(r[k]) & (rows[t] == r[h]))
+    u = F.pmod(F.xxhash64(k, h, F.lit(6)), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(F.col(rate) + u).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(docs.columns)

@@ -250,7 +250,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 
 def find_pii(docs: DataFrame, field: Field, text: str = "text", certain: float = 0.9) -> DataFrame:
     """Adds base_spans and pii_spans to the columns besides the text: arrays of (start, kind, end)."""
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "base_spans", "pii_spans", "_text")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     span = "array<struct<start: bigint, kind: int, end: bigint>>"
     return docs.select(*keep, whole(text).alias("_text")).mapInArrow(finder(field, certain), f"{kinds}, base_spans {span}, pii_spans {span}")

@@ -101,12 +101,12 @@ def shards(
     begin = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{r} int, {names[0]} long, {names[1]} long"))
     inside = F.expr(f"row_number() over (partition by {r} order by {k}, {tie})")
     before = F.expr(f"sum({size}) over (partition by {r} order by {k}, {tie} rows unbounded preceding)") - F.col(size)
-    lined = placed.withColumn("_i", inside).withColumn("_b", before).join(begin, r)
-    byte, row = F.col(names[0]) + F.col("_b"), F.col(names[1]) + F.col("_i") - 1
-    shard = F.least(F.lit(n_shards - 1), F.expr(f"({names[0]} + _b) * {n_shards} div {total}")).cast("int")
-    lined = lined.withColumn("shard", shard).withColumn("_at", row.cast("long"))
-    first = F.broadcast(lined.groupBy("shard").agg(F.min("_at").alias("_first")))
-    out = lined.join(first, "shard").withColumn("slot", F.col("_at") - F.col("_first"))
+    i, b, at, head = (free_name(records, x) for x in ("_i", "_b", "_at", "_first"))
+    lined = placed.withColumn(i, inside).withColumn(b, before).join(begin, r)
+    shard = F.least(F.lit(n_shards - 1), F.expr(f"({names[0]} + {b}) * {n_shards} div {total}")).cast("int")
+    lined = lined.withColumn("shard", shard).withColumn(at, (F.col(names[1]) + F.col(i) - 1).cast("long"))
+    first = F.broadcast(lined.groupBy("shard").agg(F.min(at).alias(head)))
+    out = lined.join(first, "shard").withColumn("slot", F.col(at) - F.col(head))
     return out.select(*records.columns, "shard", "slot")
 
 

@@ -21,7 +21,10 @@ GROWTH = 1.2
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's threshold; learned from the labels that op10 learns from."""
     trained = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
-    return toxicity.score_toxicity(docs, trained, docs.columns).filter("not flagged").select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    text, lang = (names[docs.columns.index(c)] for c in ("text", "lang"))
+    scored = toxicity.score_toxicity(docs.toDF(*names), trained, names, text, lang)
+    return scored.filter("not flagged").select(names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
