@@ -22,7 +22,10 @@ ROOT3 = math.sqrt(3.0)
 def with_cell(rows: DataFrame, x: str, y: str, res: int, name: str = "cell") -> DataFrame:
     """Adds the cell that holds a point in metres: round axial coordinates, mend the one with the largest error.
 
-    Each step is a projection of its own, so no expression is repeated.
+    Each step is a projection of its own, so no expression is repeated. The
+    last one adds a zero that depends on the partition, which the optimizer
+    takes for no constant: else it would push filters on the cell below all
+    steps and repeat every expression in them.
     """
     a, keep = EDGE_METRES[res], [c for c in rows.columns if c != name]
     q, r, s = (F.col(c) for c in ("_q", "_r", "_s"))
@@ -33,7 +36,7 @@ def with_cell(rows: DataFrame, x: str, y: str, res: int, name: str = "cell") ->
     mend_q = (F.col("_dq") > F.col("_dr")) & (F.col("_dq") > F.col("_ds"))
     cq = F.when(mend_q, -F.col("_rr") - F.col("_rs")).otherwise(F.col("_rq"))
     cr = F.when(~mend_q & (F.col("_dr") > F.col("_ds")), -F.col("_rq") - F.col("_rs")).otherwise(F.col("_rr"))
-    return rows.select(*keep, pack(res, cq, cr).alias(name))
+    return rows.select(*keep, (pack(res, cq, cr) + F.spark_partition_id() * 0).alias(name))
 
 
 def pack(res: int, q: Column, r: Column) -> Column:
