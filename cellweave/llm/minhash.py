@@ -11,8 +11,11 @@ what the classes use, that is the Jaccard similarity of the sets.
 Texts that agree in a band of coordinates are candidates. The classes are the
 connected components of the pairs whose exact similarity is at least
 ``least``. First each text is compared with the best few of its buckets'
-centres; then every pair of a bucket that is still in two classes is compared
-too, so the first step drops no link. Pairs inside one class need no check.
+centres, the members that meet most others; then the centre of every class in
+a bucket with the centre of the largest class there; at last every pair of a
+bucket that is still in two classes, so the first steps drop no link; bitmaps
+of their runs rule out most of those pairs, and only pairs that can't have the
+similarity. Pairs inside one class need no check.
 
 Equal texts form one node throughout. A null or wordless text and a row
 without key are classes of their own. Repeated rows get equal classes.
@@ -27,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole
+from .common import free_name, stored, whole
 from .components import connected
 from .tokens import Words, mix
 
-SHINGLE, BANDS, ROWS = 5, 32, 4
-COORDINATES = BANDS * ROWS
-STEPS = np.cumprod(np.full(SHINGLE, 0xC2B2AE3D27D4EB4F, np.uint64))
+SHINGLE, COORDINATES, ROWS = 5, 128, 6
+#: Longs of the bitmap of a text's runs.
+BITMAP = 32
+STEPS = np.cumprod(np.full(ROWS, 0xC2B2AE3D27D4EB4F, np.uint64))
+#: The coordinates of each band: two partitions of all coordinates, in order and shuffled.
+BANDS = np.concatenate([p[: COORDINATES // ROWS * ROWS].reshape(-1, ROWS) for p in (np.arange(COORDINATES), np.random.default_rng(1).permutation(COORDINATES))])
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -123,15 +129,28 @@ def weighted_signatures(column: pa.Array, presence: bool = True, k: int = COORDI
     return signatures(e, t, np.ones(len(e)) if presence else c.astype(float), n, k), np.bincount(t, minlength=n)
 
 
+def bitmaps(elements: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """n x BITMAP longs: one bit for each run of a text."""
+    bit = (elements >> np.uint64(20)) % np.uint64(64 * BITMAP)
+    out = np.zeros(n * BITMAP, np.uint64)
+    np.bitwise_or.at(out, texts * BITMAP + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(n, BITMAP)
+
+
+def lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), rows.reshape(-1).view(np.int64))
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for at in range(0, big.num_rows, 256):
             b = big.slice(at, 256)
-            sig, n = weighted_signatures(b.column("text"))
-            bands = mix((sig.reshape(-1, BANDS, ROWS) * STEPS[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+            e, t, _ = distinct_counts(*shingles(Words(b.column("text"))), b.num_rows)
+            sig, n = signatures(e, t, np.ones(len(e)), b.num_rows), np.bincount(t, minlength=b.num_rows)
+            bands = mix((sig[:, BANDS] * STEPS).sum(axis=2, dtype=np.uint64) + np.arange(len(BANDS), dtype=np.uint64))
             short = [x.tobytes() for x in (sig & np.uint64(0xFFFF)).astype("<u2")]
-            lists = pa.ListArray.from_arrays(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32), bands.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("md5"), pa.array(n.astype(np.int64)), pa.array(short, pa.binary()), lists], ["key", "md5", "n", "sig", "bands"])
+            rows = [b.column("key"), b.column("md5"), pa.array(n.astype(np.int64)), pa.array(short, pa.binary()), lists(bands), lists(bitmaps(e, t, len(n)))]
+            yield pa.RecordBatch.from_arrays(rows, ["key", "md5", "n", "sig", "bands", "bits"])
 
 
 def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +187,31 @@ def links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long, jaccard double").filter(F.col("jaccard") >= least)
 
 
+def can_reach(least: float) -> Column:
+    """Whether two sets of nx and n runs with bitmaps a and b can have the similarity, which no pair that has it fails.
+
+    A bit of one bitmap that the other lacks is a run that the other text lacks.
+    """
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(f"{y}0"))))
+    shared = F.least(F.col("nx") - only("a", "b"), F.col("n") - only("b", "a"))
+    return shared + 1e-9 >= (F.col("nx") + F.col("n") - shared) * least
+
+
+def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").distinct()
+
+
+def mixed_buckets(entries: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the buckets with several classes, with their labels; each such bucket's largest class and its centre."""
+    named = entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = named.groupBy("band", "label").agg(F.count("*").alias("m"), F.max_by("node", F.struct("met", "node")).alias("centre"))
+    largest = F.max_by(F.struct("label", "centre"), F.struct("m", "label"))
+    main = by_label.groupBy("band").agg(F.count("*").alias("labels"), largest.alias("l")).filter("labels > 1")
+    main = main.select("band", F.col("l.label").alias("main"), F.col("l.centre").alias("centre"))
+    mixed = stored(named.join(main.select("band"), "band"))
+    return mixed, main
+
+
 def text_digest(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
@@ -180,39 +224,44 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), text_digest(whole(text)).alias("md5"), whole(text).alias("text"))
-    signed = stored(rows.mapInArrow(sign, "key long, md5 string, n long, sig binary, bands array<long>"))
+    signed = stored(rows.mapInArrow(sign, "key long, md5 string, n long, sig binary, bands array<long>, bits array<long>"))
     full = signed.filter("n > 0 and key is not null")
-    nodes = full.groupBy("md5").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = full.groupBy("md5").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("i", "h")).select("node", "n", F.xxhash64("i", "h").alias("band"))
-    pick = F.expr("min_by(node, xxhash64(node, band))")
-    heads = entries.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("a"), pick.alias("b")).filter("m > 1")
-    entries = stored(entries.join(heads.select("band", "a", "b"), "band"))  # only buckets of two or more
-    stars = entries.select("node", F.explode(F.array("a", "b")).alias("v")).filter("node <> v")
-    stars = stars.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
-    close = close_pairs(stars, nodes, least - margin)
+    entries = nodes.select("node", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("band"))
+    sizes = entries.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
+    entries = stored(entries.join(sizes, "band"))  # only buckets of two or more
+    met = entries.groupBy("node").agg(F.sum("m").alias("met"))
+    entries = stored(entries.join(met, "node").select("node", "band", "met"))
+    texts = stored(candidate_texts(rows, nodes, met.select("node")))
+
+    central = F.max_by("node", F.struct("met", "node"))
+    heads = entries.groupBy("band").agg(F.min("node").alias("a"), central.alias("b"))
+    stars = entries.join(heads, "band").select("node", F.explode(F.array("a", "b")).alias("v")).filter("node <> v")
+    close = close_pairs(ordered(stars, "node", "v"), nodes, least - margin)
     best = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("close", "v")), False), 1, centres).alias("x"))
-    first = stored(best.select("u", F.explode("x.v").alias("v")))
+    tried = stored(best.select("u", F.explode("x.v").alias("v")))
+    found = stored(links(tried, texts, least).select("u", "v"))
+    label = stored(connected(found))
 
-    texts = stored(candidate_texts(rows, nodes, entries.select("node").distinct()))
-    found = stored(links(first, texts, least).select("u", "v"))
+    mixed, main = mixed_buckets(entries, label)
+    some = mixed.groupBy("band", "label").agg(central.alias("x")).join(main, "band")
+    pairs = ordered(some.filter("label <> main"), "x", "centre")
+    more = stored(close_pairs(pairs, nodes, least - margin).select("u", "v").join(tried, ["u", "v"], "left_anti"))
+    found, tried = stored(found.union(links(more, texts, least).select("u", "v"))), tried.union(more)
     label = stored(connected(found))
-    # pairs of a bucket whose ends are still in two classes
-    named = entries.select("node", "n", "band").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    inside = named.groupBy("band", "label").agg(F.count("*").alias("m"))
-    mixed = inside.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("m", "label")).alias("main")).filter("labels > 1")
-    named = stored(named.join(mixed.select("band", "main"), "band"))
-    minor = named.filter("label <> main").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+
+    mixed, main = mixed_buckets(entries, label)
+    bits = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]
+    mixed = mixed.join(main, "band").join(nodes.select("node", "n", *bits), "node")
+    minor = mixed.filter("label <> main").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), *[F.col(f"b{i}").alias(f"a{i}") for i in range(BITMAP)])
     # each pair once: two minor ends by order, a minor and a main end as they come
     cross = (F.col("lx") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("x") < F.col("node")))
-    sizes = F.least("nx", "n") >= least * F.greatest("nx", "n")
-    rest = minor.join(named, (minor["band"] == named["band"]) & cross & sizes)
-    rest = rest.select(F.greatest("x", "node").alias("u"), F.least("x", "node").alias("v")).distinct()
-    rest = stored(close_pairs(rest, nodes, least - margin).join(first, ["u", "v"], "left_anti").select("u", "v"))
+    rest = minor.join(mixed, (minor["band"] == mixed["band"]) & cross & can_reach(least))
+    rest = stored(ordered(rest, "x", "node").join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
-        more = links(rest, texts, least).select("u", "v")
-        label = stored(connected(stored(found.union(more))))
+        label = stored(connected(stored(found.union(links(rest, texts, least).select("u", "v")))))
 
     grouped = nodes.select("md5", "node", "key").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_key = grouped.groupBy("label").agg(F.min("key").alias("class_id"))
@@ -230,7 +279,8 @@ def candidate_texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> Dat
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stand for their class: the smallest key's, once. Rows without key stay."""
-    kept = near_classes(docs, key, text, least).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("_k"), F.col("md5").alias("_d")).distinct()
+    k, d = free_name(docs, "_k"), free_name(docs, "_d")
+    kept = near_classes(docs, key, text, least).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(k), F.col("md5").alias(d)).distinct()
     has = docs.filter(F.col(key).isNotNull())
-    same = (has[key] == F.col("_k")) & (text_digest(whole(has[text])) == F.col("_d"))
+    same = (has[key] == F.col(k)) & (text_digest(whole(has[text])) == F.col(d))
     return has.join(kept, same, "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
