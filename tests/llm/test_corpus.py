@@ -109,6 +109,29 @@ def test_masks_ignore_every_inner_word():
     assert {m.count("1") for m in decontaminate.MASKS} == {8}
 
 
+def test_overlaps_find_every_fifth_changed(spark):
+    rows, items, want, k = [], [], set(), 0
+    for n in (3, 5, 6, 9, 10, 12, 13, 14, 15, 16, 19, 20, 38):
+        for edits in range(min(4, n // 5) + 2):
+            for _ in range(6):
+                item = text(n)
+                items.append((k, item))
+                w, head = item.split(), n if n <= 20 else 20  # a run of 20 words of a longer item
+                at = RNG.randrange(n - head + 1)
+                for i in RNG.sample(range(at, at + head), edits):
+                    w[i] = "changed%d" % i
+                w[:at] = ["before"] * at
+                w[at + head :] = ["after"] * (n - at - head)
+                rows.append((k, text(RNG.randrange(9)) + " " + " ".join(w) + " " + text(RNG.randrange(9))))
+                if edits <= head // 5:
+                    want.add((k, k))
+                k += 1
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (500_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench, max_broadcast=limit).collect()}
+        assert {x for x in got if x[0] == x[1]} == want
+
+
 def test_mixture_meets_targets(spark):
     words = {"x": "red green blue", "y": "one two three"}
     rows = [(i, " ".join(random.Random(i).choice(words["x" if i % 4 else "y"].split()) for _ in range(20 + i % 7)), "x" if i % 4 else "y") for i in range(200)]
