@@ -9,8 +9,10 @@ the shrunk log-odds of their words in the sample, then everything is trained
 by Adagrad on the sample.
 
 Training takes at most ``max_per_class`` labelled rows of each class, those
-with the smallest key hashes; a fifth of them only calibrates a threshold for
-each language. Scoring covers every whole text. Nulls count as empty texts,
+with the smallest key hashes, but for a fifth of them. All labelled rows it was
+not fitted on, however many, are then scored and counted by language, score
+and class; from these counts, each class weighted to its share among all
+labels, comes a threshold for each language. Scoring covers every whole text. Nulls count as empty texts,
 whose score is the model's bias; without samples of both classes the score is
 the share of toxic labels (0 without any). Repeated rows get equal scores.
 """
@@ -31,6 +33,7 @@ from .tokens import ALNUM, Words
 PREFIX, DIM, WIDTHS, FILTERS = 4, 8, (1, 2, 3), 8
 WORD_BITS, PREFIX_BITS = 18, 16
 DEFAULT_THRESHOLD = 0.3
+GRID = np.arange(20, 81) / 100
 
 
 class Model(NamedTuple):
@@ -163,7 +166,7 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, z = (i.astype(np.int64) for i in slots(w.hashes, w.prefixes[0]))
         packed = x | y << WORD_BITS | z << 2 * WORD_BITS
         parts = [packed[i:j].tobytes() for i, j in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("lang"), b.column("part"), pa.array(parts, pa.binary())], ["toxic", "lang", "part", "words"])
+        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(parts, pa.binary())], ["toxic", "words"])
 
 
 def unpacked(words: pa.ChunkedArray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
@@ -183,14 +186,41 @@ class Trained(NamedTuple):
     thresholds: dict[str, float]
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """Of 0.2 to 0.8, the one with the best F1; the default where the sample has fewer than 10 of a class."""
-    if min(y.sum(), len(y) - y.sum()) < 10:
+def best_threshold(toxic: np.ndarray, clean: np.ndarray, weights: tuple[float, float]) -> float:
+    """Of ``GRID``, the one with the best F1, from counts of rows by the number of thresholds they reach; the default with fewer than 10 of a class."""
+    if min(toxic.sum(), clean.sum()) < 10:
         return DEFAULT_THRESHOLD
-    grid = np.arange(20, 81) / 100
-    f1 = [2 * (y * (score >= g)).sum() / max(1, (score >= g).sum() + y.sum()) for g in grid]
-    best = np.flatnonzero(np.array(f1) == max(f1))
-    return float(grid[best[len(best) // 2]])
+    hit, wrong = (w * c[::-1].cumsum()[::-1][1:] for w, c in zip(weights, (toxic, clean), strict=True))
+    f1 = 2 * hit / np.maximum(1e-9, hit + wrong + weights[0] * toxic.sum())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    return float(GRID[best[len(best) // 2]])
+
+
+def reached(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many thresholds of ``GRID`` each text's score reaches."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 256):
+                b = big.slice(at, 256)
+                w = Words(b.column("text"), ALNUM, (PREFIX,))
+                s = scores(model, slots(w.hashes, w.prefixes[0]), w.bounds)
+                yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("lang"), pa.array(np.searchsorted(GRID, s, side="right").astype(np.int32))], ["_k", "lang", "reached"])
+
+    return count
+
+
+def calibrated(model: Model, rows: DataFrame, marks: DataFrame, totals: dict[int, int]) -> dict[str, float]:
+    """Thresholds by language from the rows whose keys ``marks`` names; only keys and counts are shuffled."""
+    kind = rows.schema["_k"].dataType.simpleString()
+    met = rows.mapInArrow(reached(model), f"_k {kind}, lang string, reached int").join(marks.select("_k", (F.col("toxic") > 0).cast("int").alias("toxic")), "_k")
+    met = met.groupBy("_k").agg(F.min(F.struct("lang", "reached", "toxic")).alias("x"))  # one row of a repeated key
+    counts: dict[str, np.ndarray] = {}
+    for r in met.groupBy("x").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["x"]["lang"], np.zeros((2, len(GRID) + 1)))[r["x"]["toxic"], r["x"]["reached"]] = r["n"]
+    seen = sum(counts.values(), np.zeros((2, len(GRID) + 1))).sum(axis=1)
+    weights = tuple(totals[c] / max(1.0, seen[c]) for c in (1, 0))
+    return {x: best_threshold(c[1], c[0], weights) for x, c in counts.items()}
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", max_per_class: int = 3000) -> Trained:
@@ -201,23 +231,19 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     if len(totals) < 2:
         return Trained(None, totals.get(1, 0) / max(1, n), {})
     pick = [marks.filter(c).orderBy(F.xxhash64("_k"), "_k").limit(max_per_class) for c in ("toxic > 0", "toxic <= 0")]
-    few = F.broadcast(pick[0].unionByName(pick[1]))
-    rows = docs.select(F.col(key).alias("_k"), whole(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
-    rows = rows.join(few, "_k").dropDuplicates(["_k"])
-    rows = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "lang", F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(5)).cast("int").alias("part"), "text", "_k")
-    rows = rows.mapInArrow(hashed, "toxic int, lang string, part int, words binary")
-    got = rows.toArrow()
+    part = F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(5)).cast("int")
+    few = F.broadcast(pick[0].unionByName(pick[1]).filter(part > 0))
+    docs = docs.select(F.col(key).cast(labels.schema[key].dataType).alias("_k"), whole(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    rows = docs.join(few, "_k").dropDuplicates(["_k"])
+    got = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(hashed, "toxic int, words binary").toArrow()
     got = got.take(pa.array(np.argsort([hash_bytes(x.as_buffer()) for x in got["words"]], kind="stable")))
-    y, part = got["toxic"].to_numpy().astype(float), got["part"].to_numpy()
-    if len(set(y[part > 0])) < 2:
+    y = got["toxic"].to_numpy().astype(float)
+    if len(set(y)) < 2:
         return Trained(None, totals[1] / n, {})
-    weight = np.where(y > 0, totals[1] / max(1, y.sum()), totals[0] / max(1, (1 - y).sum()))
-    model = fit(*unpacked(got["words"].filter(pa.array(part > 0))), y[part > 0], weight[part > 0])
-    apart = got.filter(pa.array(part == 0))
-    parts = [unpacked(apart["words"].slice(at, 128)) for at in range(0, len(apart), 128)]
-    score, langs, y = np.concatenate([scores(model, *p) for p in parts] or [np.zeros(0)]), np.array(apart["lang"].to_pylist()), y[part == 0]
-    thresholds = {str(x): best_threshold(score[langs == x], y[langs == x]) for x in np.unique(langs)}
-    return Trained(model, totals[1] / n, thresholds)
+    weight = np.where(y > 0, *[totals[c] / min(totals[c], max_per_class) for c in (1, 0)])
+    model = fit(*unpacked(got["words"]), y, weight)
+    left = marks.join(few.select("_k"), "_k", "left_anti")
+    return Trained(model, totals[1] / n, calibrated(model, docs.filter(F.col("_k").isNotNull()), left, totals))
 
 
 def hash_bytes(x: pa.Buffer | None) -> int:

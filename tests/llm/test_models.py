@@ -172,3 +172,29 @@ def test_toxicity_without_samples(spark):
     assert [r.score for r in toxicity.score_toxicity(docs, none, ["doc_id"]).collect()] == [0, 0, 0]
     one = toxicity.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), F.lit(True))
     assert {r.score for r in toxicity.score_toxicity(docs, one, ["doc_id"]).collect()} == {1.0}
+
+
+def test_toxicity_thresholds_from_all_rows_not_fitted(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):  # one telling word: of the texts with mark k, k tenths are toxic
+        k = int(rng.choice(10, p=np.arange(10, 0, -1) ** 2 / 385))
+        rows.append((i, " ".join(["mark%d" % k * 3, *("w%d" % j for j in rng.integers(0, 5, 3))]), "en", int(rng.random() < k / 10)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = table.select("doc_id", "toxic")
+    trained = toxicity.train(table.drop("toxic"), labels, F.lit(True), max_per_class=200)
+    got = toxicity.score_toxicity(table, trained, ["doc_id", "toxic"]).collect()
+    picked = {r.doc_id for c in (0, 1) for r in labels.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(200).collect()}
+    part = {r.doc_id: r.p for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)).alias("p")).collect()}
+    left = [r for r in got if r.doc_id not in picked or part[r.doc_id] == 0]
+    sizes = {c: sum(r.toxic == c for r in left) for c in (0, 1)}
+    total = {c: sum(r[3] == c for r in rows) for c in (0, 1)}
+    weight = {c: total[c] / sizes[c] for c in (0, 1)}
+
+    def f1(g):
+        hit, wrong = (sum(weight[r.toxic] for r in left if r.toxic == c and r.score >= g) for c in (1, 0))
+        return 2 * hit / (hit + wrong + total[1])
+
+    assert f1(trained.thresholds["en"]) > max(f1(g / 100) for g in range(20, 81)) - 1e-9
