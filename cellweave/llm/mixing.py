@@ -77,14 +77,21 @@ def memberships(docs: DataFrame, model: Classifier, key: str = "doc_id", text: s
 def fit_rates(
     members: DataFrame, model: Classifier, targets: dict[str, float], total: float | None = None, growth: float = 1.0, least_rate: float = 0.0, steps: int = 25, close: float = 1e-4
 ) -> DataFrame:
-    """Adds rate. ``targets``: weights of domains, by share of ``total`` tokens (``growth`` times what there is, unless given)."""
+    """Adds rate. ``targets``: weights of domains, by share of ``total`` tokens.
+
+    Unless given, ``total`` is ``growth`` times what the domains with a target
+    have, or more where one has too much for its weight at ``least_rate``.
+    Domains without a target aim at ``least_rate`` and stand beside the total.
+    """
     k = range(len(model.domains))
     p = [F.col(f"p_{i}") for i in k]
     tokens = (F.col("n_tokens") * F.col("rows")).cast("double")
     mass = list(members.agg(*[F.coalesce(F.sum(tokens * x), F.lit(0.0)) for x in p]).first())
-    total = sum(mass) * growth if total is None else total
     share = [max(0.0, targets.get(d, 0.0)) for d in model.domains]
-    goal = [total * s / sum(share) if sum(share) else m for s, m in zip(share, mass, strict=True)]
+    if total is None:
+        aimed = [(s / sum(share), m) for s, m in zip(share, mass, strict=True) if s]
+        total = max([growth * (sum(m for _, m in aimed) if least_rate else sum(mass)), *(least_rate * m / s for s, m in aimed)])
+    goal = [(total * s / sum(share) if s else least_rate * m) if sum(share) else m for s, m in zip(share, mass, strict=True)]
     rate, have = F.lit(1.0), mass
     for _ in range(steps):
         gap = [g - h for g, h in zip(goal, have, strict=True)]

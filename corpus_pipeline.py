@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellweave.llm import decontaminate, minhash, mixing, sharding, toxicity
 from cellweave.llm.common import fold, read, stored
 
-#: Token weights of the languages that the mixture aims at, and how far it may grow for that.
+#: Token weights of the languages that the mixture aims at, and how far it grows for that at least.
 TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
 GROWTH = 1.2
 

@@ -148,6 +148,20 @@ def test_mixture_meets_targets(spark):
     assert none.count() == 0 and model.domains == ["unknown"]
 
 
+def test_mixture_grows_for_a_language_beyond_its_weight(spark):
+    words = {"en": "the red house", "de": "das rote haus", "fr": "la maison rouge", "es": "el casa roja", "it": "il treno nero"}
+    langs = ["de"] * 45 + ["en"] * 30 + ["fr"] * 10 + ["es"] * 10 + ["it"] * 5
+    rows = [(i, " ".join(random.Random(i).choice(words[langs[i % 100]].split()) for _ in range(30)), langs[i % 100]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    targets = {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12}
+    rates, model = mixing.mixture(docs, docs.select("doc_id"), targets, growth=1.2, least_rate=1.0)
+    got = rates.collect()
+    total = {d: sum(r.rate * r.rows * r.n_tokens * r[f"p_{i}"] for r in got) for i, d in enumerate(model.domains)}
+    aimed = sum(total[d] for d in targets)
+    assert all(abs(total[d] / aimed - w) < 0.01 for d, w in targets.items())
+    assert min(r.rate for r in got) >= 1 and total["it"] < 1.05 * 30 * 30
+
+
 def brute_chunks(t):
     import hashlib
 
