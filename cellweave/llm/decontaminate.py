@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import free_name, whole
 
 # 8 of 13 words each; every word but the outermost is ignored by one mask at least.
 MASKS = ("1101100110101", "1010111001011", "1110010101011")
@@ -140,6 +140,10 @@ def short_overlaps(rows: DataFrame, items: DataFrame) -> list[DataFrame]:
     return out
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
-    """The rows of ``docs`` that overlap no item; rows without key stay."""
-    return docs.join(overlaps(docs, benchmark, key, **options).select(key).distinct(), key, "left_anti").select(docs.columns)
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:  # noqa: ANN003
+    """The rows of ``docs`` whose text overlaps no item, whatever their key."""
+    d = free_name(docs, "_d")
+    named = docs.withColumn(d, F.md5(whole(text).cast("binary")))
+    texts = named.select(F.col(d).alias("text_md5"), F.col(text).alias("text"))
+    found = overlaps(texts, benchmark, "text_md5", "text", **options).select(F.col("text_md5").alias(d)).distinct()
+    return named.join(found, d, "left_anti").select(docs.columns)

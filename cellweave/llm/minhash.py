@@ -216,16 +216,28 @@ def text_digest(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
+def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), text_digest(whole(text)).alias("md5"), whole(text).alias("text"))
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, margin: float = 0.16, centres: int = 2) -> DataFrame:
     """One row per row of ``docs``: key, md5 of the text, n_shingles, class_id (the smallest key of the class).
 
     ``margin``: candidates are checked exactly if their signatures' estimate is
     at least ``least - margin`` (4.5 standard deviations at 128 coordinates).
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_digest(whole(text)).alias("md5"), whole(text).alias("text"))
+    signed, grouped = text_classes(keyed_texts(docs, key, text), "n > 0 and key is not null", least, margin, centres)
+    least_key = grouped.groupBy("label").agg(F.min("key").alias("class_id"))
+    classes = stored(grouped.join(least_key, "label").select("md5", "class_id"))
+    out = signed.select("key", "md5", "n").join(classes, "md5", "left")
+    own = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("class_id")).otherwise(F.col("key"))
+    return out.select(F.col("key").alias(key), "md5", F.col("n").alias("n_shingles"), own.alias("class_id"))
+
+
+def text_classes(rows: DataFrame, judged: str, least: float, margin: float, centres: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows; md5, node, smallest key and class label of each different text of those that are ``judged``."""
     signed = stored(rows.mapInArrow(sign, "key long, md5 string, n long, sig binary, bands array<long>, bits array<long>"))
-    full = signed.filter("n > 0 and key is not null")
+    full = signed.filter(judged)
     nodes = full.groupBy("md5").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -264,23 +276,27 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         label = stored(connected(stored(found.union(links(rest, texts, least).select("u", "v")))))
 
     grouped = nodes.select("md5", "node", "key").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least_key = grouped.groupBy("label").agg(F.min("key").alias("class_id"))
-    classes = stored(grouped.join(least_key, "label").select("md5", "class_id"))
-    out = signed.select("key", "md5", "n").join(classes, "md5", "left")
-    own = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("class_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "md5", F.col("n").alias("n_shingles"), own.alias("class_id"))
+    return signed, grouped
 
 
 def candidate_texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of the wanted nodes, each once, from the row with the node's key."""
-    few = nodes.select("node", "key", "md5").join(wanted, "node", "left_semi")
-    return rows.join(few, ["key", "md5"]).groupBy("node").agg(F.first("text").alias("text"))
+    few = nodes.select("node", F.col("key").alias("_key"), F.col("md5").alias("_md5")).join(wanted, "node", "left_semi")
+    return rows.join(few, F.col("key").eqNullSafe(F.col("_key")) & (F.col("md5") == F.col("_md5"))).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: the smallest key's, once. Rows without key stay."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, margin: float = 0.16, centres: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stand for their class: that of the smallest (key, md5), once; a null key comes last.
+
+    Wordless texts are classes of their own, one for each (key, text); without key each row is one.
+    """
     k, d = free_name(docs, "_k"), free_name(docs, "_d")
-    kept = near_classes(docs, key, text, least).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias(k), F.col("md5").alias(d)).distinct()
-    has = docs.filter(F.col(key).isNotNull())
-    same = (has[key] == F.col(k)) & (text_digest(whole(has[text])) == F.col(d))
-    return has.join(kept, same, "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    signed, grouped = text_classes(keyed_texts(docs, key, text), "n > 0", least, margin, centres)
+    least_row = grouped.groupBy("label").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "md5")).alias("x")).select("x.key", "x.md5")
+    wordless = signed.filter("n = 0").select("key", "md5").distinct()
+    kept = least_row.union(wordless.filter("key is not null")).select(F.col("key").alias(k), F.col("md5").alias(d))
+    named = docs.withColumn(d, text_digest(whole(docs[text])))
+    same = named[key].cast("long").eqNullSafe(kept[k]) & (named[d] == kept[d])
+    apart = wordless.filter("key is null").select(F.col("md5").alias(d))
+    loose = named.filter(F.col(key).isNull()).join(apart, d, "left_semi")
+    return named.join(kept, same, "left_semi").dropDuplicates([key, d]).select(docs.columns).unionByName(loose.select(docs.columns))

@@ -1,6 +1,6 @@
 """From documents to shards: five stages, each written as Parquet before the next reads it.
 
-Rows that a stage's operator can't judge (null key) stay. Every stage works
+Rows without key are judged by their text. Every stage works
 on all that its predecessor kept, and takes benchmark and labels from sf_dir.
 """
 

@@ -162,6 +162,19 @@ def test_mixture_grows_for_a_language_beyond_its_weight(spark):
     assert min(r.rate for r in got) >= 1 and total["it"] < 1.05 * 30 * 30
 
 
+def test_filters_with_repeated_and_null_keys(spark):
+    many, item = [text(60) for _ in range(9)], text(30)
+    rows = [(7, t) for t in many] + [(None, many[0]), (None, changed(many[1], 1)), (None, "x " + item), (7, item + " y"), (3, many[2]), (None, None), (None, "")]
+    rows += [(None, t) for t in [text(70)] * 2] + [(8, many[3])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in minhash.one_of_each(docs).collect())
+    want = [(False, 7, t) for i, t in enumerate(many) if i != 2] + [(False, 3, many[2]), (False, 7, item + " y"), (True, 0, ""), (True, 0, ""), (True, 0, rows[-3][1])]
+    assert sorted(x for x in kept if x[2] != "x " + item) == sorted(want)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.without_overlaps(docs, bench).collect()
+    assert len(clean) == len(rows) - 2 and not any(item in (r.text or "") for r in clean)
+
+
 def brute_chunks(t):
     import hashlib
 
