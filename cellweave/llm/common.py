@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is named."""
+    """The folder all executors share. Where none is named, a folder of our own, but only if driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -34,6 +36,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def neutral(df: DataFrame) -> DataFrame:
+    """The columns as c0, c1, ..., whatever they are called."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def restored(out: DataFrame, columns: list[str], results: tuple[str, ...]) -> DataFrame:
+    """c0, c1, ... under their names again, then the results r_*; one whose name is taken gets underscores."""
+    taken, named = {c.lower() for c in columns}, []
+    for r in results:
+        name = r
+        while name.lower() in taken:
+            name += "_"
+        named.append(F.col(f"r_{r}").alias(name))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *named)
+
+
 def whole(text: Column | str = "text") -> Column:
     """The text; a null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

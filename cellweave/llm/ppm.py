@@ -9,231 +9,233 @@ and their counts no longer take part. Below the empty context the bytes never
 seen share what is left. The score is the sum of log10 over the bytes and the
 end mark.
 
-Counts are taken over every training text. What is sent to the tasks is
-bounded by ``max_grams`` six-byte entries: beyond it the rarest ones go, by
-the smallest count threshold that fits, so that less precise contexts answer
-for them; nothing is left unscored.
+The trie is a set of tables, one for each order, and grows with the corpus:
+every context is kept, nothing of it passes through the driver or a broadcast.
+Texts are dealt into parts of about ``part_bytes``. Each part states the
+distinct codes (context and byte) and words it holds and how often they occur
+in its training texts. Sums of these are the counts. Codes never seen in
+training climb down the orders by joins; a node of the trie has at most 256
+neighbours on the next order, so no join has a hot key. The answers go back to
+the parts that asked, which add them up.
 
 Nulls count as empty texts, which consist of the end mark. Without training
-texts every byte has probability 1/256 and the base score is 0. Repeated rows
-get equal scores.
+texts every byte has probability 1/256 and the base score is 0. A null training
+mark counts as false. Repeated rows get equal scores. All columns given are
+kept; a result whose name is taken gets an underscore at its end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name, stored, whole, words
-from .tokens import text_bytes
+from .common import restored, stored, whole
+from .tokens import WHITE, text_bytes
 
 ORDER, START, END, ALPHABET = 5, 0xFE, 0xFF, 256
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[65:91] += np.uint64(32)
-HELD_IN_MEMORY = 2_000_000
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.zeros(256, bool)
+BLANK[list(WHITE)] = True
+WINDOW = 1 << 21
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code of (context, byte) for each byte and end mark in order; offsets of the texts' first."""
+def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code of (context, byte) for each byte and end mark in order, and the index of its text; in windows."""
     data, offsets = text_bytes(column)
-    n, extra = len(offsets) - 1, ORDER + 1
-    out = np.full(len(data) + extra * n, START, np.uint64)
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    out[np.arange(len(data)) + ORDER + extra * text] = LOWER[data]
-    out[offsets[1:] + extra * np.arange(1, n + 1) - 1] = END
-    code = out.copy()
-    for k in range(1, extra):
-        code[k:] |= out[:-k] << np.uint64(8 * k)
-    real = np.ones(len(out), bool)
-    real[(offsets[:-1] + extra * np.arange(n))[:, None] + np.arange(ORDER)] = False
-    return code[real], offsets[:-1] + np.arange(n)
+    n, length = len(offsets) - 1, np.diff(offsets) + ORDER + 1
+    ends = np.cumsum(length)
+    owner = np.repeat(np.arange(n, dtype=np.int32), length)
+    padded = np.full(len(owner), START, np.uint8)
+    marks = np.zeros(len(owner), bool)
+    if n:
+        marks[(ends - length)[:, None] + np.arange(ORDER)] = True
+    counted = ~marks
+    marks[ends - 1] = True
+    padded[~marks] = LOWER[data]
+    padded[ends - 1] = END
+    for a in range(ORDER, len(padded), WINDOW):
+        b = min(a + WINDOW, len(padded))
+        code = padded[a:b].astype(np.uint64)
+        for k in range(1, ORDER + 1):
+            code |= padded[a - k : b - k].astype(np.uint64) << np.uint64(8 * k)
+        yield code[counted[a:b]], owner[a:b][counted[a:b]]
+
+
+def token_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words in order, lower-cased, and the texts' n + 1 bounds among them."""
+    data, offsets = text_bytes(column)
+    inside = ~BLANK[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[at] = inside[at]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(inside, starts, dtype=np.int64))])
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(LOWER[data[inside]])]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), buffers), np.searchsorted(starts, offsets)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     code, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
     code, at = np.unique(code, return_inverse=True)
     return code, np.bincount(at, n, len(code)).astype(np.int64)
 
 
-def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct code of the partition, or of as much as is held in memory."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    row = lambda c, n: pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(n)], ["code", "n"])
-    for big in batches:
-        for at in range(0, big.num_rows, 256):
-            code = grams(big.column("text").slice(at, 256))[0]
-            if len(code):
-                parts.append(tuple(x.astype(t) for x, t in zip(np.unique(code, return_counts=True), (np.uint64, np.int64), strict=True)))
-            if sum(len(p[0]) for p in parts) > HELD_IN_MEMORY:
-                parts = [merged(parts)]
-                if len(parts[0][0]) > HELD_IN_MEMORY // 2:
-                    yield row(*parts.pop())
-    if parts:
-        yield row(*merged(parts))
-
-
-class Level(NamedTuple):
-    """grams and contexts of one order, sorted; what follows a context in one that it ends in is kept with it."""
-
-    codes: np.ndarray
-    log_n: np.ndarray  # log(n - 1/2)
-    direct: np.ndarray
-    contexts: np.ndarray
-    escape: np.ndarray  # from a context that is asked first
-    log_rest: np.ndarray  # log of what the next shorter context has left after exclusion
-    again: np.ndarray  # escape from that one
-
-
-def mask(n: int) -> np.uint64:
-    return np.uint64((1 << (8 * n)) - 1)
-
-
-def find(sorted_codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(sorted_codes, wanted), max(0, len(sorted_codes) - 1))
-    return at, (sorted_codes[at] == wanted) if len(sorted_codes) else np.zeros(len(wanted), bool)
-
-
-class Trie:
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        levels: list[Level] = []
-        by_order = []
-        for d in range(ORDER + 1):
-            c, at = np.unique(codes & mask(d + 1), return_inverse=True)
-            by_order.append((c, np.bincount(at, counts, len(c))))
-        for d, (c, n) in enumerate(by_order):
-            ctx, at = np.unique(c >> np.uint64(8), return_inverse=True)
-            total, q = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
-            log_rest = again = np.zeros(len(ctx))
-            if d:
-                pc, pn = by_order[d - 1]
-                shared = np.bincount(at, pn[find(pc, c & mask(d))[0]], len(ctx))
-                p_ctx, p_at = np.unique(pc >> np.uint64(8), return_inverse=True)
-                parent = find(p_ctx, ctx & mask(d - 1))[0]
-                p_total, p_q = np.bincount(p_at, pn, len(p_ctx))[parent], np.bincount(p_at, minlength=len(p_ctx))[parent]
-                log_rest = np.log(np.maximum(p_total - shared, 1))
-                again = np.where(p_q > q, np.log(np.maximum(p_q - q, 1) / 2) - log_rest, 0.0)
-            log_n = np.log(n - 0.5)
-            logs = (log_n, log_n - np.log(total[at]), np.log(q / 2) - np.log(total), log_rest, again)
-            log_n, direct, escape, log_rest, again = (x.astype(np.float32) for x in logs)
-            levels.append(Level(c, log_n, direct, ctx, escape, log_rest, again))
-        self.levels = levels
-        self.floor = -np.log(ALPHABET - len(levels[0].codes)) if len(codes) and len(levels[0].codes) < ALPHABET else -np.log(ALPHABET)
-        self.fast: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"fast": None}
-
-    def backed_off(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log of P(byte | context) for any code."""
-        acc, done = np.zeros(len(codes)), np.zeros(len(codes), bool)
-        child = np.full(len(codes), -1)
-        for d in range(ORDER, -1, -1):
-            level, above = self.levels[d], self.levels[d + 1] if d < ORDER else None
-            if not len(level.codes):
-                continue
-            g, has = find(level.codes, codes & mask(d + 1))
-            c, known = find(level.contexts, (codes >> np.uint64(8)) & mask(d))
-            first, later = ~done & (child < 0) & known, ~done & (child >= 0)
-            acc[first] += np.where(has[first], level.direct[g[first]], level.escape[c[first]])
-            if above is not None and later.any():
-                j = child[later]
-                acc[later] += np.where(has[later], level.log_n[g[later]] - above.log_rest[j], above.again[j])
-            done |= (first | later) & has
-            child = np.where(first | later, c, child)
-        return np.where(done, acc, acc + self.floor)
-
-    def logs(self, codes: np.ndarray) -> np.ndarray:
-        """As ``backed_off``, through a table of slots; what is not in its slot is looked up."""
-        top = self.levels[ORDER]
-        if not len(top.codes):
-            return self.backed_off(codes)
-        if self.fast is None:
-            bits = max(10, int(np.ceil(np.log2(len(top.codes)))) + 1)
-            shift = np.uint64(64 - bits)
-            keys, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
-            slot = (top.codes * np.uint64(0x9E3779B97F4A7C15)) >> shift
-            keys[slot], values[slot] = top.codes, top.direct
-            self.fast = (keys, values, shift)
-        keys, values, shift = self.fast
-        slot = (codes * np.uint64(0x9E3779B97F4A7C15)) >> shift
-        out = values[slot].astype(np.float64)
-        missed = np.flatnonzero(keys[slot] != codes)
-        rare, at = np.unique(codes[missed], return_inverse=True)
-        out[missed] = self.backed_off(rare)[at]
-        return out
+def holdings(rows: pa.Table) -> pa.Table:
+    """The distinct codes and words of a part, with their occurrences in its training texts."""
+    codes: list[tuple[np.ndarray, np.ndarray]] = []
+    for training in (True, False):
+        texts = rows.filter(pc.equal(rows["training"], training))["text"].combine_chunks()
+        for code, _ in grams(texts):
+            got, n = np.unique(code, return_counts=True)
+            codes.append((got, n if training else np.zeros(len(got), np.int64)))
+    code, n = merged(codes)
+    found, bounds = token_words(rows["text"].combine_chunks())
+    found = found.dictionary_encode()
+    trained = np.repeat(rows["training"].to_numpy(zero_copy_only=False), np.diff(bounds))
+    index = found.indices.to_numpy(zero_copy_only=False)
+    m = np.bincount(index[trained], minlength=len(found.dictionary)).astype(np.int64)
+    part = pa.array(np.full(len(code) + len(m), rows["part"][0].as_py(), np.int32))
+    words = pa.concat_arrays([pa.nulls(len(code), pa.large_string()), found.dictionary.cast(pa.large_string())])
+    codes_ = pa.concat_arrays([pa.array(code.astype(np.int64)), pa.nulls(len(m), pa.int64())])
+    return pa.table([part, codes_, words.cast(pa.string()), pa.array(np.concatenate([n, m]).astype(np.int64))], ["part", "code", "word", "n"])
 
 
-def train(texts: DataFrame, max_grams: int = 4_000_000) -> Trie:
-    """The trie of every text in column ``text``."""
-    counted = stored(texts.mapInArrow(count_grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    least = 1
-    if counted.count() > max_grams:
-        # fewer than max_grams codes can each have this many occurrences or more
-        sizes = counted.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect()
-        held = 0
-        for r in sizes:
-            held += r["m"]
-            if held > max_grams:
-                break
-            least = r["n"]
-    got = counted.filter(F.col("n") >= least).toArrow()
-    return Trie(got["code"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64))
-
-
-def scorer(trie: Trie) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                b = big.slice(at, 256)
-                code, begins = grams(b.column("_text"))
-                sums = np.add.reduceat(trie.logs(code), begins) / np.log(10) if b.num_rows else np.zeros(0)
-                names = [c for c in b.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(sums)], [*names, "score"])
+def low(column: str, n_bytes: int) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * n_bytes)) - 1).cast("long"))
 
-    return score
 
+def upper(column: str) -> Column:
+    return F.shiftright(column, 8)
 
-def score_texts(docs: DataFrame, trie: Trie, text: str = "text") -> DataFrame:
-    """The columns besides the text, and score."""
-    keep = [c for c in docs.columns if c not in (text, "score", "_text")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, whole(text).alias("_text")).mapInArrow(scorer(trie), f"{kinds}, score double")
 
+def levels(seen: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 0: counts (code, n) and contexts (ctx, total, q, log_rest, again).
 
-#: A word can't be a blank, so the end has a name of its own.
-FINISH = " "
+    log_rest: log of what the next shorter context has left once the context's
+    successors are excluded; again: the escape from there.
+    """
+    counts = [seen]
+    for d in range(ORDER - 1, -1, -1):
+        counts.insert(0, stored(counts[0].groupBy(low("code", d + 1).alias("code")).agg(F.sum("n").alias("n"))))
+    sums = lambda: (F.sum("n").alias("total"), F.count("*").alias("q"))
+    none = F.lit(0.0)
+    empty = counts[0].groupBy(upper("code").alias("ctx")).agg(*sums()).select("ctx", "total", "q", none.alias("log_rest"), none.alias("again"))
+    out = [(counts[0], stored(empty))]
+    for d in range(1, ORDER + 1):
+        shorter = counts[d - 1].select(F.col("code").alias("short"), F.col("n").alias("m"))
+        ctx = counts[d].select(upper("code").alias("ctx"), "n", low("code", d).alias("short")).join(shorter, "short").groupBy("ctx").agg(*sums(), F.sum("m").alias("shared"))
+        parent = out[-1][1].select(F.col("ctx").alias("up"), F.col("total").alias("p_total"), F.col("q").alias("p_q"))
+        log_rest = F.log(F.greatest(F.col("p_total") - F.col("shared"), F.lit(1)).cast("double"))
+        again = F.when(F.col("p_q") > F.col("q"), F.log((F.col("p_q") - F.col("q")) / 2) - log_rest).otherwise(0.0)
+        ctx = ctx.withColumn("up", low("ctx", d - 1)).join(parent, "up").select("ctx", "total", "q", log_rest.alias("log_rest"), again.alias("again"))
+        out.append((counts[d], stored(ctx)))
+    return out
+
+
+def log_probabilities(codes: DataFrame) -> DataFrame:
+    """(code, log_p), natural, for every code of (code, n); those with n > 0 are the trie."""
+    tree = levels(codes.filter("n > 0"))
+    symbols = tree[0][0].count()  # 256 at most
+    floor = -math.log(ALPHABET - symbols) if 0 < symbols < ALPHABET else -math.log(ALPHABET)
+    need = [codes.filter("n = 0").select("code")]
+    for d in range(ORDER - 1, -1, -1):
+        need.insert(0, stored(need[0].select(low("code", d + 1).alias("code")).distinct()))
+    direct = F.log(F.col("n") - 0.5) - F.log("total")
+    # of what is below the empty context: no shorter code, and an escape that leads to the floor
+    below = need[0].select(F.lit(None).cast("long").alias("n_short"), F.lit(floor).alias("a_short"), F.lit(floor).alias("m_short"), F.lit(0).cast("long").alias("short")).distinct()
+    for d, (counts, contexts) in enumerate(tree):
+        rows = need[d].select("code", upper("code").alias("ctx"), low("code", d).alias("short"))
+        rows = rows.join(counts, "code", "left").join(contexts, "ctx", "left").join(below, "short")
+        after = F.when(F.col("n_short").isNotNull(), F.log(F.col("n_short") - 0.5) - F.col("log_rest")).otherwise(F.col("again") + F.col("m_short"))
+        first = F.when(F.col("n").isNotNull(), direct).when(F.col("total").isNotNull(), F.log(F.col("q") / 2) - F.log("total") + after).otherwise(F.col("a_short"))
+        answers = stored(rows.select("code", "n", first.alias("a"), after.alias("m")))
+        below = answers.select(F.col("code").alias("short"), F.col("n").alias("n_short"), F.col("a").alias("a_short"), F.col("m").alias("m_short"))
+    counts, contexts = tree[ORDER]
+    known = counts.withColumn("ctx", upper("code")).join(contexts, "ctx").select("code", direct.alias("log_p"))
+    return known.union(answers.select("code", F.col("a").alias("log_p")))
+
+
+class Lookup:
+    """Values of the codes of a part, through a table of slots; what is not in its slot is searched."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        bits = max(10, int(np.ceil(np.log2(max(2, len(codes))))) + 1)
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.slots = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits)
+        at = self.place(self.codes)
+        self.keys[at], self.slots[at] = self.codes, self.values
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        at = self.place(codes)
+        out = self.slots[at]
+        missed = np.flatnonzero(self.keys[at] != codes)
+        out[missed] = self.values[np.searchsorted(self.codes, codes[missed])]
+        return out
+
+
+def scorer(n: int, v: int, ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``n`` training tokens of ``v`` kinds, ``ends`` of them ends."""
+    scale = math.log10(n + 1 * (v + 1))
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = rows["text"].combine_chunks()
+        codes, asked = answers.filter(pc.is_valid(answers["code"])), answers.filter(pc.is_valid(answers["word"]))
+        look = Lookup(codes["code"].to_numpy().astype(np.uint64), codes["value"].to_numpy())
+        total = np.zeros(len(texts))
+        for code, owner in grams(texts):
+            total += np.bincount(owner, look(code), len(texts))
+        found, bounds = token_words(texts)
+        at = pc.index_in(found, value_set=asked["word"].combine_chunks().cast(pa.large_string()))
+        known = ~np.isnan(index := at.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
+        gain = np.zeros(len(found))
+        gain[known] = np.log10(asked["value"].to_numpy() + 1)[index[known].astype(np.int64)]
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        m = np.diff(bounds) + 1
+        n_known = np.bincount(text[known], minlength=len(texts)) + (1 if ends else 0)
+        base = np.bincount(text, gain, len(texts)) + math.log10(ends + 1) - m * scale
+        kept = [c for c in rows.column_names if c not in ("part", "training", "text")]
+        results = [m.astype(np.int64), n_known.astype(np.int64), np.full(len(texts), n, np.int64), base, total / math.log(10)]
+        return pa.table([*[rows[c] for c in kept], *map(pa.array, results)], [*kept, *[f"r_{r}" for r in RESULTS]])
+
+    return score
 
 
-def base_scores(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", head: int = 500_000) -> DataFrame:
-    """For each different (key, text): n_tokens, n_known, base_score, train_tokens; rows: how often it occurs.
+def score_texts(docs: DataFrame, training: Column, text: str = "text", part_bytes: int = 16_000_000) -> DataFrame:
+    """The columns of ``docs`` besides the text, and ``RESULTS``: the words' counts and base score, and the model's log10 probability.
 
-    Counts of the words that are at least one in ``head`` training tokens,
-    of which there can't be more than ``head``, are broadcast. All the other
-    words are rare, so joining them by word meets no hot key.
+    The model learns from the rows that ``training`` marks and scores all of them.
     """
-    k, h = free_name(docs, "_key"), free_name(docs, "_hash")
-    rows = docs.select(F.col(key).alias(k), F.xxhash64(whole(text)).alias(h), training.alias("_train"), ascii_lower(whole(text)).alias("_t"))
-    tokens = F.explode(F.concat(words(F.col("_t")), F.array(F.lit(FINISH)))).alias("token")
-    counts = stored(rows.filter("_train").select(tokens).groupBy("token").agg(F.count("*").alias("c")))
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(training, F.lit(False)).alias("training"), whole(text).alias("text"))
+    rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
+    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count_if("training")).first()
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // part_bytes + 1)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).drop("id")
+    held = stored(rows.select("part", "training", "text").groupBy("part").applyInArrow(holdings, "part int, code long, word string, n long"))
+    codes = stored(held.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")))
+    counts = stored(held.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    gain = F.log10(F.col("c") + 1)
-    often = counts.filter((F.col("c") * head >= n) & (F.length("token") <= 64)).select("token", gain.alias("gain"), F.lit(1).alias("known"))
-    seen = rows.select(k, h, tokens).join(F.broadcast(often), "token", "left")
-    ends = F.sum((F.col("token") == FINISH).cast("long"))
-    near = seen.groupBy(k, h).agg(F.count("*").alias("n"), ends.alias("rows"), F.sum("gain").alias("gain"), F.sum("known").alias("known"))
-    rare = counts.join(often.select("token"), "token", "left_anti").select("token", gain.alias("g"))
-    far = seen.filter("known is null").select("token", k, h).join(rare, "token").groupBy(k, h).agg(F.sum("g").alias("far_gain"), F.count("*").alias("far_known"))
-    same = near[k].eqNullSafe(far[k]) & (near[h] == far[h])
-    both = near.join(far, same, "left").select(near[k], near[h], "n", "rows", "gain", "known", "far_gain", "far_known")
-    total = lambda *c: sum((F.coalesce(F.col(x), F.lit(0)) for x in c[1:]), F.coalesce(F.col(c[0]), F.lit(0)))
-    count = lambda c: (c / F.col("rows")).cast("long")
-    scale = float(np.log10(float(n) + 1 * (v + 1)))
-    return both.select(
-        F.col(k).alias(key), F.col(h).alias("text_hash"), count(F.col("n")).alias("n_tokens"), count(total("known", "far_known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (total("gain", "far_gain") / F.col("rows") - F.col("n") / F.col("rows") * scale).alias("base_score"),
-    )
+    answers = held.filter("code is not null").select("part", "code").join(log_probabilities(codes), "code").select("part", "code", F.lit(None).cast("string").alias("word"), F.col("log_p").alias("value"))
+    known = held.filter("word is not null").select("part", "word").join(counts, "word").select("part", F.lit(None).cast("long").alias("code"), "word", F.col("c").cast("double").alias("value"))
+    kinds = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)], *[f"r_{r} {'double' if 'score' in r else 'long'}" for r in RESULTS]])
+    both = rows.groupBy("part").cogroup(answers.union(known).groupBy("part"))
+    out = both.applyInArrow(scorer(n + ends, v + (1 if ends else 0), ends), kinds)
+    return restored(out, rest, RESULTS)

@@ -22,11 +22,8 @@ def op1_spaced_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold("doc_id", 7) == 2
-    trie = ppm.train(docs.filter(~held_out).select(whole("text").alias("text")))
-    keyed = docs.select("doc_id", held_out.alias("held_out"), F.xxhash64(whole("text")).alias("hash"), "text")
-    scored, base = ppm.score_texts(keyed, trie), ppm.base_scores(docs, ~held_out).withColumnRenamed("doc_id", "key")
-    both = scored.join(base, scored["doc_id"].eqNullSafe(base["key"]) & (scored["hash"] == base["text_hash"]))
-    return both.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = ppm.score_texts(docs.withColumn("held_out", held_out), ~held_out)
+    return scored.select("doc_id", "held_out", *ppm.RESULTS)
 
 
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,17 +19,24 @@ def lower(s):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
 
 
-def trie_of(texts):
-    code, n = np.unique(ppm.grams(pa.array(texts))[0], return_counts=True)
-    return ppm.Trie(code, n)
+def log10_scores(spark, training, texts):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, True) for i, t in enumerate(training)] + [(1000 + i, t, False) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in ppm.score_texts(docs, F.col("train"), part_bytes=100).collect()}
+    assert len(got) == len(rows)
+    return [got[i] for i in range(len(training))], [got[1000 + i] for i in range(len(texts))]
 
 
-def test_ppm_probabilities_sum_to_one():
-    trie = trie_of(TEXTS)
-    for context in (b"e cat", b"\xfe\xfe\xfe\xfe\xfe", b"zzzzz", b"qq th", b"aaaaa"):
-        base = int.from_bytes(context, "big") << 8
-        codes = np.array([base + s for s in range(256)], np.uint64)
-        assert math.isclose(np.exp(trie.backed_off(codes).astype(float)).sum(), 1, abs_tol=1e-4), context
+def test_ppm_probabilities_sum_to_one(spark):
+    codes = [int.from_bytes(c, "big") << 8 | s for c in (b"e cat", b"\xfe\xfe\xfe\xfe\xfe", b"zzzzz", b"qq th", b"aaaaa") for s in range(256)]
+    seen = Counter(int(c) for code, _ in ppm.grams(pa.array(TEXTS)) for c in code)
+    table = spark.createDataFrame([(c, seen.get(c, 0)) for c in {*codes, *seen}], "code long, n long")
+    got = {r.code: r.log_p for r in ppm.log_probabilities(table).collect()}
+    assert set(got) == {*codes, *seen}
+    for i in range(0, len(codes), 256):
+        assert math.isclose(sum(math.exp(got[c]) for c in codes[i : i + 256]), 1, abs_tol=1e-9)
 
 
 def brute_ppm(texts, text):
@@ -60,12 +67,30 @@ def brute_ppm(texts, text):
     return total
 
 
-def test_ppm_equals_brute_force():
-    trie = trie_of(TEXTS)
-    for text in [*TEXTS, "The cat sat on a dog", "unseen \x01 text", "x"]:
-        code, begins = ppm.grams(pa.array([text]))
-        got = trie.logs(code).sum() / math.log(10)
-        assert math.isclose(got, brute_ppm(TEXTS, text), rel_tol=1e-4, abs_tol=1e-4), text
+def test_ppm_equals_brute_force(spark):
+    others = ["The cat sat on a dog", "unseen \x01 text", "x", "naïve ñand", "", None, "aaaab" * 3]
+    own, got = log10_scores(spark, TEXTS, others)
+    for text, score in zip([*TEXTS, *others], [*own, *got], strict=True):
+        assert math.isclose(score, brute_ppm(TEXTS, text or ""), rel_tol=1e-9, abs_tol=1e-9), text
+
+
+def test_ppm_keeps_contexts_seen_once(spark):
+    """Each text's own contexts count, however many other contexts there are."""
+    rng = np.random.default_rng(4)
+    training = ["".join(map(chr, rng.integers(33, 127, 400))) for _ in range(60)]
+    others = [training[7][50:300], training[3][:90] + training[9][200:], "".join(map(chr, rng.integers(33, 127, 200)))]
+    _, got = log10_scores(spark, training, others)
+    for text, score in zip(others, got, strict=True):
+        assert math.isclose(score, brute_ppm(training, text), rel_tol=1e-9)
+    assert got[0] > 2 * got[2]
+
+
+def test_ppm_windows_of_a_long_text():
+    t = "ab c" * 900_000
+    whole = np.concatenate([c for c, _ in ppm.grams(pa.array([t, "x", None]))])
+    assert len(whole) == len(t) + 4 and len(np.unique(whole[10 : len(t)])) == 4
+    few, n = np.unique(whole, return_counts=True)
+    assert n.max() >= 899_998 and n.sum() == len(whole)
 
 
 def test_lm_query_base(spark, tiny):
@@ -84,17 +109,18 @@ def test_lm_query_base(spark, tiny):
 
 
 def test_lm_repeated_null_and_empty_rows(spark):
-    rows = [(1, "a b a"), (1, "a b a"), (2, None), (3, ""), (None, "b c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
     from pyspark.sql import functions as F
 
-    base = ppm.base_scores(docs, F.col("doc_id").isNotNull()).collect()
-    assert len(base) == 4 and {r.n_tokens for r in base if r.doc_id == 1} == {4}
-    trie = ppm.train(docs.select("text"))
-    assert ppm.score_texts(docs, trie).count() == 5
-    none = ppm.train(docs.limit(0).select("text"))
-    scores = [r.score for r in ppm.score_texts(docs, none).collect()]
-    assert math.isclose(max(scores), -math.log10(256), rel_tol=1e-6)
+    rows = [(1, "a b a", "s"), (1, "a b a", "s"), (2, None, "s"), (3, "", "s"), (None, "b c", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = ppm.score_texts(docs.withColumn("part", F.lit("p")).withColumn("r_score", F.lit(1)), F.col("doc_id").isNotNull())
+    assert got.columns == ["doc_id", "score", "part", "r_score", "n_tokens", "n_known", "train_tokens", "base_score", "score_"]
+    got = got.collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.score, r.part, r.r_score) for r in got) == [(0, 3, 2, "s", "p", 1), (1, 4, 4, "s", "p", 1), (1, 4, 4, "s", "p", 1), (2, 1, 1, "s", "p", 1), (3, 1, 1, "s", "p", 1)]
+    assert len({r.score_ for r in got if r.doc_id == 1}) == 1 and {r.train_tokens for r in got} == {10}
+    none = ppm.score_texts(docs, F.lit(None).cast("boolean")).collect()
+    assert math.isclose(max(r.score_ for r in none), -math.log10(256), rel_tol=1e-9) and {r.base_score for r in none} == {0.0}
+    assert ppm.score_texts(docs.limit(0), F.lit(True)).count() == 0
 
 
 def brute_pii(text):
