@@ -8,8 +8,8 @@ filter is kept for the text, and a logistic unit reads them. Rows start at
 the shrunk log-odds of their words in the sample, then everything is trained
 by Adagrad on the sample.
 
-Training takes at most ``max_per_class`` labelled rows of each class, those
-with the smallest key hashes, but for a fifth of them. All labelled rows it was
+Training takes at most ``max_per_class`` labelled rows and ``max_bytes`` of text
+of each class, those with the smallest key hashes, but for a fifth of them. All labelled rows it was
 not fitted on, however many, are then scored and counted by language, score
 and class; from these counts, each class weighted to its share among all
 labels, comes a threshold for each language. Scoring covers every whole text. Nulls count as empty texts,
@@ -19,15 +19,16 @@ the share of toxic labels (0 without any). Repeated rows get equal scores.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import restored, stored, whole
 from .tokens import ALNUM, Words
 
 PREFIX, DIM, WIDTHS, FILTERS = 4, 8, (1, 2, 3), 8
@@ -166,7 +167,7 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, z = (i.astype(np.int64) for i in slots(w.hashes, w.prefixes[0]))
         packed = x | y << WORD_BITS | z << 2 * WORD_BITS
         parts = [packed[i:j].tobytes() for i, j in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(parts, pa.binary())], ["toxic", "words"])
+        yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("toxic"), pa.array(parts, pa.binary())], ["_k", "toxic", "words"])
 
 
 def unpacked(words: pa.ChunkedArray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
@@ -223,10 +224,36 @@ def calibrated(model: Model, rows: DataFrame, marks: DataFrame, totals: dict[int
     return {x: best_threshold(c[1], c[0], weights) for x, c in counts.items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", max_per_class: int = 3000) -> Trained:
-    """Fits on the labelled rows whose key is ``allowed``; a key with several labels counts as toxic if one says so."""
+def fitter(totals: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One task fits the model on all rows it gets and returns its arrays, packed."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        got = pa.Table.from_batches(held)
+        got = got.take(pa.array(np.argsort([hash_bytes(x.as_buffer()) for x in got["words"]], kind="stable")))
+        y = got["toxic"].to_numpy().astype(float)
+        counts = {c: int((y == c).sum()) for c in (1, 0)}
+        if all(counts.values()):
+            weight = np.where(y > 0, *[totals[c] / counts[c] for c in (1, 0)])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(fit(*unpacked(got["words"]), y, weight)))], pa.binary())], ["model"])
+
+    return fitted
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", max_per_class: int = 3000, max_bytes: int = 24_000_000
+) -> Trained:
+    """Fits on the labelled rows whose key is ``allowed``; a key with several labels counts as toxic if one says so.
+
+    Of each class at most ``max_per_class`` rows and, in the order of the keys'
+    hashes, ``max_bytes`` of text (but one row at least) are fitted, by one task.
+    Of a key with several texts one is taken, always the same. Only the fitted
+    arrays, whose size is fixed, reach the driver.
+    """
     marks = labels.filter(allowed & F.col(key).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max("toxic").alias("toxic"))
-    totals = {int(r["toxic"] > 0): r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {int(r["toxic"]): r["n"] for r in marks.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n = sum(totals.values())
     if len(totals) < 2:
         return Trained(None, totals.get(1, 0) / max(1, n), {})
@@ -234,15 +261,15 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, key: str = "doc_i
     part = F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(5)).cast("int")
     few = F.broadcast(pick[0].unionByName(pick[1]).filter(part > 0))
     docs = docs.select(F.col(key).cast(labels.schema[key].dataType).alias("_k"), whole(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
-    rows = docs.join(few, "_k").dropDuplicates(["_k"])
-    got = rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(hashed, "toxic int, words binary").toArrow()
-    got = got.take(pa.array(np.argsort([hash_bytes(x.as_buffer()) for x in got["words"]], kind="stable")))
-    y = got["toxic"].to_numpy().astype(float)
-    if len(set(y)) < 2:
+    rows = docs.join(few, "_k").groupBy("_k").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"), F.first((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    before = F.sum(F.octet_length("x.text").cast("long")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("_k"), "_k")) - F.octet_length("x.text")
+    rows = rows.select("_k", "toxic", F.col("x.text").alias("text"), before.alias("before")).filter(F.col("before") < max_bytes)
+    used = stored(rows.mapInArrow(hashed, f"_k {docs.schema['_k'].dataType.simpleString()}, toxic int, words binary"))
+    got = used.select("toxic", "words").repartition(1).mapInArrow(fitter(totals), "model binary").collect()
+    if not got:
         return Trained(None, totals[1] / n, {})
-    weight = np.where(y > 0, *[totals[c] / min(totals[c], max_per_class) for c in (1, 0)])
-    model = fit(*unpacked(got["words"]), y, weight)
-    left = marks.join(few.select("_k"), "_k", "left_anti")
+    model = Model(*pickle.loads(got[0]["model"]))
+    left = marks.join(F.broadcast(used.select("_k")), "_k", "left_anti")
     return Trained(model, totals[1] / n, calibrated(model, docs.filter(F.col("_k").isNotNull()), left, totals))
 
 
@@ -259,18 +286,22 @@ def scorer(trained: Trained) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 if trained.model is None:
                     s = np.full(b.num_rows, trained.share)
                 else:
-                    w = Words(b.column("_text"), ALNUM, (PREFIX,))
+                    w = Words(b.column("text"), ALNUM, (PREFIX,))
                     s = scores(trained.model, slots(w.hashes, w.prefixes[0]), w.bounds)
-                limit = [trained.thresholds.get(x or "", DEFAULT_THRESHOLD) for x in b.column("_lang").to_pylist()]
-                names = [c for c in b.schema.names if c not in ("_text", "_lang")]
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(s, pa.float64()), pa.array(limit, pa.float64())], [*names, "score", "threshold"])
+                limit = [trained.thresholds.get(x or "", DEFAULT_THRESHOLD) for x in b.column("lang").to_pylist()]
+                names = [c for c in b.schema.names if c not in ("text", "lang")]
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(s, pa.float64()), pa.array(limit, pa.float64())], [*names, "r_score", "r_threshold"])
 
     return score
 
 
 def score_toxicity(docs: DataFrame, trained: Trained, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
-    """``keep`` columns, score, threshold of the row's language, and flagged (score at or above it)."""
-    rows = docs.select(*keep, whole(text).alias("_text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    out = rows.mapInArrow(scorer(trained), f"{kinds}, score double, threshold double")
-    return out.withColumn("flagged", F.col("score") >= F.col("threshold"))
+    """``keep`` columns, score, threshold of the row's language, and flagged (score at or above it).
+
+    A result whose name is among ``keep`` gets an underscore at its end.
+    """
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, whole(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
+    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep))
+    out = rows.mapInArrow(scorer(trained), f"{kinds}r_score double, r_threshold double")
+    return restored(out.withColumn("r_flagged", F.col("r_score") >= F.col("r_threshold")), keep, ("score", "threshold", "flagged"))
