@@ -11,12 +11,13 @@ end mark.
 
 The trie is a set of tables, one for each order, and grows with the corpus:
 every context is kept, nothing of it passes through the driver or a broadcast.
-Texts are dealt into parts of about ``part_bytes``. Each part states the
-distinct codes (context and byte) and words it holds and how often they occur
-in its training texts. Sums of these are the counts. Codes never seen in
+Consecutive rows form parts of up to ``part_bytes`` of text. Each part states
+the distinct codes (context and byte) and words it holds and how often they
+occur in its training texts. Sums of these are the counts. Codes never seen in
 training climb down the orders by joins; a node of the trie has at most 256
 neighbours on the next order, so no join has a hot key. The answers go back to
-the parts that asked, which add them up.
+the parts that asked, which add them up; a word whose training occurrences are
+all in one part needs none there.
 
 Nulls count as empty texts, which consist of the end mark. Without training
 texts every byte has probability 1/256 and the base score is 0. A null training
@@ -32,7 +33,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import restored, stored, whole
@@ -43,7 +45,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[list(WHITE)] = True
-WINDOW = 1 << 21
+WINDOW = 1 << 19
+#: A part is numbered by its task and, in this many bits, within it.
+PER_TASK = 11
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -85,6 +89,15 @@ def token_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_string(), len(starts), buffers), np.searchsorted(starts, offsets)
 
 
+def slices(texts: pa.Array, limit: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """Consecutive texts of up to ``limit`` bytes together, one at least, and the first one's index."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), "right")))
+        yield at, texts.slice(at, to - at)
+        at = to
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -93,24 +106,55 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return code, np.bincount(at, n, len(code)).astype(np.int64)
 
 
-def holdings(rows: pa.Table) -> pa.Table:
-    """The distinct codes and words of a part, with their occurrences in its training texts."""
-    codes: list[tuple[np.ndarray, np.ndarray]] = []
+def holdings(rows: pa.Table, part: int) -> pa.RecordBatch:
+    """The distinct codes and words of a part, with their occurrences in its training texts; at last its rows, packed, and how many train."""
+    codes, words, trained = [], [pa.array([], pa.large_string())], [np.zeros(0, np.int64)]
     for training in (True, False):
-        texts = rows.filter(pc.equal(rows["training"], training))["text"].combine_chunks()
-        for code, _ in grams(texts):
-            got, n = np.unique(code, return_counts=True)
-            codes.append((got, n if training else np.zeros(len(got), np.int64)))
+        for _, texts in slices(rows.filter(pc.equal(rows["training"], training))["text"].combine_chunks()):
+            for code, _ in grams(texts):
+                got, n = np.unique(code, return_counts=True)
+                codes.append((got, n if training else np.zeros(len(got), np.int64)))
+            codes = [merged(codes)]
+            found = token_words(texts)[0].value_counts()
+            words.append(found.field("values"))
+            trained.append(found.field("counts").to_numpy() if training else np.zeros(len(found), np.int64))
     code, n = merged(codes)
-    found, bounds = token_words(rows["text"].combine_chunks())
-    found = found.dictionary_encode()
-    trained = np.repeat(rows["training"].to_numpy(zero_copy_only=False), np.diff(bounds))
-    index = found.indices.to_numpy(zero_copy_only=False)
-    m = np.bincount(index[trained], minlength=len(found.dictionary)).astype(np.int64)
-    part = pa.array(np.full(len(code) + len(m), rows["part"][0].as_py(), np.int32))
-    words = pa.concat_arrays([pa.nulls(len(code), pa.large_string()), found.dictionary.cast(pa.large_string())])
-    codes_ = pa.concat_arrays([pa.array(code.astype(np.int64)), pa.nulls(len(m), pa.int64())])
-    return pa.table([part, codes_, words.cast(pa.string()), pa.array(np.concatenate([n, m]).astype(np.int64))], ["part", "code", "word", "n"])
+    found = pa.concat_arrays(words).dictionary_encode()
+    m = np.bincount(found.indices.to_numpy(), np.concatenate(trained), len(found.dictionary)).astype(np.int64)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_table(rows)
+    x, y, kind = len(code), len(m), pa.large_string()
+    columns = [
+        pa.array(np.full(x + y + 1, part, np.int32)),
+        pa.concat_arrays([pa.array(code.astype(np.int64)), pa.nulls(y + 1, pa.int64())]),
+        pa.concat_arrays([pa.nulls(x, kind), found.dictionary.cast(kind), pa.nulls(1, kind)]).cast(pa.string()),
+        pa.array(np.concatenate([n, m, [pc.sum(rows["training"]).as_py() or 0]]).astype(np.int64)),
+        pa.concat_arrays([pa.nulls(x + y, pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["part", "code", "word", "n", "packed"])
+
+
+def parts_of(part_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Parts of consecutive rows, none of them over ``part_bytes`` of text unless it is one row; a text is never cut."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, held, size = TaskContext.get().partitionId() << PER_TASK, 0, [], 0
+        for b in batches:
+            ends, at = np.cumsum(pc.binary_length(b.column("text")).to_numpy()), 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                to = max(int(np.searchsorted(ends, before + part_bytes - size, "right")), at if held else at + 1)
+                if to > at:
+                    held.append(b.slice(at, to - at))
+                    size, at = size + int(ends[to - 1] - before), to
+                if at < len(ends):
+                    yield holdings(pa.Table.from_batches(held), first + n)
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield holdings(pa.Table.from_batches(held), first + n)
+
+    return deal
 
 
 def low(column: str, n_bytes: int) -> Column:
@@ -174,6 +218,7 @@ class Lookup:
     def __init__(self, codes: np.ndarray, values: np.ndarray):
         order = np.argsort(codes)
         self.codes, self.values = codes[order], values[order]
+        del values, order
         bits = max(10, int(np.ceil(np.log2(max(2, len(codes))))) + 1)
         self.shift = np.uint64(64 - bits)
         self.keys, self.slots = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits)
@@ -191,51 +236,73 @@ class Lookup:
         return out
 
 
+def word_counts(rows: pa.Table, words: pa.Array, counts: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
+    """Training counts of words: those that occur in other parts too are given, the rest are counted in the part itself."""
+    own, n = [pa.array([], pa.large_string())], [np.zeros(0)]
+    for _, texts in slices(rows.filter(rows["training"])["text"].combine_chunks()):
+        found = token_words(texts)[0].value_counts()
+        own.append(found.field("values"))
+        n.append(found.field("counts").to_numpy())
+    own = pa.concat_arrays(own).dictionary_encode()
+    sums = np.bincount(own.indices.to_numpy(), np.concatenate(n), len(own.dictionary))
+    place = pc.index_in(words, value_set=own.dictionary)
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    sums[place.drop_null().to_numpy()] = counts[known]
+    every = pa.concat_arrays([own.dictionary.cast(pa.large_string()), words.filter(pa.array(~known))])
+    sums = np.concatenate([sums, counts[~known], [0.0]])
+    return lambda found: sums[pc.fill_null(pc.index_in(found, value_set=every), len(every)).to_numpy()]
+
+
 def scorer(n: int, v: int, ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """``n`` training tokens of ``v`` kinds, ``ends`` of them ends."""
     scale = math.log10(n + 1 * (v + 1))
 
-    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = rows["text"].combine_chunks()
-        codes, asked = answers.filter(pc.is_valid(answers["code"])), answers.filter(pc.is_valid(answers["word"]))
-        look = Lookup(codes["code"].to_numpy().astype(np.uint64), codes["value"].to_numpy())
-        total = np.zeros(len(texts))
-        for code, owner in grams(texts):
-            total += np.bincount(owner, look(code), len(texts))
-        found, bounds = token_words(texts)
-        at = pc.index_in(found, value_set=asked["word"].combine_chunks().cast(pa.large_string()))
-        known = ~np.isnan(index := at.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
-        gain = np.zeros(len(found))
-        gain[known] = np.log10(asked["value"].to_numpy() + 1)[index[known].astype(np.int64)]
-        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        m = np.diff(bounds) + 1
-        n_known = np.bincount(text[known], minlength=len(texts)) + (1 if ends else 0)
-        base = np.bincount(text, gain, len(texts)) + math.log10(ends + 1) - m * scale
-        kept = [c for c in rows.column_names if c not in ("part", "training", "text")]
-        results = [m.astype(np.int64), n_known.astype(np.int64), np.full(len(texts), n, np.int64), base, total / math.log(10)]
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(packed["packed"][0].as_buffer()).read_all()
+        column = rows["text"].combine_chunks()
+        is_code = pc.is_valid(answers["code"])
+        look = Lookup(answers["code"].filter(is_code).to_numpy().astype(np.uint64), answers["value"].filter(is_code).to_numpy())
+        others = pc.invert(is_code)
+        counts = word_counts(rows, answers["word"].filter(others).combine_chunks().cast(pa.large_string()), answers["value"].filter(others).to_numpy())
+        del answers, packed, is_code, others
+        total, m, n_known, base = (np.zeros(len(column)) for _ in range(4))
+        for at, texts in slices(column):
+            k, own = len(texts), slice(at, at + len(texts))
+            for code, owner in grams(texts):
+                total[own] += np.bincount(owner, look(code), k)
+            found, bounds = token_words(texts)
+            text, c = np.repeat(np.arange(k), np.diff(bounds)), counts(found)
+            m[own] = np.diff(bounds) + 1
+            n_known[own] = np.bincount(text, c > 0, k) + (1 if ends else 0)
+            base[own] = np.bincount(text, np.log10(c + 1), k) + math.log10(ends + 1) - m[own] * scale
+        kept = [c for c in rows.column_names if c not in ("training", "text")]
+        results = [m.astype(np.int64), n_known.astype(np.int64), np.full(len(column), n, np.int64), base, total / math.log(10)]
         return pa.table([*[rows[c] for c in kept], *map(pa.array, results)], [*kept, *[f"r_{r}" for r in RESULTS]])
 
     return score
 
 
-def score_texts(docs: DataFrame, training: Column, text: str = "text", part_bytes: int = 16_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, text: str = "text", part_bytes: int = 28_000_000) -> DataFrame:
     """The columns of ``docs`` besides the text, and ``RESULTS``: the words' counts and base score, and the model's log10 probability.
 
     The model learns from the rows that ``training`` marks and scores all of them.
     """
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.coalesce(training, F.lit(False)).alias("training"), whole(text).alias("text"))
-    rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
-    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count_if("training")).first()
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // part_bytes + 1)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).drop("id")
-    held = stored(rows.select("part", "training", "text").groupBy("part").applyInArrow(holdings, "part int, code long, word string, n long"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    few = max(rows.sparkSession.sparkContext.defaultParallelism, size // part_bytes + 1)
+    held = stored(rows.coalesce(few).mapInArrow(parts_of(part_bytes), "part int, code long, word string, n long, packed binary"))
     codes = stored(held.filter("code is not null").groupBy("code").agg(F.sum("n").alias("n")))
-    counts = stored(held.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # a word has one row for each part, so no word has more rows than there are parts
+    one = Window.partitionBy("word")
+    words = held.filter("word is not null").select("part", "word", "n", F.sum("n").over(one).alias("c"), (F.min("part").over(one) == F.col("part")).alias("first"))
+    words = stored(words.filter("c > 0 and (first or c <> n)"))
+    n, v = words.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    packed = held.filter("packed is not null").select("part", "packed", "n")
+    ends = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     answers = held.filter("code is not null").select("part", "code").join(log_probabilities(codes), "code").select("part", "code", F.lit(None).cast("string").alias("word"), F.col("log_p").alias("value"))
-    known = held.filter("word is not null").select("part", "word").join(counts, "word").select("part", F.lit(None).cast("long").alias("code"), "word", F.col("c").cast("double").alias("value"))
+    known = words.filter("c <> n").select("part", F.lit(None).cast("long").alias("code"), "word", F.col("c").cast("double").alias("value"))
     kinds = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)], *[f"r_{r} {'double' if 'score' in r else 'long'}" for r in RESULTS]])
-    both = rows.groupBy("part").cogroup(answers.union(known).groupBy("part"))
+    both = packed.select("part", "packed").toDF("p", "packed").groupBy("p").cogroup(answers.union(known).groupBy("part"))
     out = both.applyInArrow(scorer(n + ends, v + (1 if ends else 0), ends), kinds)
     return restored(out, rest, RESULTS)
