@@ -217,26 +217,29 @@ def text_digest(text: Column) -> Column:
 
 
 def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), text_digest(whole(text)).alias("md5"), whole(text).alias("text"))
+    return docs.select(F.col(key).alias("key"), text_digest(whole(text)).alias("md5"), whole(text).alias("text"))
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, margin: float = 0.16, centres: int = 2) -> DataFrame:
-    """One row per row of ``docs``: key, md5 of the text, n_shingles, class_id (the smallest key of the class).
+    """One row per row of ``docs``: key, md5 of the text, n_shingles, class_id and class_md5 (key and md5 of the class's smallest (key, md5)).
+
+    Where keys repeat, different classes may share a class_id; (class_id, class_md5) is theirs alone. Keys may be of any type that has an order.
 
     ``margin``: candidates are checked exactly if their signatures' estimate is
     at least ``least - margin`` (4.5 standard deviations at 128 coordinates).
     """
     signed, grouped = text_classes(keyed_texts(docs, key, text), "n > 0 and key is not null", least, margin, centres)
-    least_key = grouped.groupBy("label").agg(F.min("key").alias("class_id"))
-    classes = stored(grouped.join(least_key, "label").select("md5", "class_id"))
+    least_row = grouped.groupBy("label").agg(F.min(F.struct("key", "md5")).alias("x"))
+    classes = stored(grouped.join(least_row, "label").select("md5", F.col("x.key").alias("class_id"), F.col("x.md5").alias("class_md5")))
     out = signed.select("key", "md5", "n").join(classes, "md5", "left")
-    own = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("class_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "md5", F.col("n").alias("n_shingles"), own.alias("class_id"))
+    judged = (F.col("n") > 0) & F.col("key").isNotNull()
+    own = [F.when(judged, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("class_id", "key"), ("class_md5", "md5"))]
+    return out.select(F.col("key").alias(key), "md5", F.col("n").alias("n_shingles"), *own)
 
 
 def text_classes(rows: DataFrame, judged: str, least: float, margin: float, centres: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows; md5, node, smallest key and class label of each different text of those that are ``judged``."""
-    signed = stored(rows.mapInArrow(sign, "key long, md5 string, n long, sig binary, bands array<long>, bits array<long>"))
+    signed = stored(rows.mapInArrow(sign, f"key {rows.schema['key'].dataType.simpleString()}, md5 string, n long, sig binary, bands array<long>, bits array<long>"))
     full = signed.filter(judged)
     nodes = full.groupBy("md5").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -296,7 +299,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     wordless = signed.filter("n = 0").select("key", "md5").distinct()
     kept = least_row.union(wordless.filter("key is not null")).select(F.col("key").alias(k), F.col("md5").alias(d))
     named = docs.withColumn(d, text_digest(whole(docs[text])))
-    same = named[key].cast("long").eqNullSafe(kept[k]) & (named[d] == kept[d])
+    same = named[key].eqNullSafe(kept[k]) & (named[d] == kept[d])
     apart = wordless.filter("key is null").select(F.col("md5").alias(d))
     loose = named.filter(F.col(key).isNull()).join(apart, d, "left_semi")
     return named.join(kept, same, "left_semi").dropDuplicates([key, d]).select(docs.columns).unionByName(loose.select(docs.columns))

@@ -19,6 +19,7 @@ domain, named unknown.
 from __future__ import annotations
 
 import math
+import warnings
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,7 @@ def fit_rates(
     Unless given, ``total`` is ``growth`` times what the domains with a target
     have, or more where one has too much for its weight at ``least_rate``.
     Domains without a target aim at ``least_rate`` and stand beside the total.
+    Warns if a domain misses its target by more than a hundredth of the total.
     """
     k = range(len(model.domains))
     p = [F.col(f"p_{i}") for i in k]
@@ -103,6 +105,8 @@ def fit_rates(
         if max(abs(a - b) for a, b in zip(new, have, strict=True)) <= 1e-6 * max(1.0, total):
             break
         have = new
+    if max(abs(g - h) for g, h in zip(goal, have, strict=True)) > 0.01 * max(1.0, total):
+        warnings.warn(f"expected tokens {dict(zip(model.domains, have, strict=True))} miss the targets {dict(zip(model.domains, goal, strict=True))}", stacklevel=2)
     return members.withColumn("rate", rate)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import restored, whole
 
 # The kinds in order and the patterns behind them.
 KINDS = ("email", "ip", "card", "phone")
@@ -229,15 +229,15 @@ def finder(field: Field, certain: float) -> Callable[[Iterator[pa.RecordBatch]],
         rows = lambda s: [{"start": a, "kind": k, "end": b} for a, k, b in s]
         for b in batches:
             base, every = [], []
-            for text in b.column("_text").to_pylist():
+            for text in b.column("text").to_pylist():
                 spans, more = [], []
                 if "@" in text or DIGIT.search(text):
                     spans = base_spans(text)
                     more = added_spans(field, text, spans, certain)
                 base.append(rows(spans))
                 every.append(rows(sorted(spans + more)))
-            names = [c for c in b.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(base, span), pa.array(every, span)], [*names, "base_spans", "pii_spans"])
+            names = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(base, span), pa.array(every, span)], [*names, "r_base_spans", "r_pii_spans"])
 
     return find
 
@@ -249,8 +249,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: in
 
 
 def find_pii(docs: DataFrame, field: Field, text: str = "text", certain: float = 0.9) -> DataFrame:
-    """Adds base_spans and pii_spans to the columns besides the text: arrays of (start, kind, end)."""
-    keep = [c for c in docs.columns if c not in (text, "base_spans", "pii_spans", "_text")]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    """Adds base_spans and pii_spans to the columns besides the text: arrays of (start, kind, end).
+
+    A result whose name is taken gets an underscore at its end.
+    """
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], whole(text).alias("text"))
+    kinds = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(rest))
     span = "array<struct<start: bigint, kind: int, end: bigint>>"
-    return docs.select(*keep, whole(text).alias("_text")).mapInArrow(finder(field, certain), f"{kinds}, base_spans {span}, pii_spans {span}")
+    return restored(rows.mapInArrow(finder(field, certain), f"{kinds}r_base_spans {span}, r_pii_spans {span}"), rest, ("base_spans", "pii_spans"))

@@ -38,7 +38,7 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = secrets.train(*secrets.labelled_samples(docs))
+    model = secrets.train(secrets.labelled_samples(docs))
     found = secrets.scan_secrets(docs, model)
     count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
     return found.select(
@@ -88,13 +88,13 @@ def op8_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "class_id")
+    return minhash.near_classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "class_id", "class_md5")
 
 
 def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    sized = docs.select("doc_id", sharding.text_size(whole("text")).alias("size"), F.crc32(whole("text").cast("binary")).alias("text_crc32"))
-    out = sharding.shards(sized)
+    small = docs.select("doc_id", F.crc32(whole("text").cast("binary")).alias("text_crc32"), F.octet_length(whole("text")).alias("bytes"))
+    out = sharding.shards(small, F.col("bytes").cast("long") + sharding.OVERHEAD)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

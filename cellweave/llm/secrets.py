@@ -1,31 +1,42 @@
 """Secret scans: fixed patterns, and two character Markov models told apart by likelihood.
 
 Fixed patterns give the spans of kinds assign, access and hex. Any other run
-of 20 or more key characters is scored by the log-likelihood ratio of two
+of 12 or more key characters is scored by the log-likelihood ratio of two
 first-order character models, one of random strings and one of ordinary
-words, and becomes a span of kind random if the whole run and its characters
-on average speak for the random model. All of it is DataFrame work in the
-row of the text; the models are 95 x 95 tables.
+identifiers, and becomes a span of kind random if the run as a whole beats odds
+of a million to one and its characters on average the threshold that one in
+10,000 of the ordinary strings passes, found on strings no model was counted
+from. All of it is DataFrame work in the row of the text; the models are
+95 x 95 tables.
+
+The labelled strings: values of base spans and strings of four alphabets and
+12 to 40 characters made from the keys' digests are random; words, pairs of
+words joined to one name, and numbers are ordinary.
 
 Nulls count as empty texts without spans. Offsets are code points, the end is
-exclusive. Rows and columns given are kept, repeated rows too.
+exclusive. Rows and columns given are kept, repeated rows too. Without labelled
+strings of both kinds no random span is found.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant_array, free_name, whole, words
+from .common import constant_array, neutral, restored, stored, whole, words
 
 # The patterns of the base kinds, in the order of the kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+SHORTEST = 12
+ODDS = math.log(1e6)
 SIDE = 95  # printable ASCII
 EMPTY = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
@@ -75,19 +86,28 @@ def pair_counts(values: DataFrame, value: str) -> list[int]:
     return out
 
 
-def train(random: DataFrame, ordinary: DataFrame, value: str = "value") -> list[float]:
-    """log P(next | previous, random) - log P(next | previous, ordinary) for each pair of characters.
+class Model(NamedTuple):
+    ratios: list[float]  # log P(next | previous, random) - log P(next | previous, ordinary) for each pair of characters
+    per_char: float
 
-    Add-half smoothing. Without a sample on either side every ratio is 0, so nothing is found.
-    """
-    counts = [pair_counts(x, value) for x in (random, ordinary)]
+
+SILENT = Model([0.0] * (SIDE * SIDE), math.inf)
+
+
+def train(labelled: DataFrame, passing: float = 1e-4) -> Model:
+    """From (value, is_random): add-half smoothed models of four fifths of the strings, the threshold from the rest."""
+    held = F.pmod(F.xxhash64("value", F.lit(7)), F.lit(5)) == 0
+    counts = [pair_counts(labelled.filter(F.col("is_random") == kind).filter(~held), "value") for kind in (True, False)]
     if not all(map(sum, counts)):
-        return [0.0] * (SIDE * SIDE)
+        return SILENT
     logs = []
     for n in counts:
         rows = [sum(n[a * SIDE : a * SIDE + SIDE]) for a in range(SIDE)]
         logs.append([math.log((n[i] + 0.5) / (rows[i // SIDE] + 0.5 * SIDE)) for i in range(SIDE * SIDE)])
-    return [a - b for a, b in zip(*logs, strict=True)]
+    ratios = [a - b for a, b in zip(*logs, strict=True)]
+    ordinary = labelled.filter(~F.col("is_random")).filter(held).filter(F.length("value") >= SHORTEST).select((ratio(F.col("value"), ratios) / F.length("value")).alias("r"))
+    high = ordinary.agg(F.percentile("r", F.lit(1 - passing)).alias("r")).first()["r"]
+    return Model(ratios, max(0.5, high or 0.0))
 
 
 def ratio(value: Column, model: list[float]) -> Column:
@@ -101,29 +121,49 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(codes(value), start, step, lambda a: a["sum"])
 
 
-def random_spans(text: Column, base: Column, model: list[float], least: float, per_char: float) -> Column:
+def random_spans(text: Column, base: Column, model: Model) -> Column:
     """Runs that touch no base span and that the random model explains better."""
     free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    speaks = lambda x: (ratio(x["value"], model) >= least) & (ratio(x["value"], model) >= per_char * F.length(x["value"]))
+    speaks = lambda x: ratio(x["value"], model.ratios) >= F.greatest(F.lit(ODDS), F.lit(model.per_char) * F.length(x["value"]))
     return F.filter(F.filter(found(text, RUN, 3), free), speaks)
 
 
-def labelled_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 5000) -> tuple[DataFrame, DataFrame]:
-    """Values of base spans as random strings; words of texts without a base span as ordinary.
-
-    The ordinary ones come from the ``max_docs`` keys with the smallest hashes.
+def made_strings(key: Column) -> tuple[Column, Column]:
+    """Random strings and a number from the digests of a key."""
+    digest = lambda i: F.sha2(F.concat_ws(":", F.lit(i), key.cast("string")), 256)
+    coded = lambda i: F.base64(F.unhex(digest(i)))
+    cut = lambda c, i: c.substr(F.lit(1), (SHORTEST + F.pmod(F.xxhash64(key, F.lit(i)), F.lit(29))).cast("int"))
+    letters = lambda i: F.translate(coded(i), "+/=", "aB")
+    return F.array(cut(digest(1), 1), cut(F.upper(digest(2)), 2), cut(F.translate(coded(3), "=", ""), 3), cut(letters(4), 4), cut(F.upper(letters(5)), 5)), F.array(cut(F.translate(digest(6), "abcdef", "012345"), 6))
+
+
+def labelled_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 5000) -> DataFrame:
+    """(value, is_random) from the ``max_docs`` keys with the smallest hashes, one text of each."""
+    rows = docs.select(F.col(key).alias("k"), whole(text).alias("t")).filter("k is not null")
+    few = F.broadcast(rows.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(max_docs))
+    texts = rows.join(few, "k", "left_semi").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x"))
+    texts = stored(texts.select("k", F.col("x.t").alias("t")).select("k", words(F.col("t")).alias("w"), base_spans(F.col("t")).alias("s")))
+    bare = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), "[^A-Za-z0-9]", "")
+    joined_words = lambda x, i: F.when(i % 10 == 0, F.concat(bare(x), F.initcap(bare(F.get("w", i + 1))))).when(i % 10 == 5, F.concat_ws("_", bare(x), bare(F.get("w", i + 1))))
+    plain = texts.filter(F.size("s") == 0)
+    made, numbers = made_strings(F.col("k"))
+    parts = [
+        (texts.select(F.explode("s.value").alias("value")), True),
+        (texts.select(F.explode(made).alias("value")), True),
+        (plain.select(F.explode("w").alias("value")), False),
+        (plain.select(F.explode(F.transform("w", joined_words)).alias("value")), False),
+        (texts.select(F.explode(numbers).alias("value")), False),
+    ]
+    every = [p.select("value", F.lit(kind).alias("is_random")) for p, kind in parts]
+    return reduce(DataFrame.unionAll, every).filter(F.length("value") > 1)
+
+
+def scan_secrets(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Adds base_spans and secret_spans: arrays of (start, kind, end, value), by start, then kind.
+
+    A result whose name is taken gets an underscore at its end.
     """
-    rows = docs.select(F.col(key).alias("_k"), whole(text).alias("_t"))
-    hit = F.col("_t").rlike(ASSIGN) | F.col("_t").rlike(ACCESS) | F.col("_t").rlike(HEX)
-    random = rows.filter(hit).select(F.explode(base_spans(F.col("_t"))).alias("s")).select(F.col("s.value").alias("value"))
-    few = F.broadcast(rows.select("_k").filter("_k is not null").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_docs))
-    ordinary = rows.join(few, "_k", "left_semi").filter(~hit).select(F.explode(words(F.col("_t"))).alias("value"))
-    return random, ordinary
-
-
-def scan_secrets(docs: DataFrame, model: list[float], text: str = "text", least: float = 12.0, per_char: float = 0.5) -> DataFrame:
-    """Adds base_spans and secret_spans: arrays of (start, kind, end, value), by start, then kind."""
-    t = free_name(docs, "_text")
-    out = docs.withColumn(t, whole(text)).withColumn("base_spans", base_spans(F.col(t)))
-    more = random_spans(F.col(t), F.col("base_spans"), model, least, per_char)
-    return out.withColumn("secret_spans", F.sort_array(F.concat("base_spans", more))).drop(t)
+    rows = neutral(docs).withColumn("text", whole(f"c{docs.columns.index(text)}"))
+    rows = rows.withColumn("r_base_spans", base_spans(F.col("text")))
+    more = random_spans(F.col("text"), F.col("r_base_spans"), model)
+    return restored(rows.withColumn("r_secret_spans", F.sort_array(F.concat("r_base_spans", more))), docs.columns, ("base_spans", "secret_spans"))

@@ -9,7 +9,9 @@ line of bytes that is cut into equal shards, so shards differ by less than two
 records. No range, and so no task, holds a large part of the data.
 
 A null key sorts first; a null text has no bytes. Repeated rows get different
-slots. An empty table gives an empty result.
+slots; records with equal texts are placed by their keys and sizes like others,
+so a group of copies spreads over as many shards as its bytes fill. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import free_name, stored, whole
+from .common import restored, stored, whole
 
 OVERHEAD = 16
 
@@ -60,56 +63,57 @@ def drawn(rows: DataFrame, k: str, size: str, tie: str, each: float) -> tuple[np
 
 def shards(
     records: DataFrame,
-    size: str = "size",
+    size: Column,
     key: str = "doc_id",
     n_shards: int = 40,
     ranges_per_shard: int = 25,
     sample: int = 20000,
     overfull: float = 3.0,
 ) -> DataFrame:
-    """The records with shard (0 to n_shards - 1) and slot (0, 1, ... in each shard).
+    """The records with size, shard (0 to n_shards - 1) and slot (0, 1, ... in each shard); a result whose name is taken gets an underscore.
 
-    ``size`` names a column of positive long, ``key`` one that casts to long.
+    ``size``: positive bytes of a record. Keys that are no whole numbers are ordered by their hashes.
     About ``sample`` keys and ``n_shards * ranges_per_shard`` range totals reach the driver.
     """
-    records = records.drop("shard", "slot")
-    k, tie, r = (free_name(records, x) for x in ("_key", "_tie", "_range"))
-    lowest = F.lit(-(1 << 63)).cast("long")
-    rows = stored(records.withColumn(k, F.coalesce(F.col(key).cast("long"), lowest)).withColumn(tie, F.monotonically_increasing_id()))
-    total = rows.agg(F.sum(size)).first()[0] or 0
+    k, tie, r = "key", "tie", "range"
+    place = F.col(f"c{records.columns.index(key)}")
+    whole_number = isinstance(records.schema[key].dataType, IntegralType)
+    ordered = F.coalesce(place.cast("long") if whole_number else F.when(place.isNotNull(), F.xxhash64(place)), F.lit(-(1 << 63)).cast("long"))
+    named = [f"c{i}" for i in range(len(records.columns))]
+    rows = stored(records.select("*", size.alias("size")).toDF(*named, "r_size").withColumn(k, ordered).withColumn(tie, F.monotonically_increasing_id()))
+    results = ("size", "shard", "slot")
+    total = rows.agg(F.sum("r_size")).first()[0] or 0
     if not total:
-        return rows.drop(k, tie).withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return restored(rows.withColumn("r_shard", F.lit(0)).withColumn("r_slot", F.lit(0).cast("long")), records.columns, results)
     parts = n_shards * ranges_per_shard
-    cuts = splitters(*drawn(rows, k, size, tie, total / sample), parts)
+    cuts = splitters(*drawn(rows, k, "r_size", tie, total / sample), parts)
     for _ in range(3):
         placed = rows.withColumn(r, range_of(cuts)(k, tie))
-        totals = placed.groupBy(r).agg(F.sum(size).alias("bytes"), F.count("*").alias("n"), F.max(size).alias("largest")).orderBy(r).collect()
+        totals = placed.groupBy(r).agg(F.sum("r_size").alias("bytes"), F.count("*").alias("n"), F.max("r_size").alias("largest")).orderBy(r).collect()
         full = [x for x in totals if x["bytes"] > overfull * total / parts and x["bytes"] > 2 * x["largest"]]
         if not full:
             break
         for x in full:  # a bounded number: each holds several shares
-            more = drawn(placed.filter(F.col(r) == x[r]), k, size, tie, x["bytes"] / 2000)
+            more = drawn(placed.filter(F.col(r) == x[r]), k, "r_size", tie, x["bytes"] / 2000)
             cuts = np.concatenate([cuts, splitters(*more, max(2, int(x["bytes"] * parts / total) + 1))])
         cuts = np.sort(cuts)
     placed = rows.withColumn(r, range_of(cuts)(k, tie))
-    totals = placed.groupBy(r).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).orderBy(r).collect()
+    totals = placed.groupBy(r).agg(F.sum("r_size").alias("bytes"), F.count("*").alias("n")).orderBy(r).collect()
     starts, at_byte, at_row = [], 0, 0
     for x in totals:
         starts.append((x[r], at_byte, at_row))
         at_byte, at_row = at_byte + x["bytes"], at_row + x["n"]
-    names = [free_name(records, x) for x in ("_byte", "_row")]
-    begin = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{r} int, {names[0]} long, {names[1]} long"))
+    begin = F.broadcast(rows.sparkSession.createDataFrame(starts, f"{r} int, byte long, row long"))
     inside = F.expr(f"row_number() over (partition by {r} order by {k}, {tie})")
-    before = F.expr(f"sum({size}) over (partition by {r} order by {k}, {tie} rows unbounded preceding)") - F.col(size)
-    i, b, at, head = (free_name(records, x) for x in ("_i", "_b", "_at", "_first"))
-    lined = placed.withColumn(i, inside).withColumn(b, before).join(begin, r)
-    shard = F.least(F.lit(n_shards - 1), F.expr(f"({names[0]} + {b}) * {n_shards} div {total}")).cast("int")
-    lined = lined.withColumn("shard", shard).withColumn(at, (F.col(names[1]) + F.col(i) - 1).cast("long"))
-    first = F.broadcast(lined.groupBy("shard").agg(F.min(at).alias(head)))
-    out = lined.join(first, "shard").withColumn("slot", F.col(at) - F.col(head))
-    return out.select(*records.columns, "shard", "slot")
+    before = F.expr(f"sum(r_size) over (partition by {r} order by {k}, {tie} rows unbounded preceding) - r_size")
+    lined = placed.withColumn("i", inside).withColumn("b", before).join(begin, r)
+    shard = F.least(F.lit(n_shards - 1), F.expr(f"(byte + b) * {n_shards} div {total}")).cast("int")
+    lined = lined.withColumn("r_shard", shard).withColumn("at", (F.col("row") + F.col("i") - 1).cast("long"))
+    first = F.broadcast(lined.groupBy("r_shard").agg(F.min("at").alias("head")))
+    out = lined.join(first, "r_shard").withColumn("r_slot", F.col("at") - F.col("head"))
+    return restored(out, records.columns, results)
 
 
 def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 40) -> DataFrame:
     """The documents with size, shard and slot."""
-    return shards(docs.withColumn("size", text_size(whole(text))), key=key, n_shards=n_shards)
+    return shards(docs, text_size(whole(text)), key, n_shards)

@@ -215,8 +215,9 @@ def test_shards(spark, hot):
     size, slots = defaultdict(int), defaultdict(list)
     for r in got:
         assert r["size"] == len((r.text or "").encode()) + 16
-        size[r.shard] += r["size"]
-        slots[r.shard].append(r.slot)
+        assert r.shard == "s"
+        size[r.shard_] += r["size"]
+        slots[r.shard_].append(r.slot)
     assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 2 * 2016
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert sharding.shard_documents(docs.limit(0)).count() == 0
