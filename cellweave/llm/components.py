@@ -24,3 +24,11 @@ def connected(links: DataFrame) -> DataFrame:
         if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
         label = new.select("node", "label")
+
+
+def united(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, label), with the classes united that ``links`` (u, v) between its nodes connect; rounds run over classes, not nodes."""
+    named = links.select("u", "v").join(label.toDF("u", "lu"), "u").join(label.toDF("v", "lv"), "v")
+    between = connected(named.filter("lu <> lv").select(F.col("lu").alias("u"), F.col("lv").alias("v")).distinct())
+    out = label.join(between.toDF("label", "to"), "label", "left")
+    return stored(out.select("node", F.coalesce("to", "label").alias("label")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, stored, whole
-from .components import connected
+from .components import connected, united
 from .tokens import Words, mix
 
 SHINGLE, COORDINATES, ROWS = 5, 128, 6
@@ -203,7 +203,7 @@ def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def mixed_buckets(entries: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets with several classes, with their labels; each such bucket's largest class and its centre."""
-    named = entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = entries.join(label, "node")
     by_label = named.groupBy("band", "label").agg(F.count("*").alias("m"), F.max_by("node", F.struct("met", "node")).alias("centre"))
     largest = F.max_by(F.struct("label", "centre"), F.struct("m", "label"))
     main = by_label.groupBy("band").agg(F.count("*").alias("labels"), largest.alias("l")).filter("labels > 1")
@@ -247,7 +247,7 @@ def text_classes(rows: DataFrame, judged: str, least: float, margin: float, cent
     entries = nodes.select("node", F.posexplode("bands").alias("i", "h")).select("node", F.xxhash64("i", "h").alias("band"))
     sizes = entries.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
     entries = stored(entries.join(sizes, "band"))  # only buckets of two or more
-    met = entries.groupBy("node").agg(F.sum("m").alias("met"))
+    met = stored(entries.groupBy("node").agg(F.sum("m").alias("met")))
     entries = stored(entries.join(met, "node").select("node", "band", "met"))
     texts = stored(candidate_texts(rows, nodes, met.select("node")))
 
@@ -257,15 +257,15 @@ def text_classes(rows: DataFrame, judged: str, least: float, margin: float, cent
     close = close_pairs(ordered(stars, "node", "v"), nodes, least - margin)
     best = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("close", "v")), False), 1, centres).alias("x"))
     tried = stored(best.select("u", F.explode("x.v").alias("v")))
-    found = stored(links(tried, texts, least).select("u", "v"))
-    label = stored(connected(found))
+    found = links(tried, texts, least).select("u", "v")
+    label = met.select("node").join(connected(found), "node", "left")
+    label = stored(label.select("node", F.coalesce("label", "node").alias("label")))
 
     mixed, main = mixed_buckets(entries, label)
     some = mixed.groupBy("band", "label").agg(central.alias("x")).join(main, "band")
     pairs = ordered(some.filter("label <> main"), "x", "centre")
     more = stored(close_pairs(pairs, nodes, least - margin).select("u", "v").join(tried, ["u", "v"], "left_anti"))
-    found, tried = stored(found.union(links(more, texts, least).select("u", "v"))), tried.union(more)
-    label = stored(connected(found))
+    label, tried = united(label, links(more, texts, least)), tried.union(more)
 
     mixed, main = mixed_buckets(entries, label)
     bits = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]
@@ -276,7 +276,7 @@ def text_classes(rows: DataFrame, judged: str, least: float, margin: float, cent
     rest = minor.join(mixed, (minor["band"] == mixed["band"]) & cross & can_reach(least))
     rest = stored(ordered(rest, "x", "node").join(tried, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
-        label = stored(connected(stored(found.union(links(rest, texts, least).select("u", "v")))))
+        label = united(label, links(rest, texts, least))
 
     grouped = nodes.select("md5", "node", "key").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     return signed, grouped

@@ -51,7 +51,7 @@ def slots(words: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def embed(model: Model, ids: tuple[np.ndarray, ...]) -> np.ndarray:
-    return np.concatenate([t[i] for t, i in zip(model.tables, ids, strict=True)], axis=1)
+    return np.concatenate([t[i] for t, i in zip(model.tables, ids, strict=True)], axis=1).astype(np.float32, copy=False)
 
 
 def responses(model: Model, x: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
@@ -224,6 +224,11 @@ def calibrated(model: Model, rows: DataFrame, marks: DataFrame, totals: dict[int
     return {x: best_threshold(c[1], c[0], weights) for x, c in counts.items()}
 
 
+def halved(m: Model) -> tuple:
+    """The model with tables of half the size, which is what is sent around."""
+    return tuple(m._replace(tables=tuple(t.astype(np.float16) for t in m.tables)))
+
+
 def fitter(totals: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One task fits the model on all rows it gets and returns its arrays, packed."""
 
@@ -237,7 +242,7 @@ def fitter(totals: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         counts = {c: int((y == c).sum()) for c in (1, 0)}
         if all(counts.values()):
             weight = np.where(y > 0, *[totals[c] / counts[c] for c in (1, 0)])
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(fit(*unpacked(got["words"]), y, weight)))], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(halved(fit(*unpacked(got["words"]), y, weight)))], pa.binary())], ["model"])
 
     return fitted
 
@@ -269,6 +274,7 @@ def train(
     if not got:
         return Trained(None, totals[1] / n, {})
     model = Model(*pickle.loads(got[0]["model"]))
+    del got
     left = marks.join(F.broadcast(used.select("_k")), "_k", "left_anti")
     return Trained(model, totals[1] / n, calibrated(model, docs.filter(F.col("_k").isNotNull()), left, totals))
 
