@@ -178,12 +178,12 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     sig = nodes.select("node", "sig")
-    joined = pairs.join(sig.withColumnsRenamed({"node": "u", "sig": "sig_u"}), "u").join(sig.withColumnsRenamed({"node": "v", "sig": "sig_v"}), "v")
+    joined = pairs.join(sig.withColumnsRenamed({"node": "u", "sig": "sig_u"}).hint("merge"), "u").join(sig.withColumnsRenamed({"node": "v", "sig": "sig_v"}).hint("merge"), "v")
     return joined.select("u", "v", "sig_u", "sig_v").mapInArrow(estimate, "u long, v long, close double").filter(F.col("close") >= least)
 
 
 def links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    joined = pairs.join(texts.withColumnsRenamed({"node": "u", "text": "text_u"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "text_v"}), "v")
+    joined = pairs.join(texts.withColumnsRenamed({"node": "u", "text": "text_u"}).hint("merge"), "u").join(texts.withColumnsRenamed({"node": "v", "text": "text_v"}).hint("merge"), "v")
     return joined.select("u", "v", "text_u", "text_v").mapInArrow(compare, "u long, v long, jaccard double").filter(F.col("jaccard") >= least)
 
 
@@ -203,7 +203,7 @@ def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
 
 def mixed_buckets(entries: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of the buckets with several classes, with their labels; each such bucket's largest class and its centre."""
-    named = entries.join(label, "node")
+    named = entries.join(label.hint("merge"), "node")
     by_label = named.groupBy("band", "label").agg(F.count("*").alias("m"), F.max_by("node", F.struct("met", "node")).alias("centre"))
     largest = F.max_by(F.struct("label", "centre"), F.struct("m", "label"))
     main = by_label.groupBy("band").agg(F.count("*").alias("labels"), largest.alias("l")).filter("labels > 1")
