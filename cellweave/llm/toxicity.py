@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from .common import restored, stored, whole
 from .tokens import ALNUM, Words
 
 PREFIX, DIM, WIDTHS, FILTERS = 4, 8, (1, 2, 3), 8
-WORD_BITS, PREFIX_BITS = 18, 16
+WORD_BITS, PREFIX_BITS = 17, 15
 DEFAULT_THRESHOLD = 0.3
 GRID = np.arange(20, 81) / 100
 
@@ -182,7 +183,7 @@ def unpacked(words: pa.ChunkedArray) -> tuple[tuple[np.ndarray, ...], np.ndarray
 
 
 class Trained(NamedTuple):
-    model: Model | None
+    model: Broadcast | None  # of a Model's arrays: 5 MB whatever the input
     share: float
     thresholds: dict[str, float]
 
@@ -197,7 +198,7 @@ def best_threshold(toxic: np.ndarray, clean: np.ndarray, weights: tuple[float, f
     return float(GRID[best[len(best) // 2]])
 
 
-def reached(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def reached(model: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """How many thresholds of ``GRID`` each text's score reaches."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +206,13 @@ def reached(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             for at in range(0, big.num_rows, 256):
                 b = big.slice(at, 256)
                 w = Words(b.column("text"), ALNUM, (PREFIX,))
-                s = scores(model, slots(w.hashes, w.prefixes[0]), w.bounds)
+                s = scores(Model(*model.value), slots(w.hashes, w.prefixes[0]), w.bounds)
                 yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("lang"), pa.array(np.searchsorted(GRID, s, side="right").astype(np.int32))], ["_k", "lang", "reached"])
 
     return count
 
 
-def calibrated(model: Model, rows: DataFrame, marks: DataFrame, totals: dict[int, int]) -> dict[str, float]:
+def calibrated(model: Broadcast, rows: DataFrame, marks: DataFrame, totals: dict[int, int]) -> dict[str, float]:
     """Thresholds by language from the rows whose keys ``marks`` names; only keys and counts are shuffled."""
     kind = rows.schema["_k"].dataType.simpleString()
     met = rows.mapInArrow(reached(model), f"_k {kind}, lang string, reached int").join(marks.select("_k", (F.col("toxic") > 0).cast("int").alias("toxic")), "_k")
@@ -273,8 +274,7 @@ def train(
     got = used.select("toxic", "words").repartition(1).mapInArrow(fitter(totals), "model binary").collect()
     if not got:
         return Trained(None, totals[1] / n, {})
-    model = Model(*pickle.loads(got[0]["model"]))
-    del got
+    model = docs.sparkSession.sparkContext.broadcast(pickle.loads(got.pop()["model"]))
     left = marks.join(F.broadcast(used.select("_k")), "_k", "left_anti")
     return Trained(model, totals[1] / n, calibrated(model, docs.filter(F.col("_k").isNotNull()), left, totals))
 
@@ -293,7 +293,7 @@ def scorer(trained: Trained) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     s = np.full(b.num_rows, trained.share)
                 else:
                     w = Words(b.column("text"), ALNUM, (PREFIX,))
-                    s = scores(trained.model, slots(w.hashes, w.prefixes[0]), w.bounds)
+                    s = scores(Model(*trained.model.value), slots(w.hashes, w.prefixes[0]), w.bounds)
                 limit = [trained.thresholds.get(x or "", DEFAULT_THRESHOLD) for x in b.column("lang").to_pylist()]
                 names = [c for c in b.schema.names if c not in ("text", "lang")]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(s, pa.float64()), pa.array(limit, pa.float64())], [*names, "r_score", "r_threshold"])
