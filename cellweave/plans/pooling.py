@@ -201,9 +201,9 @@ def universe_except(t):  # noqa: ANN001, ANN201
     return align.universe_except(part_of(t, F.lit(True)), part_of(t, F.col("l_orderkey") % 3 == 0))
 
 
-@query("universe_union", f"SELECT DISTINCT {RES} AS res, cell FROM {cell_sql('(SELECT * FROM <grid_values> WHERE l_orderkey % 3 <> 2) AS o', RES)} WHERE v IS NOT NULL")
+@query("universe_union", f"SELECT DISTINCT {RES} AS res, cell FROM {cell_sql('(SELECT * FROM <grid_values>) AS o', RES)} WHERE v IS NOT NULL")
 def universe_union(t):  # noqa: ANN001, ANN201
-    return align.universe_union([part_of(t, F.col("l_orderkey") % 3 == k) for k in (0, 1)])
+    return align.universe_union([part_of(t, F.col("l_orderkey") % 3 == k) for k in (0, 1, 2)])
 
 
 @query("universe_fixed", f"SELECT {RES} AS res, cell FROM {PART}")

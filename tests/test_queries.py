@@ -6,7 +6,7 @@ import pytest
 from cellweave.plans import ORACLE, QUERIES
 from cellweave.sources.views import TABLES
 
-CHECKED = ["rollup_levels", "pool_category", "compute_stats", "polygon_cover", "nearest_place", "mask_region_polygon", "expand_years", "scan_grid_csv", "tile_partition", "job_census", "job_land"]
+CHECKED = ["rollup_levels", "pool_category", "compute_stats", "polygon_cover", "nearest_place", "mask_region_polygon", "expand_years", "scan_grid_csv", "tile_partition", "job_census", "job_land", "union_same_schema", "universe_union"]
 
 
 def test_every_query_has_sql():
