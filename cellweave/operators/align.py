@@ -7,24 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.shared import stored_in_ranges
+
 
 def universe_union(parts: list[DataFrame]) -> DataFrame:
     """Distinct (res, cell) of all parts."""
     return reduce(DataFrame.unionByName, [p.select("res", "cell") for p in parts]).distinct()
 
 
-def universe_order(universe: DataFrame, ranges: int = 32) -> DataFrame:
+def universe_order(universe: DataFrame) -> DataFrame:
     """Adds ord: the 0-based place of the cell among the sorted cells of its resolution.
 
-    Cells are numbered inside ranges of ids and ranges are then put end to
-    end, so no task sorts a whole resolution.
+    The cells are written once in sampled ranges of ids, numbered inside them,
+    and the ranges are then put end to end, so no task sorts a whole resolution.
     """
-    ends = universe.groupBy("res").agg(F.min("cell").alias("_lo"), (F.max("cell") - F.min("cell") + 1).alias("_span"))
-    part = F.expr(f"least({ranges - 1}, cast(floor((cell - _lo) / _span * {ranges}) as int))")
-    parts = universe.join(F.broadcast(ends), "res").withColumn("_r", part).drop("_lo", "_span")
+    parts = stored_in_ranges(universe, "res", "cell")
     sizes = parts.groupBy("res", "_r").agg(F.count("*").alias("_m"))
     before = F.sum("_m").over(Window.partitionBy("res").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = F.broadcast(sizes.select("res", "_r", F.coalesce(before, F.lit(0)).alias("_before")))  # resolutions x ranges rows
+    sizes = sizes.select("res", "_r", F.coalesce(before, F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("res", "_r").orderBy("cell"))
     return parts.withColumn("_i", inside).join(sizes, ["res", "_r"]).withColumn("ord", F.col("_before") + F.col("_i") - 1).drop("_r", "_i", "_before")
 

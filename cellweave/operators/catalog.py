@@ -66,24 +66,35 @@ def atlas_catalog(datasets: DataFrame, order: tuple[str, ...] = DATASETS) -> Dat
     return datasets.withColumn("place", place.cast("long") - 1).filter("place >= 0")
 
 
-def stamp(entries: Column) -> Column:
-    """First ten hex digits of the digest of sorted lines."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(entries), "\n"), 256), 1, 10)
+def rolled_digest(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lines, digest) of a column line, whatever the order of the rows.
+
+    Each line has its own SHA-256 and its number of copies. Lines whose digests
+    share six hex digits are digested in sorted order, those that share three
+    digits again, then all of a group: no step gathers a whole folder.
+    """
+    counted = lines.groupBy(*keys, F.sha2("line", 256).alias("_h")).agg(F.count("*").alias("lines"))
+    out = counted.withColumn("_d", F.concat("_h", F.lit(":"), F.col("lines").cast("string")))
+    for digits in (6, 3, 0):
+        one = F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), "\n"), 256)
+        out = out.groupBy(*keys, F.substring("_h", 1, digits).alias("_h")).agg(F.sum("lines").alias("lines"), one.alias("_d"))
+    return out.select(*keys, "lines", F.col("_d").alias("digest"))
 
 
 def level_stamp(files: DataFrame, keys: list[str], described_in: str = "index.json") -> DataFrame:
-    """Version of each level, from names, sizes and times of its files but the description."""
+    """Version of each level: ten digits of the rolled digest of names, sizes and times of its files but the description."""
     line = F.concat_ws(":", "name", F.col("size").cast("string"), F.col("mtime").cast("string"))
-    return files.filter(F.col("name") != described_in).groupBy(*keys).agg(stamp(F.collect_list(line)).alias("stamp"))
+    rolled = rolled_digest(files.filter(F.col("name") != described_in).select(*keys, line.alias("line")), keys)
+    return rolled.select(*keys, F.substring("digest", 1, 10).alias("stamp"))
 
 
 def input_fingerprint(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(path, digest) -> one file's own digest; of several the digest over path and digest in path order."""
-    all_ = F.array_sort(F.collect_list(F.struct("path", "digest")))
-    lines = F.transform(all_, lambda f: F.concat(f["path"], F.lit("\u0000"), f["digest"], F.lit("\n")))
-    out = files.groupBy(*keys).agg(all_.alias("f"))
-    lines = F.transform("f", lambda f: F.concat(f["path"], F.lit("\u0000"), f["digest"], F.lit("\n")))
-    return out.select(*keys, F.size("f").alias("files"), F.when(F.size("f") == 1, F.get("f", F.lit(0))["digest"]).otherwise(F.sha2(F.array_join(lines, ""), 256)).alias("fingerprint"))
+    """(path, digest) -> one file's own digest; of several the rolled digest over path and digest."""
+    line = F.concat("path", F.lit("\u0000"), "digest")
+    own = files.groupBy(*keys).agg(F.min("digest").alias("_own"))
+    rolled = rolled_digest(files.select(*keys, line.alias("line")), keys)
+    out = rolled.join(own, keys)
+    return out.select(*keys, F.col("lines").cast("int").alias("files"), F.when(F.col("lines") == 1, F.col("_own")).otherwise(F.col("digest")).alias("fingerprint"))
 
 
 def provenance_audit(sources: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import cells
@@ -69,11 +69,16 @@ def binned(points: DataFrame, lon: str, lat: str, side: float) -> DataFrame:
     return points.withColumn("_bx", F.floor(F.col(lon) / side)).withColumn("_by", F.floor(F.col(lat) / side))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, key: str, side: float = 0.5) -> DataFrame:
-    """(key, name, near): smallest distance in shares of the place's reach, up to ``NEAR_FACTOR`` of it; the earlier place wins ties."""
+def nearest_place(points: DataFrame, places: DataFrame, key: str, side: float = 0.5, max_broadcast: int = 50_000) -> DataFrame:
+    """(key, name, near): smallest distance in shares of the place's reach, up to ``NEAR_FACTOR`` of it; the earlier place wins ties.
+
+    Up to ``max_broadcast`` places travel to the points; more meet them by bin in a shuffle.
+    """
     claim = F.when(F.col("tier") == 1, CLAIM_KM[1]).when(F.col("tier") == 2, CLAIM_KM[2]).otherwise(CLAIM_KM[3])
     places = places.select("ord", "name", F.col("lon").alias("_plon"), F.col("lat").alias("_plat"), claim.alias("_claim"))
-    found = binned(points, "lon", "lat", side).join(near_bins(places, F.col("_claim") * NEAR_FACTOR, "_plon", "_plat", side), ["_bx", "_by"])
+    spread = near_bins(places, F.col("_claim") * NEAR_FACTOR, "_plon", "_plat", side)
+    few = places.limit(max_broadcast + 1).count() <= max_broadcast
+    found = binned(points, "lon", "lat", side).join(F.broadcast(spread) if few else spread, ["_bx", "_by"])
     dx = (F.col("_plon") - F.col("lon")) * F.cos(F.radians("lat")) * KM_PER_DEGREE
     ratio = F.sqrt(F.pow(dx, 2) + F.pow((F.col("_plat") - F.col("lat")) * KM_PER_DEGREE_CLAIM, 2)) / F.col("_claim")
     found = found.withColumn("_ratio", ratio).filter(F.col("_ratio") <= NEAR_FACTOR)
@@ -96,15 +101,32 @@ def kernel_density(points: DataFrame, places: DataFrame, key: str, reach_km: flo
 
 
 def neighbour_shade(points: DataFrame, key: str, height: str, radius: float, full: float) -> DataFrame:
-    """(key, shade): mean of the capped rises of all others in the 3 x 3 bins around; 0 without neighbours."""
+    """(key, shade): mean of the capped rises of all others in the 3 x 3 bins around; 0 without neighbours.
+
+    Keys are unique. Heights around a bin are sorted once and every point reads
+    running counts and sums at its own height and one full rise above it, so a
+    dense bin costs a sort, not its pairs. A missing height is no rise.
+    """
     low = points.agg(F.min("lon").alias("_lon0"), F.min("lat").alias("_lat0"))
-    own = points.join(F.broadcast(low)).select(key, F.col(height).alias("_h"), F.floor((F.col("lon") - F.col("_lon0")) / radius).alias("_c"), F.floor((F.col("lat") - F.col("_lat0")) / radius).alias("_r"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = own.select(F.col(key).alias("_other"), F.col("_h").alias("_oh"), "_c", "_r", around.alias("_d"))
-    spread = spread.select("_other", "_oh", (F.col("_c") + F.col("_d.i")).alias("_c"), (F.col("_r") + F.col("_d.j")).alias("_r"))
-    rise = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_oh") - F.col("_h")) / full))
-    sums = own.join(spread, ["_c", "_r"]).filter(F.col(key) != F.col("_other")).groupBy(key).agg(F.avg(rise).alias("shade"))
-    return points.select(key).join(sums, key, "left").select(key, F.coalesce("shade", F.lit(0.0)).alias("shade"))
+    own = points.join(F.broadcast(low)).select(key, F.col(height).cast("double").alias("_h"), F.floor((F.col("lon") - F.col("_lon0")) / radius).alias("_c"), F.floor((F.col("lat") - F.col("_lat0")) / radius).alias("_r"))
+    own = own.filter("_c is not null and _r is not null")
+    away = lambda d: F.array([F.lit(i) for i in d])
+    others = own.withColumn("_i", F.explode(away((-1, 0, 1)))).withColumn("_j", F.explode(away((-1, 0, 1))))
+    lowest, highest = F.lit(float("-inf")), F.lit(float("inf"))
+    others = others.select(
+        F.lit(None).alias(key), F.lit(-1).alias("_ask"), (F.col("_c") + F.col("_i")).alias("_c"), (F.col("_r") + F.col("_j")).alias("_r"),
+        F.lit(None).cast("double").alias("_h"), F.coalesce("_h", lowest).alias("_at"), F.lit(1).alias("_one"), F.coalesce("_h", F.lit(0.0)).alias("_add"),
+    )
+    asks = F.posexplode(F.array(F.col("_h"), F.col("_h") + full, highest)).alias("_ask", "_at")
+    asked = own.filter("_h is not null").select(key, "_c", "_r", "_h", asks).withColumns({"_one": F.lit(0), "_add": F.lit(0.0)})
+    so_far = Window.partitionBy("_c", "_r").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = others.unionByName(asked)
+    asked = asked.withColumns({"_n": F.sum("_one").over(so_far), "_s": F.sum("_add").over(so_far)}).filter("_ask >= 0")
+    n, s = ([F.max(F.when(F.col("_ask") == a, F.col(c))) for a in (0, 1, 2)] for c in ("_n", "_s"))
+    read = asked.groupBy(key).agg(F.max("_h").alias("_h"), *[c.alias(f"_n{a}") for a, c in enumerate(n)], *[c.alias(f"_s{a}") for a, c in enumerate(s)])
+    partly = (F.col("_s1") - F.col("_s0") - F.col("_h") * (F.col("_n1") - F.col("_n0"))) / full
+    shade = F.when(F.col("_n2") > 1, (F.col("_n2") - F.col("_n1") + partly) / (F.col("_n2") - 1))
+    return points.select(key).join(read.select(key, shade.alias("shade")), key, "left").select(key, F.coalesce("shade", F.lit(0.0)).alias("shade"))
 
 
 def polygon_cover(polygons: DataFrame, res: int, rings: str = "rings") -> DataFrame:

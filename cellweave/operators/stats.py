@@ -5,38 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.sources.shared import stored_in_ranges
+
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p995": 0.995}
 
 
-def compute_stats(rows: DataFrame, value: str, keys: list[str], with_sum: bool = False, ranges: int = 64, decimals: int = 4) -> DataFrame:
+def compute_stats(rows: DataFrame, value: str, keys: list[str], with_sum: bool = False, decimals: int = 4) -> DataFrame:
     """min, max and the elements at index least(n - 1, floor(p * n)) of the sorted present values.
 
-    Equal values are counted first, and running counts are taken inside value
-    ranges and then over the ranges, so no task sorts a whole group. Groups
-    without values give zeros. ``keys`` names one column at least.
+    Equal values are counted first and the counts are written once, in sampled
+    ranges of (keys, value). Running counts are taken inside the ranges and
+    then over them, so no task sorts a whole group, heavy-tailed values
+    included. Groups without values give zeros; a null key is a group.
     """
-    present = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_m"))
-    groups = rows.groupBy(*keys).agg(
-        F.count(value).alias("_n"), F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"), F.sum(F.col(value).cast("double")).alias("_sum")
-    )
-    span = F.col("_hi") - F.col("_lo")
-    at = F.when(span > 0, F.least(F.lit(ranges - 1), F.floor((F.col("_v") - F.col("_lo")) / span * ranges))).otherwise(0)
-    same = [present[k].eqNullSafe(groups[k]) for k in keys]
-    joined = present.join(groups.drop("_sum"), same).drop(*[groups[k] for k in keys])
-    joined = joined.withColumn("_r", at.cast("int"))
+    counted = rows.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_m"))
+    counted = stored_in_ranges(counted, *keys, "_v")
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counted.groupBy(*keys, "_r").agg(F.sum("_m").alias("_t"))
+    totals = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_r").alias("_range"),
+        F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_below"), F.sum("_t").over(Window.partitionBy(*keys)).alias("_n"),
+    )
     inside = F.sum("_m").over(Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    joined = joined.withColumn("_c", inside)
-    totals = joined.groupBy(*keys, "_r").agg(F.sum("_m").alias("_t"))
-    below = F.sum("_t").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(*keys, "_r", F.coalesce(below, F.lit(0)).alias("_below"))
-    joined = joined.join(totals, [*keys, "_r"])
+    same = [F.col("_r") == F.col("_range"), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
+    placed = counted.withColumn("_c", inside).join(totals, same)
     last = F.col("_below") + F.col("_c")  # 1-based place of the last copy of the value
-    pick = [F.min(F.when(last > F.least(F.col("_n") - 1, F.floor(F.col("_n") * p)), F.col("_v"))).alias(name) for name, p in QUANTILES.items()]
-    found = joined.groupBy(*keys).agg(*pick)
-    out = groups.join(found, keys, "left")
-    tidy = lambda c: F.bround(F.coalesce(F.col(c), F.lit(0.0)), decimals)
-    picked = [tidy("_lo").alias("min"), tidy("_hi").alias("max"), *[tidy(q).alias(q) for q in QUANTILES]]
-    return out.select(*keys, F.col("_n").alias("n"), *picked, *([tidy("_sum").alias("sum")] if with_sum else []))
+    pick = {name: F.min(F.when(last > F.least(F.col("_n") - 1, F.floor(F.col("_n") * p)), F.col("_v"))) for name, p in QUANTILES.items()}
+    measures = {"min": F.min("_v"), "max": F.max("_v"), **pick, **({"sum": F.sum(F.col("_v") * F.col("_m"))} if with_sum else {})}
+    return placed.groupBy(*keys).agg(F.sum("_m").alias("n"), *[F.bround(F.coalesce(m, F.lit(0.0)), decimals).alias(name) for name, m in measures.items()])
 
 
 def sum_invariant(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:

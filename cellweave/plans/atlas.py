@@ -97,12 +97,27 @@ def atlas_catalog(t):  # noqa: ANN001, ANN201
     return catalog.atlas_catalog(d, ("ds3", "ds1", "ds0", "ds9"))
 
 
-@query("level_stamp", "SELECT folder, substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 10) AS stamp FROM (SELECT folder, name || ':' || size || ':' || mtime AS line FROM <files> WHERE name <> 'index.json') GROUP BY folder")
+def rolled_sql(lines: str) -> str:
+    """(folder, lines, digest): the rolled digest of (folder, line)."""
+    out = f"SELECT folder, h, h || ':' || count(*) AS d, count(*) AS lines FROM (SELECT folder, sha256(line) AS h FROM {lines}) GROUP BY folder, h"
+    for digits in (6, 3, 0):
+        out = f"SELECT folder, substr(h, 1, {digits}) AS h, sha256(string_agg(d, chr(10) ORDER BY d)) AS d, sum(lines) AS lines FROM ({out}) GROUP BY ALL"
+    return f"(SELECT folder, lines, d AS digest FROM ({out}))"
+
+
+STAMPED = rolled_sql("(SELECT folder, name || ':' || size || ':' || mtime AS line FROM <files> WHERE name <> 'index.json')")
+
+
+@query("level_stamp", f"SELECT folder, substr(digest, 1, 10) AS stamp FROM {STAMPED}")
 def level_stamp(t):  # noqa: ANN001, ANN201
     return catalog.level_stamp(t("files"), ["folder"])
 
 
-@query("input_fingerprint", "SELECT folder, count(*)::INT AS files, CASE WHEN count(*) = 1 THEN min(digest) ELSE sha256(string_agg(path || chr(0) || digest || chr(10), '' ORDER BY path)) END AS fingerprint FROM (SELECT folder, name || id AS path, sha256(props) AS digest FROM <files>) GROUP BY folder")
+PRINTED = "(SELECT folder, name || id AS path, sha256(props) AS digest FROM <files>)"
+FINGERS = rolled_sql(f"(SELECT folder, path || chr(0) || digest AS line FROM {PRINTED})")
+
+
+@query("input_fingerprint", f"SELECT folder, lines::INT AS files, CASE WHEN lines = 1 THEN own ELSE digest END AS fingerprint FROM {FINGERS} JOIN (SELECT folder, min(digest) AS own FROM {PRINTED} GROUP BY folder) USING (folder)")
 def input_fingerprint(t):  # noqa: ANN001, ANN201
     f = t("files").select("folder", F.concat("name", F.col("id").cast("string")).alias("path"), F.sha2("props", 256).alias("digest"))
     return catalog.input_fingerprint(f, ["folder"])
@@ -170,9 +185,10 @@ def class_group(t):  # noqa: ANN001, ANN201
     return classes.with_group(t("squares"), "code").select("id", "grp")
 
 
-@query("artificial_flag", f"SELECT grp, bool_and(c LIKE '1%') AS artificial, count(*) AS codes FROM {CODES} GROUP BY grp")
+@query("artificial_flag", f"SELECT id, grp, grp IN (SELECT grp FROM {CODES} GROUP BY grp HAVING bool_and(c LIKE '1%')) AS artificial FROM <squares> JOIN {CODES} ON c = trim(code)")
 def artificial_flag(t):  # noqa: ANN001, ANN201
-    return classes.group_flags(t("region").sparkSession)
+    squares = classes.with_group(t("squares"), "code")
+    return squares.join(F.broadcast(classes.group_flags(squares.sparkSession)), "grp").select("id", "grp", "artificial")
 
 
 @query("coverage_ratio", "SELECT avg((e % 3 = 0 OR e % 7 = 0)::INT) AS coverage FROM (SELECT DISTINCT user_id AS e FROM events)")

@@ -78,7 +78,26 @@ def flatten_catalogue(t):  # noqa: ANN001, ANN201
 
 @query("scan_admin_areas", "SELECT id AS name, CASE WHEN hole THEN 10 ELSE 5 END::BIGINT AS n_points, x0 AS west, y0 AS south, x0 + side AS east, y0 + side AS north FROM <squares> WHERE id % 3 = 0")
 def scan_admin_areas(t):  # noqa: ANN001, ANN201
-    return files.scan_admin_areas(ps.square_polygons(t).select(F.col("id").alias("name"), (F.col("id") % 3 + 9).alias("gf"), "rings"))
+    path, p = folder(t, "areas"), ps.square_polygons(t).select(F.col("id").alias("name"), (F.col("id") % 3 + 9).alias("gf"), "rings")
+    p.write.json(path)
+    return files.scan_admin_areas(p.sparkSession.read.schema(p.schema).json(path), expected=t("squares").filter("id % 3 = 0").count())
+
+
+@query("scan_weights", f"SELECT grid_id, weight FROM {po.WEIGHTS}")
+def scan_weights(t):  # noqa: ANN001, ANN201
+    path, w = folder(t, "weights"), t("weight_rows")
+    text = F.coalesce(F.col("weight").cast("string"), F.lit("."))
+    w.orderBy("seq").select(F.col("grid_id").alias("GITTER_ID_100m"), text.alias("Einwohner")).write.option("sep", ";").option("header", True).csv(path)
+    return files.scan_weights(w.sparkSession, path, "Einwohner")
+
+
+@query("scan_unit_xml", f"SELECT status, count(*) AS units, sum(kw) AS kw FROM {ps.USABLE} GROUP BY status")
+def scan_unit_xml(t):  # noqa: ANN001, ANN201
+    path, u = folder(t, "xml"), t("units")
+    fields = {"EinheitMastrNummer": "id", "Laengengrad": "lon", "Breitengrad": "lat", "Bruttoleistung": "kw", "Inbetriebnahmedatum": "commissioned", "DatumEndgueltigeStilllegung": "decommissioned", "EinheitBetriebsstatus": "status", "Lage": "lage"}
+    tagged = u.select(*[F.col(c).cast("string").alias(tag) for tag, c in fields.items()])
+    tagged.write.format("xml").option("rowTag", "EinheitWind").option("rootTag", "EinheitenWind").option("charset", "UTF-16").option("declaration", 'version="1.0" encoding="UTF-16"').save(path)
+    return files.scan_unit_xml(u.sparkSession, path).groupBy("status").agg(F.count("*").alias("units"), F.sum("kw").alias("kw"))
 
 
 # --- jobs

@@ -217,11 +217,6 @@ def universe_order(t):  # noqa: ANN001, ANN201
     return align.universe_order(universe(t))
 
 
-@query("scan_weights", f"SELECT grid_id, weight FROM {WEIGHTS}")
-def scan_weights(t):  # noqa: ANN001, ANN201
-    return align.last_weights(t("weight_rows"), "grid_id", "weight", "seq")
-
-
 @query("join_weights", f"SELECT l_linenumber, count(*) AS rows, count(weight) AS matched, sum(weight) AS total FROM <grid_rows> LEFT JOIN {WEIGHTS} USING (grid_id) GROUP BY l_linenumber")
 def join_weights(t):  # noqa: ANN001, ANN201
     out = align.join_weights(t("grid_rows"), align.last_weights(t("weight_rows"), "grid_id", "weight", "seq"), "grid_id")

@@ -102,11 +102,6 @@ USABLE = "(SELECT * FROM <units> WHERE lon IS NOT NULL AND kw IS NOT NULL)"
 STANDS = "status IN (35, 37, 38) AND NOT (status = 38 AND decommissioned IS NULL) AND extract(year FROM commissioned) <= y AND NOT coalesce(extract(year FROM decommissioned) <= y, FALSE)"
 
 
-@query("scan_unit_xml", f"SELECT status, count(*) AS units, sum(kw) AS kw FROM {USABLE} GROUP BY status")
-def scan_unit_xml(t):  # noqa: ANN001, ANN201
-    return units.usable_units(t("units")).groupBy("status").agg(F.count("*").alias("units"), F.sum("kw").alias("kw"))
-
-
 @query("bbox_filter", "SELECT id FROM <units> WHERE lon BETWEEN 7 AND 10 AND lat BETWEEN 48 AND 52")
 def bbox_filter(t):  # noqa: ANN001, ANN201
     return t("units").filter(pixels.in_box(F.col("lon"), F.col("lat"), 7, 48, 10, 52)).select("id")

@@ -52,6 +52,17 @@ def scan_ascii_grid(spark: SparkSession, path: str, scale: float = 1.0) -> DataF
     return cells.select("file", x.alias("x"), y.alias("y"), value.alias("value"), "_ok").filter("value is not null and _ok is null").drop("_ok")
 
 
+def scan_weights(spark: SparkSession, path: str, column: str, key: str = "GITTER_ID_100m", sep: str = ";") -> DataFrame:
+    """(grid_id, weight) of a second grid file; of repeated cells the last one with a value, in file order.
+
+    Order is the file's name, then the place of the split in it, then the row.
+    """
+    raw = spark.read.option("sep", sep).option("header", True).csv(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = raw.select(F.col(key).alias("grid_id"), values.parse_value(F.col(column)).alias("weight"), place.alias("_place"))
+    return rows.filter("weight is not null").groupBy("grid_id").agg(F.max_by("weight", "_place").alias("weight"))
+
+
 def scan_unit_xml(spark: SparkSession, path: str, element: str = "EinheitWind", charset: str = "UTF-16") -> DataFrame:
     """Units of a register as typed columns; those without usable place or power are dropped."""
     fields = {"EinheitMastrNummer": "id", "Laengengrad": "lon", "Breitengrad": "lat", "Bruttoleistung": "kw", "Inbetriebnahmedatum": "commissioned", "DatumEndgueltigeStilllegung": "decommissioned", "EinheitBetriebsstatus": "status", "Lage": "lage"}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
+
+
+def stored_in_ranges(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows, written once in ranges of ``keys`` that Spark samples, with the range's number as _r.
+
+    Ranges hold about equally many rows however the keys are spread, and follow
+    each other in key order; equal keys share a range.
+    """
+    path = f"{shared_dir(rows.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    rows.repartitionByRange(*keys).withColumn("_r", F.spark_partition_id()).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)

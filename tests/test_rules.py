@@ -10,6 +10,7 @@ from cellweave.operators import align, catalog, pool, raster, series, stats
 from cellweave.operators import spatial as sp
 from cellweave.operators.pool import MetricSpec
 from cellweave.sources import files
+from cellweave.sources.shared import stored_in_ranges
 
 
 def one(df):
@@ -171,7 +172,55 @@ def test_provenance_and_fingerprints(spark):
 
     f = spark.createDataFrame([("one", "a", "11"), ("two", "b", "22"), ("two", "a", "33")], "k string, path string, digest string")
     got = {r.k: r.fingerprint for r in catalog.input_fingerprint(f, ["k"]).collect()}
-    assert got == {"one": "11", "two": hashlib.sha256(b"a\x0033\nb\x0022\n").hexdigest()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    lines = sorted(sha(v) for v in ("a\x0033", "b\x0022"))
+    assert lines[0][:3] != lines[1][:3]  # each is alone in its buckets
+    assert got == {"one": "11", "two": sha("\n".join(sorted(sha(sha(f"{h}:1")) for h in lines)))}
+    repeated = catalog.rolled_digest(spark.createDataFrame([("k", "x")] * 3, "k string, line string"), ["k"]).first()
+    assert (repeated.lines, repeated.digest) == (3, sha(sha(sha(f"{sha('x')}:3"))))
+
+
+def test_ranges_follow_skewed_values(spark):
+    tail = spark.range(4000).select(F.lit("m").alias("k"), F.exp(F.col("id") / 200.0).alias("v"))
+    got = stats.compute_stats(tail, "v", ["k"], with_sum=True).first()
+    want = [math.exp(i / 200.0) for i in range(4000)]
+    assert math.isclose(got.p50, want[2000], abs_tol=1e-3) and math.isclose(got.p995, want[3980], abs_tol=1e-3) and got.n == 4000
+    ranges = stored_in_ranges(tail.repartition(4), "k", "v").groupBy("_r").count().collect()
+    assert max(r["count"] for r in ranges) <= 4000 * 1.5 / len(ranges)
+    nulls = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "k string, v double")
+    assert {r.k: (r.min, r.max, r.p50) for r in stats.compute_stats(nulls, "v", ["k"]).collect()} == {None: (1, 3, 3), "a": (2, 2, 2)}
+    empty = stats.compute_stats(spark.createDataFrame([], "k string, v double"), "v", ["k"])
+    assert empty.count() == 0
+
+
+def test_statistics_of_one_level_need_no_cartesian_product(spark):
+    one = stats.compute_stats(spark.range(9).withColumn("res", F.lit(8)), "id", ["res"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_shade_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.random() / 20, rng.random() / 20, float(rng.choice([0, 10, 10, 15, 20, 30, 500]))) for i in range(300)] + [(300, 9.0, 9.0, 1.0), (301, 0.01, 0.01, None), (302, None, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double, height double")
+    got = {r.id: r.shade for r in sp.neighbour_shade(df, "id", "height", 0.01, 20.0).collect()}
+    placed = [r for r in rows if r[1] is not None]
+    lon0, lat0 = min(r[1] for r in placed), min(r[2] for r in rows)  # the grid starts at the least of each coordinate
+    at = {r[0]: (math.floor((r[1] - lon0) / 0.01), math.floor((r[2] - lat0) / 0.01)) for r in placed}
+    for i, _, _, h in rows:
+        near = [r for r in placed if i in at and h is not None and r[0] != i and max(abs(at[r[0]][0] - at[i][0]), abs(at[r[0]][1] - at[i][1])) <= 1]
+        rise = [min(1.0, max(0.0, (r[3] - h) / 20.0)) if r[3] is not None else 0.0 for r in near]
+        assert math.isclose(got[i], sum(rise) / len(rise) if rise else 0.0, abs_tol=1e-9)
+
+
+def test_many_places_meet_points_by_shuffle(spark, tiny):
+    from cellweave.sources.views import view
+
+    points, places = view(spark, tiny, "points"), view(spark, tiny, "places")
+    sent, met = (sorted(tuple(r) for r in sp.nearest_place(points, places, "id", max_broadcast=m).collect()) for m in (50_000, 3))
+    assert sent == met and sent
 
 
 def test_tiles_and_pixels(spark):
@@ -199,6 +248,14 @@ def test_files(spark, tmp_path):
     (tmp_path / "u.xml").write_bytes(('<?xml version="1.0" encoding="UTF-16"?><EinheitenWind>' + unit.format("SEE1", "9,5") + unit.format("SEE2", "") + "</EinheitenWind>").encode("utf-16"))
     got = files.scan_unit_xml(spark, str(tmp_path / "u.xml")).collect()
     assert [(r.id, r.lon, r.lat, r.kw, str(r.commissioned), r.status) for r in got] == [("SEE1", 9.5, 52.1, 3000.0, "2010-05-01", 35)]
+    for name, lines in (("w1.csv", "a;1\na;–\nb;2\nc;.\n"), ("w2.csv", "b;5\na;.\n")):
+        (tmp_path / "w").mkdir(exist_ok=True)
+        (tmp_path / "w" / name).write_text("GITTER_ID_100m;Einwohner\n" + lines)
+    got = files.scan_weights(spark, str(tmp_path / "w"), "Einwohner")
+    assert {r.grid_id: r.weight for r in got.collect()} == {"a": 0.0, "b": 5.0}
+    areas = spark.createDataFrame([("x", 9, [[(1.0, 2.0), (3.0, 4.0)]])], "name string, gf int, rings array<array<struct<x:double,y:double>>>")
+    with pytest.raises(ValueError, match="1 areas instead of 16"):
+        files.scan_admin_areas(areas, expected=16)
     with pytest.raises(ValueError, match="fields differ"):
         files.union_same_schema([spark.range(1), spark.range(1).withColumn("x", F.lit(1))])
 
