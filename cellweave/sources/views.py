@@ -67,8 +67,8 @@ SELECT o_orderkey AS id, 10.0 + CAST(o_orderkey * 13 % 3000 AS DOUBLE) / 2000.0
 FROM {orders}""",
     # a catalog of metrics by dataset, and modes that read them
     "metrics": """
-SELECT DISTINCT concat('ds', CAST(n_regionkey AS STRING)) AS dataset, concat(CASE WHEN n_nationkey % 3 = 0 THEN 'height_' ELSE 'colour_' END, CAST(2000 + n_nationkey % 4 AS STRING)) AS metric, CASE WHEN n_nationkey % 3 = 0 THEN 'height' ELSE 'colour' END AS kind, n_nationkey % 4 AS step_no
-FROM {nation}""",
+SELECT DISTINCT concat('ds', CAST(user_id AS STRING)) AS dataset, concat(CASE WHEN event_id % 3 = 0 THEN 'height_' ELSE 'colour_' END, CAST(2000 + event_id % 4 AS STRING)) AS metric, CASE WHEN event_id % 3 = 0 THEN 'height' ELSE 'colour' END AS kind, event_id % 4 AS step_no
+FROM {events}""",
     # events as successive runs that describe metrics of datasets
     "runs": """
 SELECT event_id AS run, concat('ds', CAST(user_id % 6 AS STRING)) AS dataset, concat('m', CAST(event_id % 4 AS STRING)) AS metric, CAST(6 + event_id % 4 AS BIGINT) AS res,
