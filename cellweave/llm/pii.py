@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds spans.
 
 The patterns give base spans. The field labels the words that hold a digit,
-@ or + and the words beside them with one of the kinds or none. Potentials:
+@, (at) or + and the words beside them with one of the kinds or none. Potentials:
 features of a word's form, pairs of neighbours, and skip links between one
 occurrence of a word (compared by its digits, or else lower-cased) and the
 next, however far away, which make a document label them alike. Loopy
@@ -9,7 +9,10 @@ sum-product passes messages over both kinds of links; runs of words with a
 marginal of at least ``certain`` for one kind become spans unless they touch a
 base span. The potentials are fitted by pseudo-likelihood in numpy on at most
 ``max_docs`` texts, those with the smallest key hashes among the ones with a
-digit or @, labelled by the patterns.
+digit or @, labelled by the patterns, and on a made text for each of them that
+has spans: there its values stand in forms that no pattern finds, labelled as
+what they are, with or without the value as it was, among ordinary numbers,
+labelled as none.
 
 Nulls count as empty texts without spans. Offsets are code points, the end is
 exclusive. Repeated rows get equal spans. Without sample texts no span is added.
@@ -17,7 +20,9 @@ exclusive. Repeated rows get equal spans. Without sample texts no span is added.
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -37,6 +42,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+AT = re.compile(r"[(\[]at[)\]]", re.IGNORECASE)
 NONE = len(KINDS)
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -99,7 +105,7 @@ def form(word: str) -> list[float]:
     bare = re.sub(r"[ ().+-]", "", word.rstrip(".,;:"))
     flags = [
         "@" in word, "." in word.rstrip("."), word.rstrip(".").count(".") == 3, "-" in word, word.startswith("+"), "(" in word or ")" in word,
-        bare.isdigit(), any(c.isalpha() for c in word), len(word) > 12, len(word) > 24, n >= 14 and n <= 19 and luhn("".join(digits)), n == len(word),
+        AT.search(word) is not None, "[.]" in word, word.count(",") == 3, bare.isdigit(), any(c.isalpha() for c in word), len(word) > 12, len(word) > 24, n >= 14 and n <= 19 and luhn("".join(digits)), n == len(word),
     ]
     return [1.0, *[float(i == bucket) for i in range(len(STEPS))], *map(float, flags)]
 
@@ -108,9 +114,9 @@ WIDTH = len(form("a"))
 
 
 def graph(text: str) -> Graph | None:
-    """Nodes around the words with a digit, @ or +; None without one."""
+    """Nodes around the words with a digit, @, (at) or +; None without one."""
     spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    hot = [i for i, (a, b) in enumerate(spans) if DIGIT.search(text, a, b) or text.find("@", a, b) >= 0 or text[a] == "+"]
+    hot = [i for i, (a, b) in enumerate(spans) if DIGIT.search(text, a, b) or text.find("@", a, b) >= 0 or text[a] == "+" or AT.search(text, a, b)]
     if not hot:
         return None
     nodes = sorted({j for i in hot for j in (i - 1, i, i + 1) if 0 <= j < len(spans)})
@@ -149,12 +155,77 @@ def gold(g: Graph, spans: list[Span]) -> np.ndarray:
     return out
 
 
-def fit(texts: list[str], rounds: int = 200, rate: float = 0.5) -> Field:
+def disguised(kind: int, value: str, pick: random.Random) -> str:
+    """The value in a form that the patterns are not made for."""
+    if kind == 0:
+        return value.replace("@", pick.choice(("(at)", "[at]")))
+    if kind == 1:
+        return value.replace(".", pick.choice(("[.]", ",")))
+    if kind == 2:
+        digits = "".join(DIGIT.findall(value))
+        return pick.choice("./_").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return pick.choice(("", "00")) + value[1:]
+
+
+def ordinary(pick: random.Random) -> str:
+    """A number that is nobody's: date, time, amount, version, measure, count, or 16 digits that fail the Luhn test."""
+    n = pick.randrange
+    digits = str(n(10**15, 10**16))
+    if luhn(digits):
+        digits = digits[:-1] + str((int(digits[-1]) + 1) % 10)
+    grouped = pick.choice("./_").join(digits[i : i + 4] for i in range(0, 16, 4))
+    return pick.choice([
+        f"{n(1900, 2100)}-{n(1, 13):02}-{n(1, 29):02}", f"{n(24):02}:{n(60):02}:{n(60):02}", f"{n(1, 999)},{n(1000):03},{n(1000):03}", f"{n(20)}.{n(20)}.{n(20)}", f"{n(90)}.{n(10**4):04}",
+        str(n(10 ** n(1, 13))), f"{n(100, 1000)}-{n(100, 1000)}", digits, grouped,
+    ])
+
+
+def made(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+    """A text of the spans' values in disguise, half of them after the value itself, among plain words and ordinary numbers; always the same."""
+    pick = random.Random(zlib.crc32(text.encode()))
+    plain = [w for w in WORD.findall(text) if not DIGIT.search(w) and "@" not in w][:200] or ["and"]
+    out: list[str] = []
+    labels: list[Span] = []
+    at = 0
+
+    def put(piece: str, kind: int = NONE) -> None:
+        nonlocal at
+        if kind != NONE:
+            labels.append((at, kind, at + len(piece)))
+        out.append(piece)
+        at += len(piece) + 1
+
+    for a, k, b in spans:
+        form = disguised(k, text[a:b], pick)
+        if base_spans(form):
+            continue
+        pieces = [(form, k), (ordinary(pick), NONE), (ordinary(pick), NONE)] + [(text[a:b], k)] * pick.randrange(2)
+        pick.shuffle(pieces)
+        for piece, kind in pieces:
+            for _ in range(pick.randrange(1, 4)):
+                put(pick.choice(plain))
+            put(piece + pick.choice(("", "", ".", ",")) if kind == NONE else piece, kind)
+        put(pick.choice(plain))
+    return " ".join(out), labels
+
+
+def examples(texts: list[str]) -> list[tuple[str, list[Span]]]:
+    """Texts with their labelled spans: as they are, and made ones."""
+    out = []
+    for text in texts:
+        spans = base_spans(text)
+        out.append((text, spans))
+        if spans:
+            out.append(made(text, spans))
+    return out
+
+
+def fit(labelled: list[tuple[str, list[Span]]], rounds: int = 200, rate: float = 0.5) -> Field:
     """Pseudo-likelihood: each label given the labels of its neighbours on both kinds of links."""
     labels, parts, n = NONE + 1, [], 0
-    for text in texts:
+    for text, spans in labelled:
         if g := graph(text):
-            parts.append((g, gold(g, base_spans(text)), n))
+            parts.append((g, gold(g, spans), n))
             n += len(g.words)
     field = Field(np.zeros((WIDTH, labels)), np.zeros((labels, labels)), np.zeros((labels, labels)))
     if not n:
@@ -231,7 +302,7 @@ def finder(field: Field, certain: float) -> Callable[[Iterator[pa.RecordBatch]],
             base, every = [], []
             for text in b.column("text").to_pylist():
                 spans, more = [], []
-                if "@" in text or DIGIT.search(text):
+                if "@" in text or DIGIT.search(text) or AT.search(text):
                     spans = base_spans(text)
                     more = added_spans(field, text, spans, certain)
                 base.append(rows(spans))
@@ -245,7 +316,7 @@ def finder(field: Field, certain: float) -> Callable[[Iterator[pa.RecordBatch]],
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 2000) -> Field:
     rows = docs.select(F.col(key).alias("_k"), whole(text).alias("_t")).filter("_k is not null")
     few = rows.filter(F.col("_t").rlike("[0-9@]")).select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_docs)
-    return fit(sorted(r["_t"] for r in rows.join(F.broadcast(few), "_k", "left_semi").select("_t").collect()))
+    return fit(examples(sorted(r["_t"] for r in rows.join(F.broadcast(few), "_k", "left_semi").select("_t").collect())))
 
 
 def find_pii(docs: DataFrame, field: Field, text: str = "text", certain: float = 0.9) -> DataFrame:

@@ -1,5 +1,6 @@
 """Learned operators against brute force, probabilities that sum to one, and held-out accuracy."""
 
+import itertools
 import math
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from cellweave.llm import pii, ppm, queries, toxicity
@@ -163,6 +165,61 @@ def test_pii_over_documents(spark, tiny):
         assert set(want) <= {tuple(s) for s in r.pii_spans}
 
 
+def test_pii_field_finds_disguised_values_and_leaves_numbers_alone():
+    """Learned on two thirds of the texts, asked about the values of the others in forms that no pattern has."""
+    texts = [x for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() if x and ("@" in x or pii.DIGIT.search(x))]
+    field = pii.fit(pii.examples(texts[::3]))
+    hits = hidden = wrong = natural = base_total = 0
+    for text in (x for i, x in enumerate(texts) if i % 3):
+        spans = pii.base_spans(text)
+        base_total += len(spans)
+        natural += len(pii.added_spans(field, text, spans, 0.9))
+        made, labels = pii.made(text, spans)
+        base = pii.base_spans(made)
+        want, got = set(labels) - set(base), set(pii.added_spans(field, made, base, 0.9))
+        hits, hidden, wrong = hits + len(want & got), hidden + len(want), wrong + len(got - want)
+    assert hidden > 300
+    assert hits >= 0.8 * hidden
+    assert hits >= 0.98 * (hits + wrong)
+    assert natural <= 0.02 * base_total
+
+
+def test_pii_made_texts_are_labelled_right():
+    text = "Ask mia.77@mail.example.com or +49 (030) 1234567, pay 4845168114407329 from 97.51.17.173 now"
+    spans = pii.base_spans(text)
+    made, labels = pii.made(text, spans)
+    assert (made, labels) == pii.made(text, spans)
+    base = set(pii.base_spans(made))
+    assert base <= set(labels)
+    assert sorted(k for _, k, _ in set(labels) - base) == [0, 1, 2, 3]
+    assert pii.made("no data", []) == ("", [])
+
+
+def enumerated(field, g):
+    """Marginals over all labellings."""
+    n, k = len(g.words), field.unary.shape[1]
+    out, own = np.zeros((n, k)), g.features @ field.unary
+    for labels in itertools.product(range(k), repeat=n):
+        score = sum(own[i, y] for i, y in enumerate(labels))
+        score += sum(field.chain[labels[a], labels[b]] for a, b in g.chain) + sum(field.skip[labels[a], labels[b]] for a, b in g.skip)
+        for i, y in enumerate(labels):
+            out[i, y] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def test_pii_marginals_equal_enumeration():
+    rng = np.random.default_rng(3)
+    same = rng.normal(0, 1, (5, 5))
+    field = pii.Field(rng.normal(0, 0.5, (pii.WIDTH, 5)), rng.normal(0, 1, (5, 5)), same + same.T)
+    tree = pii.graph("a 1234567 b c d e 1234567 f")
+    assert len(tree.skip) == 1 and len(tree.chain) == 4
+    np.testing.assert_allclose(pii.marginals(field, tree), enumerated(field, tree), atol=1e-9)
+    weak = field._replace(chain=field.chain / 8, skip=field.skip / 8)
+    loop = pii.graph("1234567 b 1234567")
+    assert len(loop.skip) == 1 and len(loop.chain) == 2
+    np.testing.assert_allclose(pii.marginals(weak, loop), enumerated(weak, loop), atol=0.02)
+
+
 def test_pii_skip_links_pull_a_copy_along():
     """A bare number gets its kind from its other occurrence, which stands in a telling form."""
     field = pii.Field(np.zeros((pii.WIDTH, 5)), np.zeros((5, 5)), 4 * np.eye(5))
