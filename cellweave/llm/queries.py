@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_chunks, minhash, mixing, pii, ppm, quality, secrets, sharding, toxicity
+from . import decontaminate, filter_audit, line_chunks, minhash, mixing, pii, ppm, quality, secrets, sharding, toxicity
 from .common import fold, read, whole
 
 #: Offsets and counts of the base kinds go into a digest that any engine can recompute.
@@ -106,6 +106,30 @@ def op10_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold", "flagged")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    return filter_audit.audit(docs, labels)
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS q, max((toxic = 1)::INT) AS x FROM labels GROUP BY doc_id),
+m AS (SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS c,
+  regexp_matches(t, '[#$%&*|]') AS e, coalesce(d.doc_id > s.least, false) AS f, coalesce(q, 0) AS good, coalesce(x, 0) AS toxic FROM d JOIN s USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+g AS (SELECT part, a, b, c, e, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT k1.x || k2.x || k3.x || k4.x || k5.x AS o FROM k k1, k k2, k k3, k k4, k k5 WHERE len(list_distinct([k1.x, k2.x, k3.x, k4.x, k5.x])) = 5),
+st AS (SELECT o AS filter_order, i AS step, substr(o, i, 1) AS letter, substr(o, 1, i - 1) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS i)),
+z AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN e THEN 'D' ELSE '' END || CASE WHEN f THEN 'E' ELSE '' END AS fails, n, good, toxic FROM g),
+r AS (SELECT part, filter_order, step, letter, contains(fails, letter) AS here, length(translate(before, fails, '')) < length(before) AS gone, fails = letter AS only_this, n, good, toxic FROM z, st),
+u AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND here), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (gone AND here), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (only_this), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (NOT gone AND here), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND here), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM u
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed": op1_spaced_seed,
     "op2_ppm": op2_ppm,
@@ -117,4 +141,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_llr": op8_quality_llr,
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_toxicity_cnn": op10_toxicity_cnn,
+    "op11_filter_audit": op11_filter_audit,
 }
