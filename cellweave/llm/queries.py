@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, line_chunks, minhash, mixing, pii, ppm, quality, secrets, sharding, toxicity
+from . import conversations, decontaminate, filter_audit, line_chunks, minhash, mixing, pii, ppm, quality, secrets, sharding, toxicity
 from .common import fold, read, whole
 
 #: Offsets and counts of the base kinds go into a digest that any engine can recompute.
@@ -130,6 +130,63 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 """
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, present): rows with the faults that the checksum of their key deals out."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = fold(F.concat(text("conv_id"), F.lit(":"), text("turn")), 20)
+    rows = rows.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind"))
+    body = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_")
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), body.alias("text"), (F.col("kind") != 0).alias("present"), copies).drop("_")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversations.repair(damaged(read(spark, sf_dir, "conversations")), present=F.col("present"))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the checksum of an ASCII text, half a byte at a time; the 16 values follow from the polynomial."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    half = lambda c, b: f"xor(list_extract({table}::BIGINT[], (xor({c}, {b}) & 15)::INT + 1), {c} >> 4)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i::INT, 1))::BIGINT)), lambda c, b: {half(half('c', 'b'), '(b >> 4)')}), 4294967295::BIGINT)"
+
+
+# Places of the pattern: 0 nothing yet, 1 after s, 2 after u, 3 after a pair. Best edits from each row on, last row first.
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+z AS (SELECT *, {crc32_sql("k")} % 20 AS kind FROM o),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM z WHERE kind <> 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+  substr(role, 1, 1) AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+r AS (SELECT conv_id, turn, role, text, i, ini, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM f),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, '', 0), (0, 'I', 2), (0, 'II', 3), (1, '', 1), (1, 'I', 2), (1, 'II', 3), (2, '', 2), (2, 'I', 3), (2, 'II', 2), (3, '', 3), (3, 'I', 2), (3, 'II', 3)) AS t(p, letters, q)),
+nxt AS (SELECT * FROM (VALUES (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) AS t(q, q2, want)),
+y AS (SELECT conv_id, i, q, 'D' AS x, 4 AS c, q AS q2 FROM r, nxt UNION ALL SELECT conv_id, i, q, 'R', 3 + cut::INT * 3, q2 FROM r, nxt WHERE NOT blank AND NOT dup
+  UNION ALL SELECT conv_id, i, q, 'K', cut::INT * 3, q2 FROM r, nxt WHERE NOT blank AND NOT dup AND ini = want UNION ALL SELECT conv_id, i, 0, 'K', cut::INT * 3, 1 FROM r WHERE NOT blank AND NOT dup AND ini = 's'),
+e AS (SELECT conv_id, i, p, letters || x AS letters, c + 3 * length(letters) AS cost, q2 FROM ins JOIN y USING (q)),
+b AS (SELECT conv_id, n + 1 AS i, p, {{'c': 3 * length(letters), 'a': letters}} AS v FROM s, (SELECT p, min(letters) AS letters FROM ins WHERE q IN (0, 3) GROUP BY p) UNION ALL
+  SELECT e.conv_id, e.i, e.p, min({{'c': e.cost + b.v.c, 'a': e.letters || b.v.a}}) AS v FROM b JOIN e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i - 1 AND e.q2 = b.p GROUP BY e.conv_id, e.i, e.p),
+w AS (SELECT conv_id, v.c AS cost, v.a AS audit FROM b WHERE i = 1 AND p = 0),
+l AS (SELECT conv_id, audit, generate_subscripts(string_split(audit, ''), 1) AS k, unnest(string_split(audit, '')) AS x FROM w WHERE audit <> ''),
+m AS (SELECT *, sum((x <> 'I')::INT) OVER a AS i, sum((x <> 'D')::INT) OVER a AS place, sum((x <> 'D')::INT) OVER (PARTITION BY conv_id) % 2 AS odd FROM l WINDOW a AS (PARTITION BY conv_id ORDER BY k)),
+t AS (SELECT m.conv_id, string_agg(CASE WHEN x = 'K' THEN r.role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY place) AS body
+  FROM m LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i WHERE x <> 'D' GROUP BY m.conv_id)
+SELECT a.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated,
+  coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(t.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed": op1_spaced_seed,
     "op2_ppm": op2_ppm,
@@ -142,4 +199,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_toxicity_cnn": op10_toxicity_cnn,
     "op11_filter_audit": op11_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
