@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, filter_audit, line_chunks, minhash, mixing, pii, ppm, quality, secrets, sharding, toxicity
+from . import conversations, decontaminate, filter_audit, line_chunks, minhash, mixing, neighbours, pii, ppm, quality, secrets, sharding, toxicity
 from .common import fold, read, whole
 
 #: Offsets and counts of the base kinds go into a digest that any engine can recompute.
@@ -130,6 +130,13 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
 """
 
 
+def op12_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    held_out = lambda c: fold(c, 5) == 0
+    out = neighbours.score_quality(docs, neighbours.train(docs, labels, ~held_out("doc_id")), ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, present): rows with the faults that the checksum of their key deals out."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -199,5 +206,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sampled_splitters": op9_sampled_splitters,
     "op10_toxicity_cnn": op10_toxicity_cnn,
     "op11_filter_audit": op11_filter_audit,
+    "op12_neighbour_quality": op12_neighbour_quality,
     "op13_conversation_repair": op13_conversation_repair,
 }
