@@ -107,9 +107,9 @@ def votes(model: Model, x: np.ndarray, k: int) -> np.ndarray:
     near = np.maximum(np.round(latent(model.space, x) @ model.vectors.T, 6), 0)
     k = min(k, near.shape[1])
     least = np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
-    vote = np.where(near >= least, near, 0) * model.weight
-    total = vote.sum(axis=1, dtype=float)
-    return np.where(total > 0, (vote @ model.good) / np.maximum(total, 1e-300), model.share)
+    vote = np.where(near >= least, near, 0).astype(float) * model.weight
+    total = vote.sum(axis=1)
+    return np.where(total > 0, np.minimum((vote @ model.good) / np.maximum(total, 1e-300), 1.0), model.share)
 
 
 class Trained(NamedTuple):
