@@ -29,11 +29,6 @@ def universe_order(universe: DataFrame) -> DataFrame:
     return parts.withColumn("_i", inside).join(sizes, ["res", "_r"]).withColumn("ord", F.col("_before") + F.col("_i") - 1).drop("_r", "_i", "_before")
 
 
-def universe_fixed(first: DataFrame | None, run: DataFrame) -> DataFrame:
-    """The universe of the first run; without one this run's cells define it."""
-    return run.select("res", "cell").distinct() if first is None else first
-
-
 def align(universe: DataFrame, metric: DataFrame, fill: str = "null", value: str = "value") -> DataFrame:
     """One row for each cell of the universe; absent cells get NULL or zero, as the metric declares."""
     out = universe.join(metric, ["res", "cell"], "left")

@@ -15,10 +15,15 @@ CENSUS_ZOOM, FINE_ZOOM = {9: 7.0, 10: 10.2}, 7.0
 CHANGE, CHANGE_NEEDS = "change_pct", ("population_2022", "population_2011")
 
 
+def extent() -> list[Column]:
+    """count and bounds, as aggregates of lon and lat."""
+    ends = (("west", F.min, "lon"), ("south", F.min, "lat"), ("east", F.max, "lon"), ("north", F.max, "lat"))
+    return [F.count("*").alias("count"), *[F.round(f(c), 3).alias(n) for n, f, c in ends]]
+
+
 def tile_index(positions: DataFrame, tile: str = "tile") -> DataFrame:
     """count and bounds of each tile."""
-    ends = (("west", F.min, "lon"), ("south", F.min, "lat"), ("east", F.max, "lon"), ("north", F.max, "lat"))
-    return positions.groupBy(tile).agg(F.count("*").alias("count"), *[F.round(f(c), 3).alias(n) for n, f, c in ends])
+    return positions.groupBy(tile).agg(*extent())
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,16 +135,6 @@ def modes_served(needs: DataFrame, metrics: DataFrame) -> DataFrame:
     return have.join(F.broadcast(total), "mode").filter("_have = _all").select("dataset", "mode")
 
 
-def tile_pack(rows: DataFrame, metrics: list[str]) -> DataFrame:
-    """One record per tile: positions, then each metric, in universe order; a missing position is an error."""
-    placed = F.assert_true(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.lit("a cell has no position"))
-    rows = rows.withColumn("_ok", placed).filter("_ok is null")
-    all_ = F.array_sort(F.collect_list(F.struct("ord", "lon", "lat", *[m for m in metrics if m != "ord"])))
-    packed = rows.groupBy("tile").agg(all_.alias("p"))
-    column = lambda m: F.transform("p", lambda x: x[m]).alias(m)
-    return packed.select("tile", F.flatten(F.transform("p", lambda x: F.array(x["lon"], x["lat"]))).alias("positions"), *[column(m) for m in metrics])
-
-
 def write_tiles(rows: DataFrame, path: str) -> None:
     """Parquet by resolution and tile, in universe order; tiles cut the universe without rest."""
     rows.repartition("res", "tile").sortWithinPartitions("res", "tile", "ord").write.partitionBy("res", "tile").parquet(path)

@@ -51,9 +51,9 @@ def pool(rows: DataFrame, spec: MetricSpec, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum(num).alias("num"), F.sum(den).alias("den")).filter("den is not null")
 
 
-def finish(spec: MetricSpec) -> Column:
-    """The value of two sums. The least denominator of a share holds at every level."""
-    num, den = F.col("num"), F.col("den")
+def finish(spec: MetricSpec, num: Column | None = None, den: Column | None = None) -> Column:
+    """The value of two sums, columns num and den if none are given. The least denominator of a share holds at every level."""
+    num, den = (F.col(name) if c is None else c for name, c in (("num", num), ("den", den)))
     if spec.rule == "sum":
         return F.when(den > 0, num)
     enough = (den > 0) & (den >= spec.min_denominator) if spec.rule == "share" else den > 0

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from cellweave.functions import cells, classes, scales
-from cellweave.operators import align, catalog, pool, series, stats
+from cellweave.operators import align, catalog, pool, publish, series, stats
 from cellweave.operators import spatial as sp
 from cellweave.plans import pooling as po
 from cellweave.plans.registry import parent_sql, query
 from cellweave.sources.shared import shared_dir
+from cellweave.sources.store import Store, fixed_universe
 
 # --- universe, tiles and sinks
 
@@ -48,16 +49,65 @@ def shared(t) -> str:  # noqa: ANN001
     return shared_dir(t("region").sparkSession)
 
 
+def folder(t, kind: str) -> str:  # noqa: ANN001
+    """A new folder in it."""
+    return f"{shared(t)}/{kind}-{uuid.uuid4().hex}"
+
+
+def new_store(t) -> Store:  # noqa: ANN001
+    return Store(t("region").sparkSession, folder(t, "atlas"))
+
+
+@query("universe_fixed", f"SELECT {po.RES} AS res, cell FROM {po.PART}")
+def universe_fixed(t):  # noqa: ANN001, ANN201
+    """Two runs on one store, the second with other cells: both have the first one's universe."""
+    store = new_store(t)
+    fixed_universe(store, lambda: po.part_of(t, F.col("l_orderkey") % 3 == 0).select("res", "cell"))
+    return fixed_universe(store, lambda: po.part_of(t, F.lit(True)).select("res", "cell"))
+
+
+def base_run(t):  # noqa: ANN001, ANN201
+    """The base level with its place in the universe and two metrics, written once."""
+    base = pool.pool(po.at_cells(t), po.SUM, ["cell"]).select(F.lit(po.RES).alias("res"), "cell", F.col("num").alias("total"), F.col("den").alias("rows"))
+    path = folder(t, "base")
+    publish.described(base.select("res", "cell"), (po.RES,)).join(base, ["res", "cell"]).write.parquet(path)
+    return base.sparkSession.read.parquet(path)
+
+
+HALVES = f"(SELECT p.*, CASE WHEN tile % 3 <> 0 THEN b.num END AS total, CASE WHEN tile % 3 <> 1 THEN b.den END AS rows FROM {PLACED} p JOIN {po.BASE} b USING (cell))"
+
+
 @query("tile_index", f"SELECT tile, count(*) AS count, round(min(lon), 3) AS west, round(min(lat), 3) AS south, round(max(lon), 3) AS east, round(max(lat), 3) AS north FROM {PLACED} GROUP BY tile")
 def tile_index(t):  # noqa: ANN001, ANN201
-    return catalog.tile_index(placed(t))
+    """The index after two runs that share a third of the tiles."""
+    store, rows = new_store(t), base_run(t)
+    publish.publish(store, "first", rows.filter("tile % 3 <> 0").drop("rows"), {"total": {}})
+    publish.publish(store, "second", rows.filter("tile % 3 <> 1").drop("total"), {"rows": {}})
+    return publish.table(store, "index").select("tile", "count", "west", "south", "east", "north")
+
+
+@query("tile_stats", f"SELECT metric, count(v) AS n, min(v) AS min, max(v) AS max, sum(v) AS sum FROM (SELECT 'total' AS metric, total AS v FROM {HALVES} UNION ALL SELECT 'rows', rows FROM {HALVES}) GROUP BY metric")
+def tile_stats(t):  # noqa: ANN001, ANN201
+    """Statistics of both metrics after two runs."""
+    store, rows = new_store(t), base_run(t)
+    publish.publish(store, "first", rows.filter("tile % 3 <> 0").drop("rows"), {"total": {}})
+    publish.publish(store, "second", rows.filter("tile % 3 <> 1").drop("total"), {"rows": {}})
+    return publish.table(store, "stats").select("metric", "n", "min", "max", "sum")
+
+
+LIST = "array_to_string(list({} ORDER BY ord), ',')"
 
 
-@query("tile_pack", f"SELECT tile, count(*)::INT AS n, round(list_sum(list(lon ORDER BY ord)) + list_sum(list(lat ORDER BY ord)), 3) AS positions, array_to_string(list(ord ORDER BY ord), ',') AS ords FROM {PLACED} GROUP BY tile")
+@query("tile_pack", f"SELECT tile, count(*)::INT AS n, round(list_sum(list(lon ORDER BY ord)) + list_sum(list(lat ORDER BY ord)), 3) AS positions, {LIST.format('cell')} AS cells, CASE WHEN count(total) > 0 THEN {LIST.format('total::BIGINT')} END AS total, CASE WHEN count(rows) > 0 THEN {LIST.format('rows::BIGINT')} END AS rows FROM {HALVES} GROUP BY tile")
 def tile_pack(t):  # noqa: ANN001, ANN201
-    packed = catalog.tile_pack(placed(t), ["cell", "ord"])
-    total = F.aggregate("positions", F.lit(0.0), lambda a, x: a + x)
-    return packed.select("tile", F.size("cell").alias("n"), F.round(total, 3).alias("positions"), F.array_join(F.col("ord").cast("array<string>"), ",").alias("ords"))
+    """Tiles after two runs, each with a metric of its own in two thirds of the tiles."""
+    store, rows = new_store(t), base_run(t)
+    publish.fold_tiles(store, rows.filter("tile % 3 <> 0").drop("rows"), ["total"])
+    publish.fold_tiles(store, rows.filter("tile % 3 <> 1").drop("total"), ["rows"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    text = lambda c, kind: F.array_join(c.cast(f"array<{kind}>").cast("array<string>"), ",")
+    metric = lambda m: text(F.col("metrics")[m], "bigint").alias(m)
+    return publish.tiles(store).select("tile", F.col("count").alias("n"), F.round(total("lon") + total("lat"), 3).alias("positions"), text(F.col("cells"), "bigint").alias("cells"), metric("total"), metric("rows"))
 
 
 @query("encode_metric", f"SELECT res, count(*) AS cells, count(*) FILTER (value IS NULL) AS missing_f32, count(*) FILTER (value IS NULL) AS missing_u8 FROM (SELECT u.res, u.cell, p.value FROM {po.UNIVERSE} u LEFT JOIN (SELECT {po.RES} AS res, * FROM {po.PART}) p USING (res, cell)) GROUP BY res")

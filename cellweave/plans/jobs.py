@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cellweave.functions import cells, classes, crs, pixels, scales, units
@@ -18,13 +16,9 @@ from cellweave.sources import files
 # --- readers
 
 
-def folder(t, kind: str) -> str:  # noqa: ANN001
-    return f"{at.shared(t)}/{kind}-{uuid.uuid4().hex}"
-
-
 @query("scan_grid_csv", "SELECT grid_id, (east + 50)::DOUBLE AS x, (north + 50)::DOUBLE AS y, count(*) AS rows, sum(v) AS total FROM (SELECT *, CASE WHEN l_orderkey % 10 = 0 THEN 0.0 WHEN l_orderkey % 10 IN (1, 2) THEN NULL ELSE l_quantity END AS v FROM (SELECT g.*, l_quantity FROM <grid_rows> JOIN (SELECT NULL AS l_quantity) AS z ON FALSE) AS g) GROUP BY ALL".replace("(SELECT g.*, l_quantity FROM <grid_rows> JOIN (SELECT NULL AS l_quantity) AS z ON FALSE) AS g", "(SELECT *, 4300000 + 100 * ((l_partkey * 7919 + l_orderkey * 31) % 200) AS east, 3000000 + 100 * ((l_suppkey * 104729 + l_orderkey * 17) % 200) AS north, 'CRS3035RES100mN' || (3000000 + 100 * ((l_suppkey * 104729 + l_orderkey * 17) % 200)) || 'E' || (4300000 + 100 * ((l_partkey * 7919 + l_orderkey * 31) % 200)) AS grid_id FROM lineitem) AS g"))
 def scan_grid_csv(t):  # noqa: ANN001, ANN201
-    path, g = folder(t, "csv"), t("grid_rows")
+    path, g = at.folder(t, "csv"), t("grid_rows")
     g.select(F.col("grid_id").alias("GITTER_ID_100m"), F.col("value_text").alias("Einwohner")).write.option("sep", ";").option("header", True).csv(path)
     rows = files.scan_grid_csv(g.sparkSession, path, ["Einwohner"], missing=("-1",))
     return rows.groupBy("grid_id", "x", "y").agg(F.count("*").alias("rows"), F.sum("Einwohner").alias("total"))
@@ -35,7 +29,7 @@ GRID = "(SELECT r % 40 AS r, c % 50 AS c, min(CASE WHEN raw < 5000 THEN -1 ELSE
 
 @query("scan_ascii_grid", f"SELECT 1000.0::DOUBLE + (c + 0.5) * 100 AS x, 2000.0::DOUBLE + (40 - r - 0.5) * 100 AS y, raw * 0.1::DOUBLE AS value FROM {GRID} WHERE raw <> -1")
 def scan_ascii_grid(t):  # noqa: ANN001, ANN201
-    path, p = folder(t, "asc"), t("pixels")
+    path, p = at.folder(t, "asc"), t("pixels")
     grid = p.groupBy((F.col("r") % 40).alias("r"), (F.col("c") % 50).alias("c")).agg(F.min(F.when(F.col("raw") < 5000, -1).otherwise(F.col("raw"))).alias("raw"))
     every = p.sparkSession.range(40).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("c")).join(grid, ["r", "c"], "left")
     line = every.groupBy("r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", F.coalesce("raw", F.lit(-1)).alias("raw")))), lambda v: v["raw"].cast("string")), " ").alias("l"))
@@ -47,7 +41,7 @@ def scan_ascii_grid(t):  # noqa: ANN001, ANN201
 
 @query("scan_polygons", "SELECT trim(code) AS code, count(*) AS parts, sum(CASE WHEN hole THEN 2 ELSE 1 END)::BIGINT AS rings FROM <squares> WHERE id % 7 <> 0 GROUP BY 1")
 def scan_polygons(t):  # noqa: ANN001, ANN201
-    path, p = folder(t, "polygons"), ps.square_polygons(t)
+    path, p = at.folder(t, "polygons"), ps.square_polygons(t)
     p.select(F.col("code").alias("CLC"), F.when(F.col("id") % 7 != 0, F.array("rings")).alias("polygons")).write.json(path)
     rows = files.scan_polygons(p.sparkSession, path, "CLC")
     return rows.groupBy(F.trim("code").alias("code")).agg(F.count("*").alias("parts"), F.sum(F.size("rings")).alias("rings"))
@@ -55,7 +49,7 @@ def scan_polygons(t):  # noqa: ANN001, ANN201
 
 @query("scan_rings", "SELECT ring, pos, x, y FROM (SELECT n_regionkey::INT AS ring, (row_number() OVER (PARTITION BY n_regionkey ORDER BY ord) - 1)::INT AS pos, lon AS x, lat AS y FROM <places> JOIN nation ON ord = n_nationkey)")
 def scan_rings(t):  # noqa: ANN001, ANN201
-    path, p = folder(t, "rings"), t("places").join(t("nation"), F.col("ord") == F.col("n_nationkey"))
+    path, p = at.folder(t, "rings"), t("places").join(t("nation"), F.col("ord") == F.col("n_nationkey"))
     ring = p.groupBy("n_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "lon", "lat"))), lambda v: F.array(v["lon"], v["lat"])).alias("p"))
     ring.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_regionkey", "p"))), lambda v: v["p"]).alias("rings")).write.json(path)
     return files.scan_rings(p.sparkSession, path).select("ring", "pos", "x", "y")
@@ -78,14 +72,14 @@ def flatten_catalogue(t):  # noqa: ANN001, ANN201
 
 @query("scan_admin_areas", "SELECT id AS name, CASE WHEN hole THEN 10 ELSE 5 END::BIGINT AS n_points, x0 AS west, y0 AS south, x0 + side AS east, y0 + side AS north FROM <squares> WHERE id % 3 = 0")
 def scan_admin_areas(t):  # noqa: ANN001, ANN201
-    path, p = folder(t, "areas"), ps.square_polygons(t).select(F.col("id").alias("name"), (F.col("id") % 3 + 9).alias("gf"), "rings")
+    path, p = at.folder(t, "areas"), ps.square_polygons(t).select(F.col("id").alias("name"), (F.col("id") % 3 + 9).alias("gf"), "rings")
     p.write.json(path)
     return files.scan_admin_areas(p.sparkSession.read.schema(p.schema).json(path), expected=t("squares").filter("id % 3 = 0").count())
 
 
 @query("scan_weights", f"SELECT grid_id, weight FROM {po.WEIGHTS}")
 def scan_weights(t):  # noqa: ANN001, ANN201
-    path, w = folder(t, "weights"), t("weight_rows")
+    path, w = at.folder(t, "weights"), t("weight_rows")
     text = F.coalesce(F.col("weight").cast("string"), F.lit("."))
     w.orderBy("seq").select(F.col("grid_id").alias("GITTER_ID_100m"), text.alias("Einwohner")).write.option("sep", ";").option("header", True).csv(path)
     return files.scan_weights(w.sparkSession, path, "Einwohner")
@@ -93,7 +87,7 @@ def scan_weights(t):  # noqa: ANN001, ANN201
 
 @query("scan_unit_xml", f"SELECT status, count(*) AS units, sum(kw) AS kw FROM {ps.USABLE} GROUP BY status")
 def scan_unit_xml(t):  # noqa: ANN001, ANN201
-    path, u = folder(t, "xml"), t("units")
+    path, u = at.folder(t, "xml"), t("units")
     fields = {"EinheitMastrNummer": "id", "Laengengrad": "lon", "Breitengrad": "lat", "Bruttoleistung": "kw", "Inbetriebnahmedatum": "commissioned", "DatumEndgueltigeStilllegung": "decommissioned", "EinheitBetriebsstatus": "status", "Lage": "lage"}
     tagged = u.select(*[F.col(c).cast("string").alias(tag) for tag, c in fields.items()])
     tagged.write.format("xml").option("rowTag", "EinheitWind").option("rootTag", "EinheitenWind").option("charset", "UTF-16").option("declaration", 'version="1.0" encoding="UTF-16"').save(path)
@@ -102,43 +96,6 @@ def scan_unit_xml(t):  # noqa: ANN001, ANN201
 
 # --- jobs
 
-SPECS = {"people": po.SUM, "age": po.WMEAN, "household": po.HMEAN, "rate": po.SHARE}
-PARTIALS = {
-    "people": ("v", "CASE WHEN v IS NOT NULL THEN 1.0 END"),
-    "age": ("CASE WHEN w > 0 THEN v * w END", "CASE WHEN w > 0 AND v IS NOT NULL THEN w END"),
-    "household": ("CASE WHEN v > 0 AND w > 0 THEN w END", "CASE WHEN v > 0 AND w > 0 THEN w / v END"),
-    "rate": ("CASE WHEN v IS NOT NULL THEN w END", "CASE WHEN w IS NOT NULL THEN v END"),
-}
-
-
-def metric_levels(name: str) -> str:
-    num, den = PARTIALS[name]
-    base = f"(SELECT cell, sum({num}) AS num, sum({den}) AS den FROM {po.AT} GROUP BY cell HAVING count({den}) > 0)"
-    value = "num" if name == "people" else "num / den"
-    need = "den >= 25 AND den > 0" if name == "rate" else "den > 0"
-    return f"(SELECT '{name}' AS metric, res, cell, CASE WHEN {need} THEN {value} END AS value FROM (SELECT res, cell, sum(num) AS num, sum(den) AS den FROM {po.level_sql(base)} GROUP BY res, cell))"
-
-
-ALL = "(" + " UNION ALL ".join(f"SELECT * FROM {metric_levels(m)}" for m in SPECS) + ")"
-
-
-@query("job_census", f"SELECT m.metric, u.res, u.cell, round(v.value, 6) AS value FROM (SELECT DISTINCT res, cell FROM {metric_levels('people')}) u CROSS JOIN (SELECT unnest(['people', 'age', 'household', 'rate']) AS metric) m LEFT JOIN {ALL} v ON v.metric = m.metric AND v.res = u.res AND v.cell = u.cell")
-def job_census(t):  # noqa: ANN001, ANN201
-    """Four metrics by four rules from one scan; the first one's cells are the universe of all."""
-    rows = po.people_rows(t)
-    parts = []
-    for name, spec in SPECS.items():
-        num, den = pool.partials(spec)
-        parts.append(F.struct(F.lit(name).alias("metric"), num.cast("double").alias("num"), den.cast("double").alias("den")))
-    long = rows.select("cell", F.explode(F.array(*parts)).alias("p")).select("cell", "p.*").filter("den is not null")
-    base = long.groupBy("metric", "cell").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    levels = pool.rollup(base, po.RES, po.UP, ("metric",))
-    value = F.coalesce(*[F.when(F.col("metric") == m, pool.finish(s)) for m, s in SPECS.items()])
-    levels = levels.select("metric", "res", "cell", F.round(value, 6).alias("value"))
-    universe = levels.filter("metric = 'people'").select("res", "cell", F.explode(F.array(*[F.lit(m) for m in SPECS])).alias("metric"))
-    return universe.join(levels, ["metric", "res", "cell"], "left")
-
-
 RAIN = cell_sql("(SELECT step, raw * 0.1::DOUBLE AS v, 4300000.0::DOUBLE + (c + 0.5) * 100 AS x, 3000000.0::DOUBLE + (2400 - r - 0.5) * 100 AS y FROM <pixels> WHERE raw <> -999)", 8)
 UP1 = "SELECT step, {r} AS res, {c} AS cell, sum(num) AS num, sum(den) AS den FROM {src} GROUP BY ALL"
 

@@ -206,12 +206,6 @@ def universe_union(t):  # noqa: ANN001, ANN201
     return align.universe_union([part_of(t, F.col("l_orderkey") % 3 == k) for k in (0, 1, 2)])
 
 
-@query("universe_fixed", f"SELECT {RES} AS res, cell FROM {PART}")
-def universe_fixed(t):  # noqa: ANN001, ANN201
-    first = align.universe_fixed(None, part_of(t, F.col("l_orderkey") % 3 == 0))
-    return align.universe_fixed(first, part_of(t, F.lit(True)))
-
-
 @query("universe_order", f"SELECT res, cell, row_number() OVER (PARTITION BY res ORDER BY cell) - 1 AS ord FROM {UNIVERSE}")
 def universe_order(t):  # noqa: ANN001, ANN201
     return align.universe_order(universe(t))
@@ -226,10 +220,3 @@ def join_weights(t):  # noqa: ANN001, ANN201
 @query("step_intersect", "SELECT step FROM (SELECT 2000 + step_no AS step, kind AS series FROM <metrics>) GROUP BY step HAVING count(DISTINCT series) = (SELECT count(DISTINCT kind) FROM <metrics>)")
 def step_intersect(t):  # noqa: ANN001, ANN201
     return align.step_intersect(t("metrics").select((F.col("step_no") + 2000).alias("step"), F.col("kind").alias("series")))
-
-
-def people_rows(t) -> DataFrame:  # noqa: ANN001
-    """cell, v, w of the published rows: parsed, placed, ids checked."""
-    rows = t("grid_rows").select(values.parse_grid_id(F.col("grid_id")).alias("g"), values.parse_value(F.col("value_text"), ("-1",)).alias("v"), values.parse_value(F.col("weight_text")).alias("w"))
-    x, y = values.grid_centroid(F.col("g"))
-    return cells.with_cell(rows.select("v", "w", x.alias("x"), y.alias("y")), "x", "y", RES)

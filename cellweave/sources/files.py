@@ -16,23 +16,24 @@ def find_column(columns: list[str], pattern: str, whole: bool = False) -> str |
     return next((c for c in columns if (c.lower().startswith(pattern) if whole else pattern in c.lower())), None)
 
 
-def scan_grid_csv(spark: SparkSession, path: str, columns: list[str], delimiter: str = ";", encoding: str = "UTF-8", missing: tuple[str, ...] = ()) -> DataFrame:
-    """grid_id, x, y and the requested columns as doubles; x and y come from centre columns, else from the id."""
+def scan_grid_csv(spark: SparkSession, path: str, columns: list[str], delimiter: str = ";", encoding: str = "UTF-8", missing: tuple[str, ...] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """grid_id, x, y and the requested columns as doubles; x and y come from centre columns, else from the id. ``more`` is taken along."""
     latin = encoding.lower() in ("cp1252", "windows-1252")
     raw = spark.read.option("sep", delimiter).option("encoding", "ISO-8859-1" if latin else encoding).option("header", True).csv(path)
     names = {c: c.lstrip("﻿") for c in raw.columns}
-    raw = raw.withColumnsRenamed(names)
-    absent = [c for c in columns if c not in raw.columns]
+    absent = [c for c in columns if c not in names.values()]
     if absent:
-        raise ValueError(f"{path} lacks {', '.join(absent)}; it has {', '.join(raw.columns)}")
+        raise ValueError(f"{path} lacks {', '.join(absent)}; it has {', '.join(names.values())}")
+    raw = raw.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()], *more)
     text = (lambda c: F.replace(F.col(c), F.lit(LATIN_DASH), F.lit("–"))) if latin else F.col
-    grid, x, y = find_column(raw.columns, "gitter_id"), find_column(raw.columns, "x_mp", True), find_column(raw.columns, "y_mp", True)
+    grid, x, y = (find_column(list(names.values()), c, start) for c, start in (("gitter_id", False), ("x_mp", True), ("y_mp", True)))
     if grid is None and (x is None or y is None):
         raise ValueError(f"{path} has neither a grid id nor centre columns")
     gx, gy = values.grid_centroid(values.parse_grid_id(F.col(grid))) if grid else (F.lit(None).cast("double"),) * 2
     centre = lambda own, other: F.coalesce(values.parse_value(F.col(own)), other) if own else other
     key = F.col(grid) if grid else F.concat_ws(":", F.round(values.parse_value(F.col(x))).cast("long").cast("string"), F.round(values.parse_value(F.col(y))).cast("long").cast("string"))
-    return raw.select(key.alias("grid_id"), centre(x, gx).alias("x"), centre(y, gy).alias("y"), *[values.parse_value(text(c), missing).alias(c) for c in columns])
+    kept = [c for c in raw.columns if c not in names.values()]
+    return raw.select(key.alias("grid_id"), centre(x, gx).alias("x"), centre(y, gy).alias("y"), *[values.parse_value(text(c), missing).alias(c) for c in columns], *kept)
 
 
 def scan_ascii_grid(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
@@ -52,15 +53,15 @@ def scan_ascii_grid(spark: SparkSession, path: str, scale: float = 1.0) -> DataF
     return cells.select("file", x.alias("x"), y.alias("y"), value.alias("value"), "_ok").filter("value is not null and _ok is null").drop("_ok")
 
 
-def scan_weights(spark: SparkSession, path: str, column: str, key: str = "GITTER_ID_100m", sep: str = ";") -> DataFrame:
+def scan_weights(spark: SparkSession, path: str, column: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
     """(grid_id, weight) of a second grid file; of repeated cells the last one with a value, in file order.
 
+    Cells go by their grid id, those of a file without ids by ``x:y`` of their centres, as in ``scan_grid_csv``.
     Order is the file's name, then the place of the split in it, then the row.
     """
-    raw = spark.read.option("sep", sep).option("header", True).csv(path)
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
-    rows = raw.select(F.col(key).alias("grid_id"), values.parse_value(F.col(column)).alias("weight"), place.alias("_place"))
-    return rows.filter("weight is not null").groupBy("grid_id").agg(F.max_by("weight", "_place").alias("weight"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_place")
+    rows = scan_grid_csv(spark, path, [column], sep, encoding, more=(place,))
+    return rows.filter(F.col(column).isNotNull()).groupBy("grid_id").agg(F.max_by(column, "_place").alias("weight"))
 
 
 def scan_unit_xml(spark: SparkSession, path: str, element: str = "EinheitWind", charset: str = "UTF-16") -> DataFrame:

@@ -36,6 +36,26 @@ SELECT grid_id, x, y, CASE WHEN k = 0 THEN v END AS c0, CASE WHEN k = 1 THEN v E
 FROM (SELECT l_partkey % 4 AS k, CAST(4300050 + 100 * ((l_partkey * 7919 + l_orderkey * 31) % 200) AS DOUBLE) AS x, CAST(3000050 + 100 * ((l_suppkey * 104729 + l_orderkey * 17) % 200) AS DOUBLE) AS y,
   concat('CRS3035RES100mN', CAST(3000000 + 100 * ((l_suppkey * 104729 + l_orderkey * 17) % 200) AS STRING), 'E', CAST(4300000 + 100 * ((l_partkey * 7919 + l_orderkey * 31) % 200) AS STRING)) AS grid_id,
   CASE WHEN l_orderkey % 10 IN (1, 2) THEN NULL ELSE l_quantity END AS v FROM {lineitem}) AS g""",
+    # a census, one grid square for each order, as text with the markers of the published tables; its fractions are exact in binary, so sums are exact in any order
+    "census_text": """
+SELECT k, concat('CRS3035RES100mN', CAST(north AS STRING), 'E', CAST(east AS STRING)) AS grid_id, CAST(east + 50 AS STRING) AS x, CAST(north + 50 AS STRING) AS y,
+  CASE WHEN k % 10 = 0 THEN '–' WHEN k % 10 = 1 THEN '.' ELSE CAST(p % 97 AS STRING) END AS people, CASE WHEN k % 6 = 0 THEN '-1' ELSE CAST(p % 89 AS STRING) END AS people_before,
+  CASE WHEN k % 11 = 0 THEN '/' ELSE concat(CAST(20 + p % 50 AS STRING), CASE WHEN p % 2 = 0 THEN ',0' ELSE ',5' END) END AS age,
+  CASE WHEN k % 9 = 0 THEN '–' ELSE CAST(p % 31 AS STRING) END AS rented, CASE WHEN k % 13 = 0 THEN '...' ELSE concat(CAST(4 + p % 9 AS STRING), CASE WHEN c % 2 = 0 THEN ',25' ELSE ',5' END) END AS rent,
+  CASE WHEN k % 17 = 0 THEN '–' ELSE CAST(1 + p % 40 AS STRING) END AS dwellings, CASE WHEN k % 8 = 0 THEN '–' ELSE CAST(p % 5 AS STRING) END AS built,
+  CASE WHEN k % 19 = 0 THEN 'x' ELSE concat(CAST(c % 30 AS STRING), CASE WHEN p % 2 = 0 THEN ',0' ELSE ',75' END) END AS vacancy, CASE WHEN k % 7 = 0 THEN '–' WHEN c % 3 = 0 THEN '1,0' WHEN c % 3 = 1 THEN '2,0' ELSE '4,0' END AS household,
+  CASE WHEN k % 4 = 0 THEN '–' ELSE CAST(p % 7 AS STRING) END AS h0, CASE WHEN k % 4 = 1 THEN '–' ELSE CAST(p % 11 AS STRING) END AS h1, CASE WHEN k % 4 = 2 THEN '.' ELSE CAST(p % 13 AS STRING) END AS h2
+FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS p, 4200000 + 100 * (o_orderkey % 2000) AS east, 2800000 + 100 * CAST(floor(o_orderkey / 2000) AS BIGINT) AS north FROM {orders}) AS o""",
+    # the same census in numbers
+    "census_values": """
+SELECT k, CAST(east + 50 AS DOUBLE) AS x, CAST(north + 50 AS DOUBLE) AS y,
+  CASE WHEN k % 10 = 0 THEN 0.0 WHEN k % 10 = 1 THEN NULL ELSE CAST(p % 97 AS DOUBLE) END AS people, CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(p % 89 AS DOUBLE) END AS people_before,
+  CASE WHEN k % 11 = 0 THEN NULL ELSE 20 + p % 50 + CAST(p % 2 AS DOUBLE) / 2 END AS age,
+  CASE WHEN k % 9 = 0 THEN 0.0 ELSE CAST(p % 31 AS DOUBLE) END AS rented, CASE WHEN k % 13 = 0 THEN NULL ELSE CAST(4.25 AS DOUBLE) + p % 9 + CAST(c % 2 AS DOUBLE) / 4 END AS rent,
+  CASE WHEN k % 17 = 0 THEN 0.0 ELSE CAST(1 + p % 40 AS DOUBLE) END AS dwellings, CASE WHEN k % 8 = 0 THEN 0.0 ELSE CAST(p % 5 AS DOUBLE) END AS built,
+  CASE WHEN k % 19 = 0 THEN NULL ELSE c % 30 + 3 * CAST(p % 2 AS DOUBLE) / 4 END AS vacancy, CASE WHEN k % 7 = 0 THEN 0.0 WHEN c % 3 = 0 THEN 1.0 WHEN c % 3 = 1 THEN 2.0 ELSE 4.0 END AS household,
+  CASE WHEN k % 4 = 0 THEN 0.0 ELSE CAST(p % 7 AS DOUBLE) END AS h0, CASE WHEN k % 4 = 1 THEN 0.0 ELSE CAST(p % 11 AS DOUBLE) END AS h1, CASE WHEN k % 4 = 2 THEN NULL ELSE CAST(p % 13 AS DOUBLE) END AS h2
+FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(floor(o_totalprice) AS BIGINT) AS p, 4200000 + 100 * (o_orderkey % 2000) AS east, 2800000 + 100 * CAST(floor(o_orderkey / 2000) AS BIGINT) AS north FROM {orders}) AS o""",
     # a register of units
     "units": """
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE 6.0 + CAST(o_orderkey * 13 % 8000 AS DOUBLE) / 1000.0 END AS lon, 47.5 + CAST(o_custkey * 17 % 7000 AS DOUBLE) / 1000.0 AS lat,
