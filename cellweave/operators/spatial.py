@@ -23,26 +23,75 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return whole.select("region", "ring", F.explode(pair).alias("e")).select("region", "ring", "e.*")
 
 
-def crossings(points: DataFrame, edges: DataFrame, key: str, x: str, y: str, band: float) -> DataFrame:
-    """(key, region, ring, n): edges to the right of each point, found in its own band of y."""
-    at = lambda c: F.floor(c / band)
-    spread = edges.withColumn("_band", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
-    own = points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py"), at(F.col(y)).alias("_band"))
-    py, y1, y2, x1, x2 = (F.col(c) for c in ("_py", "y1", "y2", "x1", "x2"))
-    hit = ((y1 > py) != (y2 > py)) & (F.col("_px") < (x2 - x1) * (py - y1) / F.when(y2 != y1, y2 - y1) + x1)
-    return own.join(spread, "_band").filter(hit).groupBy(key, "region", "ring").agg(F.count("*").alias("n"))
-
-
-def clip_to_rings(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat", band: float = 0.25) -> DataFrame:
-    """Points inside any ring; holes are rings like others here."""
-    inside = crossings(points, edges, key, x, y, band).filter("n % 2 = 1").select(key).distinct()
+#: Grids of the index begin here, in sides, so that corners with round coordinates don't fall on their lines.
+SHIFT = math.sqrt(0.5)
+
+
+def line_crossings(edges: DataFrame, side: float, keep: list[str], shift: float = 0.0) -> DataFrame:
+    """(keep, _r, _at): where edges (x1, y1, x2, y2) cross the horizontal lines y = (_r + shift) * side. A line through a corner counts the edge above it."""
+    first, last = F.ceil(F.least("y1", "y2") / side - shift), F.ceil(F.greatest("y1", "y2") / side - shift) - 1
+    rows = edges.filter(first <= last).withColumn("_r", F.explode(F.sequence(first, last)))
+    at = (F.col("x2") - F.col("x1")) * ((F.col("_r") + shift) * side - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    return rows.select(*keep, "_r", at.alias("_at"))
+
+
+def inner_spans(found: Column) -> Column:
+    """Sorted crossings of one line with closed rings -> the spans [a, b) in between that are inside, even-odd."""
+    pairs = F.sequence(F.lit(0), F.floor(F.size(found) / 2).cast("int") - 1)
+    return F.when(F.size(found) >= 2, F.transform(pairs, lambda i: F.struct(F.get(found, i * 2).alias("a"), F.get(found, i * 2 + 1).alias("b")))).otherwise(F.array())
+
+
+def cover_index(edges: DataFrame, groups: list[str], side: float) -> DataFrame:
+    """Squares of a grid that closed rings touch or hold: (groups, _bx, _by, _corner, x1, y1, x2, y2).
+
+    A row without edge says that the square's lower right corner is inside (even-odd over all rings of
+    a group); corners come from the crossings of each grid line, sorted once. A row with an edge is a square on the border and an edge
+    that passes it. A square is in no row where the group is not, so no key grows with the width of a region.
+    """
+    found = line_crossings(edges, side, groups, SHIFT).groupBy(*groups, "_r").agg(F.array_sort(F.collect_list("_at")).alias("_s"))
+    spans = found.select(*groups, F.col("_r").alias("_by"), F.explode(inner_spans(F.col("_s"))).alias("_span"))
+    first, last = F.ceil(F.col("_span.a") / side - SHIFT) - 1, F.ceil(F.col("_span.b") / side - SHIFT) - 2
+    none = [F.lit(None).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    corners = spans.filter(first <= last).select(*groups, F.explode(F.sequence(first, last)).alias("_bx"), "_by", F.lit(1).alias("_corner"), *none)
+    slack = side * 1e-9  # an edge on the side of a square belongs to the squares on both sides
+    at = lambda c: F.floor(c / side - SHIFT)
+    rows = edges.withColumn("_by", F.explode(F.sequence(at(F.least("y1", "y2") - slack), at(F.greatest("y1", "y2") + slack))))
+    slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y2") != F.col("y1"), F.col("y2") - F.col("y1"))
+    inside = lambda y: F.greatest(F.least("y1", "y2"), F.least(F.greatest("y1", "y2"), y))
+    ends = [F.coalesce(F.col("x1") + slope * (inside(y) - F.col("y1")), other) for y, other in (((F.col("_by") + SHIFT) * side, F.col("x1")), ((F.col("_by") + 1 + SHIFT) * side, F.col("x2")))]
+    border = rows.withColumn("_bx", F.explode(F.sequence(at(F.least(*ends) - slack), at(F.greatest(*ends) + slack))))
+    return corners.unionByName(border.select(*groups, "_bx", "_by", F.lit(0).alias("_corner"), "x1", "y1", "x2", "y2"))
+
+
+def held(points: DataFrame, index: DataFrame, key: str, groups: list[str], x: str, y: str, side: float) -> DataFrame:
+    """(key, groups) of points inside, from the index alone, joined by square.
+
+    From a point one way leads right to the side of its square and down to its corner. The
+    point is inside if the corner and the edges crossed on the way, all of its own square, add up to an odd number.
+    """
+    own = points.select(key, F.col(x).alias("_px"), F.col(y).alias("_py"), F.floor(F.col(x) / side - SHIFT).alias("_bx"), F.floor(F.col(y) / side - SHIFT).alias("_by"))
+    px, py, x1, y1, x2, y2 = (F.col(c) for c in ("_px", "_py", "x1", "y1", "x2", "y2"))
+    right, low = (F.col("_bx") + 1 + SHIFT) * side, (F.col("_by") + SHIFT) * side
+    at_y = (x2 - x1) * (py - y1) / F.when(y2 != y1, y2 - y1) + x1
+    at_x = (y2 - y1) * (right - x1) / F.when(x2 != x1, x2 - x1) + y1
+    across = ((y1 > py) != (y2 > py)) & (px < at_y) & (at_y <= right)
+    down = ((x1 > right) != (x2 > right)) & (at_x > low) & (at_x <= py)
+    met = F.col("_corner") + F.coalesce(across.cast("int"), F.lit(0)) + F.coalesce(down.cast("int"), F.lit(0))
+    sums = own.join(index, ["_bx", "_by"]).groupBy(key, *groups).agg(F.sum(met).alias("_n"))
+    return sums.filter("_n % 2 = 1").select(key, *groups)
+
+
+def clip_to_rings(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat", side: float = 0.1) -> DataFrame:
+    """Points inside any ring; holes are rings like others here. Squares of ``side`` serve as index."""
+    rings = ["region", "ring"]
+    inside = held(points, cover_index(edges, rings, side), key, rings, x, y, side).select(key).distinct()
     return points.join(inside, key, "left_semi")
 
 
-def mask_region(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat", band: float = 0.25, name: str = "inside") -> DataFrame:
-    """Even-odd over all rings together, so a hole subtracts."""
-    odd = crossings(points, edges, key, x, y, band).groupBy(key).agg((F.sum("n") % 2 == 1).alias(name))
-    return points.join(odd, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def mask_region(points: DataFrame, edges: DataFrame, key: str, x: str = "lon", y: str = "lat", side: float = 0.1, name: str = "inside") -> DataFrame:
+    """Even-odd over all rings together, so a hole subtracts; a point without place is not inside."""
+    inside = held(points, cover_index(edges, [], side), key, [], x, y, side).withColumn(name, F.lit(True))
+    return points.join(inside, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def within_km(lon: Column, lat: Column, at_lon: float, at_lat: float, km: float = CITY_RADIUS_KM) -> Column:
@@ -130,33 +179,27 @@ def neighbour_shade(points: DataFrame, key: str, height: str, radius: float, ful
 
 
 def polygon_cover(polygons: DataFrame, res: int, rings: str = "rings") -> DataFrame:
-    """Each polygon part with each cell of the lattice whose centre lies in it, even-odd over its rings.
+    """Each polygon part with each cell of the lattice whose centre lies in it, even-odd over its closed rings.
 
-    Rows of the lattice below a part are made first and then cut into cells,
-    so a large part is many rows, not one. An outer ring of fewer than four
-    points covers nothing.
+    Scanline fill: each edge crosses the rows of the lattice between its ends, the crossings of a row are sorted once and
+    the spans between them are cut into cells, so the cost goes by crossings and cells, not by edges times cells. Rows of a large part are dealt over tasks.
+    Parts are told apart by their columns and a hash of their rings; equal rows, however many, are filled once and counted.
+    An outer ring of fewer than four points covers nothing.
     """
     a = cells.EDGE_METRES[res]
     wide, high = a * cells.ROOT3, a * 1.5
-    corners = F.flatten(F.col(rings))
-    edges = F.flatten(F.transform(rings, lambda ring: F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))))
-    rows = polygons.withColumn("_e", F.when(F.size(F.get(rings, F.lit(0))) >= 4, edges))
-    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
-    ends = {"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)}
-    rows = rows.withColumns(ends).filter("_e is not null")
-    rows = rows.withColumn("_r", F.explode(F.sequence(F.floor(F.col("_y0") / high), F.ceil(F.col("_y1") / high))))
-    first, last = F.floor(F.col("_x0") / wide - F.col("_r") / 2), F.ceil(F.col("_x1") / wide - F.col("_r") / 2)
-    rows = rows.withColumn("_q", F.explode(F.sequence(first, last)))
-    rows = rows.withColumns({"_x": (F.col("_q") + F.col("_r") / 2) * wide, "_y": F.col("_r") * high})
-    x, y = F.col("_x"), F.col("_y")
-
-    def crosses(e: Column) -> Column:
-        p, q = e["a"], e["b"]
-        return ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / F.when(q["y"] != p["y"], q["y"] - p["y"]) + p["x"])
-
-    odd = F.size(F.filter("_e", lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
     keep = [c for c in polygons.columns if c != rings]
-    return rows.filter(odd).select(*keep, cells.pack(res, F.col("_q"), F.col("_r")).alias("cell"))
+    edge = lambda ring: F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i)["x"].alias("x1"), F.get(ring, i)["y"].alias("y1"), F.get(ring, i + 1)["x"].alias("x2"), F.get(ring, i + 1)["y"].alias("y2")))
+    parts = polygons.filter(F.size(F.get(rings, F.lit(0))) >= 4).withColumn("_k", F.xxhash64(rings))
+    edges = parts.select(*keep, "_k", F.explode(rings).alias("_ring")).filter(F.size("_ring") >= 2).select(*keep, "_k", F.posexplode(edge(F.col("_ring"))).alias("_i", "_e"))
+    edges = edges.select(*keep, "_k", F.struct(F.col("_i"), F.xxhash64("_e")).alias("_id"), "_e.*")
+    found = line_crossings(edges, high, [*keep, "_k", "_id"]).groupBy(*keep, "_k", "_r").agg(F.sort_array(F.collect_set(F.struct("_at", "_id"))).alias("_s"), F.count("*").alias("_all"))
+    spans = found.select(*keep, "_r", F.floor(F.col("_all") / F.size("_s")).cast("int").alias("_copies"), F.explode(inner_spans(F.transform("_s", lambda c: c["_at"]))).alias("_span"))
+    q = lambda x: x / wide - F.col("_r") / 2
+    rows = spans.withColumn("_q", F.explode(F.sequence(F.floor(q(F.col("_span.a"))), F.ceil(q(F.col("_span.b"))))))
+    x = (F.col("_q") + F.col("_r") / 2) * wide
+    rows = rows.filter((x >= F.col("_span.a")) & (x < F.col("_span.b")))
+    return rows.select(*keep, cells.pack(res, F.col("_q"), F.col("_r")).alias("cell"), F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_")).drop("_")
 
 
 def border_edges(edges: DataFrame, decimals: int = 5) -> DataFrame:

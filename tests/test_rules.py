@@ -275,3 +275,64 @@ def test_stream_of_rows_pools_like_a_batch(spark, tmp_path):
 
 def test_bells_reach_as_far_as_they_matter():
     assert math.exp(-((260 / 26) ** 2) / 2) < 1e-21
+
+
+def star(rng, n, cx=0.0, cy=0.0):
+    """A closed ring of n corners that turns around a centre."""
+    turns = sorted(rng.random() * 2 * math.pi for _ in range(n))
+    ring = [(cx + (0.3 + rng.random()) * math.cos(t), cy + (0.3 + rng.random()) * math.sin(t)) for t in turns]
+    return [*ring, ring[0]]
+
+
+def odd(ring, x, y):
+    """Edges to the right of a point, by hand."""
+    return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
+
+
+def test_masks_equal_even_odd_by_hand(spark):
+    import random
+
+    rng = random.Random(11)
+    rings = [star(rng, n) for n in (4, 9, 60)] + [[(-1.0, -0.5), (1.0, -0.5), (1.0, 0.5), (-1.0, 0.5), (-1.0, -0.5)]]  # the last lies on the grid
+    corners = [("r", k, i, x, y) for k, ring in enumerate(rings) for i, (x, y) in enumerate(ring[:-1])]
+    edges = sp.ring_edges(spark.createDataFrame(corners, "region string, ring int, pos int, x double, y double"))
+    places = [(rng.uniform(-1.6, 1.6), rng.uniform(-1.6, 1.6)) for _ in range(1500)] + [(x / 4, y / 4) for x in range(-6, 7) for y in range(-6, 7)] + [c for ring in rings for c in ring]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)] + [(-1, None, 0.0)], "id long, lon double, lat double")
+    for side in (0.25, 0.07):
+        inside = {r.id for r in sp.mask_region(points, edges, "id", side=side).filter("inside").collect()}
+        any_ = {r.id for r in sp.clip_to_rings(points, edges, "id", side=side).collect()}
+        want = [[odd(ring, x, y) for ring in rings] for x, y in places[: 1500 + 169]]
+        assert {i for i in inside if i < len(want)} == {i for i, w in enumerate(want) if sum(w) % 2}
+        assert {i for i in any_ if i < len(want)} == {i for i, w in enumerate(want) if any(w)}
+
+
+def test_masks_join_on_squares_alone(spark):
+    edges = spark.createDataFrame([("r", 0, 0.0, 0.0, 1.0, 1.0)], "region string, ring int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id int, lon double, lat double")
+    plan = sp.mask_region(points, edges, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bx" in plan and "_by" in plan and "band" not in plan
+    wide = spark.createDataFrame([("r", 0, 0.0, 0.01, 40.0, 0.05), ("r", 0, 40.0, 0.05, 0.0, 0.09), ("r", 0, 0.0, 0.09, 0.0, 0.01)], edges.schema)
+    assert sp.cover_index(wide, [], 0.1).groupBy("_bx", "_by").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_cover_of_a_ring_of_many_corners(spark):
+    """100,000 corners around 3,000 cells: as many cells as the area says, and the cells of the polygon without its tremor."""
+    n, r, a = 100_000, 4000.0, cells.EDGE_METRES[10]
+    ring = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.struct((F.cos(i % n * (2 * math.pi / n)) * (r + (i % 2) * 0.001) + 4.3e6).alias("x"), (F.sin(i % n * (2 * math.pi / n)) * (r + (i % 2) * 0.001) + 3.0e6).alias("y")))
+    got = sp.polygon_cover(spark.range(1).select("id", F.array(ring).alias("rings")), 10)
+    x, y = cells.centre(F.col("cell"), 10)
+    far = F.sqrt(F.pow(x - 4.3e6, 2) + F.pow(y - 3.0e6, 2))
+    rows = got.agg(F.count("*").alias("n"), F.countDistinct("cell").alias("cells"), F.max(far).alias("far"), F.count_if(far < r - 0.01).alias("sure")).first()
+    near = spark.range(-70, 71).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(-90), F.lit(90))).alias("j"))
+    row = F.floor(F.lit(3.0e6 / (a * 1.5))) + F.col("i")
+    column = F.floor(F.lit(4.3e6 / (a * cells.ROOT3)) - row / 2) + F.col("j")
+    there = near.select((F.sqrt(F.pow((column + row / 2) * (a * cells.ROOT3) - 4.3e6, 2) + F.pow(row * (a * 1.5) - 3.0e6, 2)) < r - 0.01).alias("in")).filter("in").count()
+    assert rows.n == rows.cells and rows.far <= r + 0.01 and rows.sure == there > 3000
+
+
+def test_cover_of_repeated_parts_and_parts_of_one_name(spark):
+    square = lambda x, s: [[(x, 0.0), (x + s, 0.0), (x + s, s), (x, s), (x, 0.0)]]
+    df = spark.createDataFrame([(1, square(0.0, 900.0)), (1, square(0.0, 900.0)), (1, square(300.0, 900.0)), (2, [[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]), (3, None)], "id int, rings array<array<struct<x:double,y:double>>>")
+    one = sp.polygon_cover(df.limit(1), 10).count()
+    got = sp.polygon_cover(df, 10).groupBy("id").count().collect()
+    assert [r.id for r in got] == [1] and got[0]["count"] == 2 * one + sp.polygon_cover(spark.createDataFrame([(1, square(300.0, 900.0))], df.schema), 10).count()
