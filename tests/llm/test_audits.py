@@ -185,3 +185,33 @@ def test_quality_of_odd_rows(spark):
     assert one.model is None and {r.score_ for r in neighbours.score_quality(docs, one, ["doc_id", "score"]).collect()} == {1.0}
     none = neighbours.train(docs.limit(0), labels.limit(0), F.lit(True))
     assert neighbours.score_quality(docs.limit(0), none, ["doc_id"]).count() == 0
+
+
+def test_chunks_of_equal_null_and_text_keys(spark):
+    """The second holder of a shared passage loses as many lines, whatever the keys are."""
+    from cellweave.llm import line_chunks
+
+    shared = "\n".join(f"shared line {i}" for i in range(60))
+    texts = [f"one\n{shared}\nend", f"two\nmore\n{shared}\nother end"]
+
+    def removed(kind, keys):
+        docs = spark.createDataFrame([(k, t) for k, t in zip(keys, texts, strict=True)], f"doc_id {kind}, text string")
+        got = line_chunks.without_repeated_chunks(docs).collect()
+        assert {r.doc_id for r in got} == set(keys)
+        return sorted(r.n_removed_lines for r in got)
+
+    want = removed("long", [1, 2])
+    assert want[0] == 0 and want[1] > 20
+    for kind, keys in (("long", [None, None]), ("long", [1, 1]), ("long", [(1 << 63) - 1, None]), ("string", ["a", "b"]), ("string", [None, "b"])):
+        assert removed(kind, keys) == want, keys
+
+
+def test_chunks_of_many_holders_and_one_long_text(spark):
+    from cellweave.llm import line_chunks
+
+    rng = random.Random(9)
+    body = "\n".join(f"common {i} {rng.random()}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{i}\n{body}") for i in range(300)] + [(900, "\n".join(["a line", "b line"] * 40_000))], "doc_id long, text string")
+    chunked = line_chunks.with_chunks(docs, "doc_id", "text", 4)
+    few, many = ({(r._k, tuple(sorted(r._gone))) for r in line_chunks.repeated_chunks(chunked, n).collect()} for n in (7, 2000))
+    assert few == many and len(few) >= 299 and 0 not in {k for k, _ in few}
