@@ -21,6 +21,7 @@ strings of both kinds no random span is found.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -41,23 +42,40 @@ SIDE = 95  # printable ASCII
 EMPTY = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Spans of a pattern: the parts between the matches give the offsets."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    """Spans of a pattern: the lengths of the matches and of what is between them add up to the offsets.
+
+    Lengths are summed in blocks of about the square root of their number, so
+    a text of n matches costs n times that root and not the square.
+    """
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def spans(m: Column) -> Column:
+        size = F.greatest(F.lit(8), F.ceil(F.sqrt(F.size(m["hits"]))).cast("int"))
+        lengths = F.transform(m["hits"], lambda h, i: F.length(F.get(m["gaps"], i)) + F.length(h))
+        blocks = let(lengths, lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), size), lambda at: F.slice(all_, at, size)))
+        return let(F.struct(blocks.alias("blocks"), size.alias("size")), lambda x: placed(m, x["blocks"], x["size"]))
+
+    def placed(m: Column, blocks: Column, size: Column) -> Column:
+        def of_block(block: Column, b: Column, begin: Column) -> Column:
+            start = F.transform(block, lambda _, i: begin + total(F.slice(block, 1, i)) + F.length(F.get(m["gaps"], b * size + i)))
+            return F.transform(start, lambda at, i: span(at, F.get(m["hits"], b * size + i)))
 
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.get(gaps_of(a), i))
-        hit = F.get(hits_of(a), i)
-        end = start + F.length(hit)
-        value = F.regexp_extract(hit, pattern, group) if group else hit
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), hits_of(a).alias("hits"), gaps_of(a).alias("gaps"), F.concat(a["out"], F.array(span)).alias("out"))
+        def span(at: Column, hit: Column) -> Column:
+            value = F.regexp_extract(hit, pattern, group) if group else hit
+            return F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(hit)).alias("end"), value.alias("value"))
 
-    hits_of, gaps_of = (lambda a: a["hits"]), (lambda a: a["gaps"])
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), hits.alias("hits"), gaps.alias("gaps"), F.array().cast(EMPTY).alias("out"))
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), begin, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(F.array().cast(EMPTY))
+        begins = let(F.transform(blocks, total), lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))))
+        return let(begins, lambda all_: F.flatten(F.transform(blocks, lambda block, b: of_block(block, b, F.get(all_, b)))))
+
+    some = let(F.struct(hits.alias("hits"), gaps.alias("gaps")), spans)
+    return F.when(text.rlike(pattern), some).otherwise(F.array().cast(EMPTY))
 
 
 def base_spans(text: Column) -> Column:
@@ -121,11 +139,29 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(codes(value), start, step, lambda a: a["sum"])
 
 
-def random_spans(text: Column, base: Column, model: Model) -> Column:
+def touches(spans: Column, x: Column) -> Column:
+    """Whether one of the spans, which are sorted and apart, overlaps x; halves the spans until the last that begins before x ends."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    zero = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        before = (a["low"] < a["high"]) & (F.get(spans, middle)["start"] < x["end"])
+        return F.struct(F.when(before, middle + 1).otherwise(a["low"]).alias("low"), F.when(before, a["high"]).otherwise(F.least(middle, a["high"])).alias("high"))
+
+    last = F.aggregate(steps, zero, halve, lambda a: a["low"] - 1)
+    return F.coalesce(let(last, lambda i: (i >= 0) & (F.get(spans, F.greatest(i, F.lit(0)))["end"] > x["start"])), F.lit(False))
+
+
+def random_spans(text: Column, base: Column, model: Model, few: int = 16) -> Column:
     """Runs that touch no base span and that the random model explains better."""
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     speaks = lambda x: ratio(x["value"], model.ratios) >= F.greatest(F.lit(ODDS), F.lit(model.per_char) * F.length(x["value"]))
-    return F.filter(F.filter(found(text, RUN, 3), free), speaks)
+    runs = found(text, RUN, 3)
+    near = F.filter(runs, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    of_kind = lambda k: F.filter(base, lambda b: b["kind"] == k).alias(f"k{k}")
+    kinds = F.struct(*[of_kind(k) for k in range(3)])
+    far = let(kinds, lambda by: F.filter(runs, lambda x: ~(touches(by["k0"], x) | touches(by["k1"], x) | touches(by["k2"], x))))
+    return F.filter(F.when(F.size(base) <= few, near).otherwise(far), speaks)
 
 
 def made_strings(key: Column) -> tuple[Column, Column]:
