@@ -8,7 +8,7 @@ next, however far away, which make a document label them alike. Loopy
 sum-product passes messages over both kinds of links; runs of words with a
 marginal of at least ``certain`` for one kind become spans unless they touch a
 base span. The potentials are fitted by pseudo-likelihood in numpy on at most
-``max_docs`` texts, those with the smallest key hashes among the ones with a
+``max_docs`` texts and ``max_bytes`` of text, one for each of the smallest key hashes among those with a
 digit or @, labelled by the patterns, and on a made text for each of them that
 has spans: there its values stand in forms that no pattern finds, labelled as
 what they are, with or without the value as it was, among ordinary numbers,
@@ -20,6 +20,7 @@ exclusive. Repeated rows get equal spans. Without sample texts no span is added.
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
 import zlib
@@ -28,7 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import restored, whole
@@ -313,10 +314,26 @@ def finder(field: Field, certain: float) -> Callable[[Iterator[pa.RecordBatch]],
     return find
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 2000) -> Field:
-    rows = docs.select(F.col(key).alias("_k"), whole(text).alias("_t")).filter("_k is not null")
-    few = rows.filter(F.col("_t").rlike("[0-9@]")).select("_k").distinct().orderBy(F.xxhash64("_k"), "_k").limit(max_docs)
-    return fit(examples(sorted(r["_t"] for r in rows.join(F.broadcast(few), "_k", "left_semi").select("_t").collect())))
+def fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task fits the field on the bounded sample it gets and returns its tables, packed."""
+    texts = sorted(t for b in batches for t in b.column("t").to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(fit(examples(texts))))], pa.binary())], ["field"])
+
+
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 2000, max_bytes: int = 8_000_000) -> Field:
+    """A field fitted on at most ``max_docs`` texts with a digit or @, one for each of the keys with the smallest hashes.
+
+    Of these, in the order of the keys' hashes, at most ``max_bytes`` of text are used, but one text at
+    least; of a key with several texts always the same one. One task fits, only the field's tables, whose size is fixed, reach the driver.
+    """
+    rows = docs.select(F.col(key).alias("k"), whole(text).alias("t")).filter(F.col("k").isNotNull() & F.col("t").rlike("[0-9@]"))
+    few = rows.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(max_docs)
+    one = rows.join(F.broadcast(few), "k").groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("x")).select("k", F.col("x.t").alias("t"))
+    size = F.octet_length("t").cast("long")
+    before = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("k"), "k")) - size  # of max_docs rows at most
+    used = one.withColumn("before", before).filter(F.col("before") < max_bytes).select("t")
+    got = used.repartition(1).mapInArrow(fitter, "field binary").collect()
+    return Field(*pickle.loads(got[0]["field"])) if got else fit([])
 
 
 def find_pii(docs: DataFrame, field: Field, text: str = "text", certain: float = 0.9) -> DataFrame:
