@@ -215,3 +215,54 @@ def test_chunks_of_many_holders_and_one_long_text(spark):
     chunked = line_chunks.with_chunks(docs, "doc_id", "text", 4)
     few, many = ({(r._k, tuple(sorted(r._gone))) for r in line_chunks.repeated_chunks(chunked, n).collect()} for n in (7, 2000))
     assert few == many and len(few) >= 299 and 0 not in {k for k, _ in few}
+
+
+def test_twenty_thousand_hits_in_one_text(spark):
+    import time
+
+    from cellweave.llm import secrets
+
+    hits = [hashlib.sha256(str(i).encode()).hexdigest()[:33] for i in range(20_000)]
+    df = spark.createDataFrame([(1, "é " + "  ".join(hits))], "doc_id long, text string")
+    began = time.time()
+    r = secrets.scan_secrets(df, secrets.SILENT).first()
+    assert [(s.start, s.end, s.value) for s in r.base_spans] == [(2 + 35 * i, 35 + 35 * i, h) for i, h in enumerate(hits)] == [(s.start, s.end, s.value) for s in r.secret_spans]
+    assert time.time() - began < 90
+
+
+def test_runs_beside_many_spans_equal_runs_beside_few(spark):
+    """Halving the sorted spans drops the runs that a look at every span drops."""
+    from cellweave.llm import secrets
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["x" * rng.randint(1, 30), hashlib.md5(str(rng.random()).encode()).hexdigest(), f"token={rng.random()}", "AKIA" + "B" * rng.randint(9, 16), "pre-password: 'Zz9/+longer.value'", f"secret=a{rng.randint(0, 9)}"])
+    texts = [rng.choice([" ", "", "\n", "."]).join(word() for _ in range(n)) for n in (0, 1, 3, 40, 90, 90)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("base", secrets.base_spans(F.col("text")))
+    every = secrets.Model([9.0] * (95 * 95), 0.5)
+    a, b = ({r.doc_id: r.s for r in rows.select("doc_id", secrets.random_spans(F.col("text"), F.col("base"), every, few).alias("s")).collect()} for few in (10**6, -1))
+    assert a == b and sum(map(len, a.values())) > 10
+
+
+def test_field_is_fitted_on_a_bounded_sample(spark):
+    """One key on many rows, or one giant text, gives no more texts than the bounds say."""
+    from cellweave.llm import pii
+
+    rows = [(7, f"mail a{i}@b.co now") for i in range(3000)] + [(i, f"call +4912345678{i:02} now") for i in range(40, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = spark.sparkContext.accumulator(0)
+    fit = pii.fitter
+
+    def counting(batches):
+        for b in batches:
+            counted.add(b.num_rows)
+            yield from fit(iter([b]))
+
+    pii.fitter = counting
+    try:
+        a = pii.train(docs, max_docs=10)
+        assert counted.value <= 10 and a.unary.any()
+        pii.train(docs, max_docs=1000, max_bytes=100)
+        assert counted.value <= 10 + 6
+    finally:
+        pii.fitter = fit
+    assert not pii.train(docs.limit(0)).unary.any() and not pii.train(docs.filter("doc_id < 0")).unary.any()
