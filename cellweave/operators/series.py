@@ -65,7 +65,18 @@ def reconcile_blocks(fine: DataFrame, published: DataFrame, keys: list[str]) ->
     return both.withColumn("error", F.abs(F.col("pooled") - F.col("official")))
 
 
-def fine_or_coarse(fine: DataFrame, coarse: DataFrame, keys: list[str]) -> DataFrame:
-    """Reading of a cell from the fine level where present, else from the coarse cell beneath (column ``under``)."""
-    below = coarse.select(F.col("cell").alias("under"), F.col("value").alias("_coarse"))
-    return fine.join(below, "under", "left").select(*keys, F.coalesce("value", "_coarse").alias("value"))
+def fine_or_coarse(fine: DataFrame, coarse: DataFrame, shown: Column | int | None = None, step: str = "step") -> DataFrame:
+    """(cell, value): reading of each fine cell where present, else of the coarse cell beneath it (column ``under`` of ``fine``).
+
+    With ``shown`` both levels follow a timeline: of each cell the newest present value at a step not after the one shown
+    counts, found for the fine level and the coarse level in one shuffle, by the coarse cell. Without it rows are taken as they are,
+    one for each cell.
+    """
+    when = F.col(step) if shown is not None else F.lit(0)
+    due = F.col("_when") <= shown if shown is not None else F.lit(True)
+    rows = fine.select("under", F.col("cell").alias("_cell"), F.lit(True).alias("_fine"), when.alias("_when"), F.col("value").cast("double").alias("_value"))
+    rows = rows.unionByName(coarse.select(F.col("cell").alias("under"), F.lit(None).cast(fine.schema["cell"].dataType).alias("_cell"), F.lit(False).alias("_fine"), when.alias("_when"), F.col("value").cast("double").alias("_value")))
+    newest = F.max_by("_value", F.when(due & F.col("_value").isNotNull(), F.col("_when")))
+    read = rows.repartition("under").groupBy("under", "_cell", "_fine").agg(newest.alias("_value"))
+    beneath = F.max(F.when(~F.col("_fine"), F.col("_value"))).over(Window.partitionBy("under"))
+    return read.withColumn("_beneath", beneath).filter("_fine").select(F.col("_cell").alias("cell"), F.coalesce("_value", "_beneath").alias("value"))

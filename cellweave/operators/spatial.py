@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import cells
+from cellweave.sources.shared import stored_in_ranges
 
 # Kilometres of a degree of latitude in distances and in claims, reach of a place by tier, and how far "near" goes.
 KM_PER_DEGREE, KM_PER_DEGREE_CLAIM = 111.32, 111.13
@@ -152,30 +153,33 @@ def kernel_density(points: DataFrame, places: DataFrame, key: str, reach_km: flo
 def neighbour_shade(points: DataFrame, key: str, height: str, radius: float, full: float) -> DataFrame:
     """(key, shade): mean of the capped rises of all others in the 3 x 3 bins around; 0 without neighbours.
 
-    Keys are unique. Heights around a bin are sorted once and every point reads
-    running counts and sums at its own height and one full rise above it, so a
-    dense bin costs a sort, not its pairs. A missing height is no rise.
+    Keys are unique. Equal heights of a bin are counted first and asked about once. What lies around a bin is written once, in ranges of (bin, height)
+    that Spark samples; counts and sums run inside the ranges and then over them, and every height reads them at itself
+    and one full rise above, so a dense bin costs no pairs and is many tasks' work. A missing height is no rise.
     """
     low = points.agg(F.min("lon").alias("_lon0"), F.min("lat").alias("_lat0"))
-    own = points.join(F.broadcast(low)).select(key, F.col(height).cast("double").alias("_h"), F.floor((F.col("lon") - F.col("_lon0")) / radius).alias("_c"), F.floor((F.col("lat") - F.col("_lat0")) / radius).alias("_r"))
-    own = own.filter("_c is not null and _r is not null")
-    away = lambda d: F.array([F.lit(i) for i in d])
-    others = own.withColumn("_i", F.explode(away((-1, 0, 1)))).withColumn("_j", F.explode(away((-1, 0, 1))))
-    lowest, highest = F.lit(float("-inf")), F.lit(float("inf"))
-    others = others.select(
-        F.lit(None).alias(key), F.lit(-1).alias("_ask"), (F.col("_c") + F.col("_i")).alias("_c"), (F.col("_r") + F.col("_j")).alias("_r"),
-        F.lit(None).cast("double").alias("_h"), F.coalesce("_h", lowest).alias("_at"), F.lit(1).alias("_one"), F.coalesce("_h", F.lit(0.0)).alias("_add"),
+    place = ("_c", "_l", "_h")
+    own = points.join(F.broadcast(low)).select(key, F.floor((F.col("lon") - F.col("_lon0")) / radius).alias("_c"), F.floor((F.col("lat") - F.col("_lat0")) / radius).alias("_l"), F.col(height).cast("double").alias("_h"))
+    spots = own.filter("_c is not null and _l is not null").groupBy(*place).agg(F.count("*").alias("_m"))
+    away = lambda: F.explode(F.array([F.lit(i) for i in (-1, 0, 1)]))
+    others = spots.withColumn("_i", away()).withColumn("_j", away()).select(
+        (F.col("_c") + F.col("_i")).alias("_c"), (F.col("_l") + F.col("_j")).alias("_l"), F.lit(None).cast("double").alias("_h"),
+        F.lit(-1).alias("_ask"), F.coalesce("_h", F.lit(float("-inf"))).alias("_at"), F.col("_m").alias("_n"), (F.coalesce("_h", F.lit(0.0)) * F.col("_m")).alias("_s"),
     )
-    asks = F.posexplode(F.array(F.col("_h"), F.col("_h") + full, highest)).alias("_ask", "_at")
-    asked = own.filter("_h is not null").select(key, "_c", "_r", "_h", asks).withColumns({"_one": F.lit(0), "_add": F.lit(0.0)})
-    so_far = Window.partitionBy("_c", "_r").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    asked = others.unionByName(asked)
-    asked = asked.withColumns({"_n": F.sum("_one").over(so_far), "_s": F.sum("_add").over(so_far)}).filter("_ask >= 0")
-    n, s = ([F.max(F.when(F.col("_ask") == a, F.col(c))) for a in (0, 1, 2)] for c in ("_n", "_s"))
-    read = asked.groupBy(key).agg(F.max("_h").alias("_h"), *[c.alias(f"_n{a}") for a, c in enumerate(n)], *[c.alias(f"_s{a}") for a, c in enumerate(s)])
+    asks = F.posexplode(F.array(F.col("_h"), F.col("_h") + full, F.lit(float("inf")))).alias("_ask", "_at")
+    asked = spots.filter("_h is not null").select(*place, asks).withColumns({"_n": F.lit(0).cast("long"), "_s": F.lit(0.0)})
+    rows = stored_in_ranges(others.unionByName(asked), "_c", "_l", "_at")
+    bins = ["_c", "_l", "_r"]
+    before = Window.partitionBy("_c", "_l").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    below = rows.groupBy(*bins).agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    below = below.select(*bins, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_below{c}") for c in ("_n", "_s")])
+    inside = Window.partitionBy(*bins).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({c: F.sum(c).over(inside) for c in ("_n", "_s")}).filter("_ask >= 0").join(below, bins)
+    n, s = ([F.max(F.when(F.col("_ask") == a, F.col(c) + F.col(f"_below{c}"))) for a in (0, 1, 2)] for c in ("_n", "_s"))
+    read = rows.groupBy(*place).agg(*[c.alias(f"_n{a}") for a, c in enumerate(n)], *[c.alias(f"_s{a}") for a, c in enumerate(s)])
     partly = (F.col("_s1") - F.col("_s0") - F.col("_h") * (F.col("_n1") - F.col("_n0"))) / full
     shade = F.when(F.col("_n2") > 1, (F.col("_n2") - F.col("_n1") + partly) / (F.col("_n2") - 1))
-    return points.select(key).join(read.select(key, shade.alias("shade")), key, "left").select(key, F.coalesce("shade", F.lit(0.0)).alias("shade"))
+    return own.join(read.select(*place, shade.alias("shade")), list(place), "left").select(key, F.coalesce("shade", F.lit(0.0)).alias("shade"))
 
 
 def polygon_cover(polygons: DataFrame, res: int, rings: str = "rings") -> DataFrame:

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cellweave.functions import cells, classes, scales
+from cellweave.functions import cells, classes, pixels, scales
 from cellweave.operators import align, catalog, pool, publish, series, stats
 from cellweave.operators import spatial as sp
 from cellweave.plans import pooling as po
-from cellweave.plans.registry import parent_sql, query
+from cellweave.plans.registry import cell_sql, parent_sql, query
+from cellweave.sources import files
 from cellweave.sources.shared import shared_dir
 from cellweave.sources.store import Store, fixed_universe
 
@@ -155,22 +156,45 @@ def rolled_sql(lines: str) -> str:
     return f"(SELECT folder, lines, d AS digest FROM ({out}))"
 
 
-STAMPED = rolled_sql("(SELECT folder, name || ':' || size || ':' || mtime AS line FROM <files> WHERE name <> 'index.json')")
+def written_folder(t) -> str:  # noqa: ANN001
+    """The files of the test folders, written: one file for each folder and hundred of ids, its lines in the order of the ids."""
+    path = folder(t, "files")
+    rows = t("files").select("folder", F.floor(F.col("id") / 100).alias("part"), "id", F.concat_ws(":", "name", "props").alias("value"))
+    rows.repartition("folder", "part").sortWithinPartitions("folder", "part", "id").select("folder", "part", "value").write.partitionBy("folder", "part").text(path)
+    return path
 
 
-@query("level_stamp", f"SELECT folder, substr(digest, 1, 10) AS stamp FROM {STAMPED}")
+LINES = "(SELECT folder, floor(id / 100)::BIGINT AS part, string_agg(name || ':' || props || chr(10), '' ORDER BY id) AS body FROM <files> GROUP BY 1, 2)"
+
+
+@query("level_stamp", f"SELECT folder, count(*) AS files, sum(octet_length(body::BLOB))::BIGINT AS bytes, TRUE AS stays, folder = 'level0' AS changes FROM {LINES} GROUP BY folder")
 def level_stamp(t):  # noqa: ANN001, ANN201
-    return catalog.level_stamp(t("files"), ["folder"])
+    """Stamps of written folders: the same when they are listed again, another one where a file was added; sizes as written."""
+    path, spark = written_folder(t), t("region").sparkSession
+
+    def stamped(name: str):  # noqa: ANN202
+        listed = files.listing(spark, path).withColumn("folder", F.regexp_extract("path", "folder=([^/]+)", 1))
+        stamps = catalog.level_stamp(listed, ["folder"]).withColumnRenamed("stamp", name)
+        stored = folder(t, "stamps")
+        stamps.join(listed.groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")), "folder").write.parquet(stored)
+        return spark.read.parquet(stored)
 
+    first, again = stamped("first"), stamped("again").select("folder", "again")
+    spark.range(1).select(F.lit("one more").alias("value")).coalesce(1).write.mode("append").text(f"{path}/folder=level0/part=-1")
+    later = stamped("later").select("folder", "later")
+    both = first.join(again, "folder").join(later, "folder")
+    return both.select("folder", "files", "bytes", (F.col("first") == F.col("again")).alias("stays"), (F.col("first") != F.col("later")).alias("changes"))
 
-PRINTED = "(SELECT folder, name || id AS path, sha256(props) AS digest FROM <files>)"
-FINGERS = rolled_sql(f"(SELECT folder, path || chr(0) || digest AS line FROM {PRINTED})")
 
+FINGERS = rolled_sql(f"(SELECT folder, 'part=' || part || chr(0) || sha256(body) AS line FROM {LINES})")
 
-@query("input_fingerprint", f"SELECT folder, lines::INT AS files, CASE WHEN lines = 1 THEN own ELSE digest END AS fingerprint FROM {FINGERS} JOIN (SELECT folder, min(digest) AS own FROM {PRINTED} GROUP BY folder) USING (folder)")
+
+@query("input_fingerprint", f"SELECT folder, lines::INT AS files, CASE WHEN lines = 1 THEN own ELSE digest END AS fingerprint FROM {FINGERS} JOIN (SELECT folder, min(sha256(body)) AS own FROM {LINES} GROUP BY folder) USING (folder)")
 def input_fingerprint(t):  # noqa: ANN001, ANN201
-    f = t("files").select("folder", F.concat("name", F.col("id").cast("string")).alias("path"), F.sha2("props", 256).alias("digest"))
-    return catalog.input_fingerprint(f, ["folder"])
+    """Fingerprints of written folders by the bytes of their files; a file goes by the name of its part."""
+    found = files.digests(t("region").sparkSession, written_folder(t))
+    named = found.select(F.regexp_extract("path", "folder=([^/]+)", 1).alias("folder"), F.regexp_extract("path", "(part=[^/]+)", 1).alias("path"), "digest")
+    return catalog.input_fingerprint(named, ["folder"])
 
 
 AUDIT = "(SELECT 'd' || id AS dataset, CASE WHEN id % 5 = 0 THEN '' ELSE name END AS \"sourceUrl\", 'v1' AS \"pipelineVersion\", CASE WHEN id % 7 = 0 THEN NULL ELSE 'abc' END AS \"gitCommit\", 'now' AS \"generatedAt\", CASE WHEN id % 3 = 0 THEN NULL ELSE 'h' END AS \"sourceHash\", CASE WHEN id % 4 = 0 THEN '' ELSE 'day' END AS \"downloadDate\" FROM <files>)"
@@ -247,11 +271,21 @@ def coverage_ratio(t):  # noqa: ANN001, ANN201
     return stats.coverage_ratio(users, users.filter("tile % 3 = 0"), users.filter("tile % 7 = 0"))
 
 
-@query("fine_or_coarse", f"SELECT cell, coalesce(f, c) AS value FROM (SELECT p.cell, CASE WHEN p.num > 100 THEN p.num END AS f, l.num AS c FROM {parent_sql(po.BASE, 9, 8)} p LEFT JOIN (SELECT cell, num FROM {po.LEVELS} WHERE res = 8) l ON l.cell = p.up)")
+SHOWN = 1996
+STEPPED = cell_sql("(SELECT step, raw::DOUBLE AS v, 4300000.0::DOUBLE + (c + 0.5) * 100 AS x, 3000000.0::DOUBLE + (2400 - r - 0.5) * 100 AS y FROM <pixels> WHERE raw <> -999)", 9)
+FINE = f"(SELECT cell, step, sum(v) AS num FROM {STEPPED} GROUP BY cell, step)"
+NEWEST = "SELECT {c} AS cell, arg_max(num, step) AS value FROM {src} WHERE step <= {shown} AND num {cond} GROUP BY {c}"
+
+
+@query("fine_or_coarse", f"SELECT u.cell, coalesce(f.value, k.value) AS value FROM (SELECT DISTINCT cell, up FROM {parent_sql(FINE, 9, 8)}) u LEFT JOIN ({NEWEST.format(c='cell', src=FINE, shown=SHOWN, cond='> 30000')}) f ON f.cell = u.cell LEFT JOIN ({NEWEST.format(c='up', src=f'(SELECT up, step, sum(num) AS num FROM {parent_sql(FINE, 9, 8)} GROUP BY up, step)', shown=SHOWN, cond='> 0')}) k ON k.cell = u.up")
 def fine_or_coarse(t):  # noqa: ANN001, ANN201
-    levels = po.base_levels(t)
-    fine = cells.with_parent(pool.pool(po.at_cells(t), po.SUM, ["cell"]), "cell", 9, 8, "under").withColumn("value", F.when(F.col("num") > 100, F.col("num")))
-    return series.fine_or_coarse(fine, levels.filter("res = 8").select("cell", F.col("num").alias("value")), ["cell"])
+    """Every fine cell at the step shown: its own newest reading up to then if it is above a limit, else that of the cell beneath."""
+    x, y = pixels.ascii_cell_centre(F.col("r"), F.col("c"), F.lit(4300000.0), F.lit(3000000.0), F.lit(2400), F.lit(100))
+    rows = t("pixels").filter("raw <> -999").select("step", F.col("raw").cast("double").alias("v"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+    fine = pool.pool(cells.with_cell(rows, "x", "y", 9), po.SUM, ["step", "cell"]).select("step", "cell", "num")
+    fine = cells.with_parent(fine, "cell", 9, 8, "under")
+    coarse = fine.groupBy(F.col("under").alias("cell"), "step").agg(F.sum("num").alias("num")).withColumn("value", F.when(F.col("num") > 0, F.col("num")))
+    return series.fine_or_coarse(fine.withColumn("value", F.when(F.col("num") > 30000, F.col("num"))), coarse, SHOWN)
 
 
 # --- heights and colours

@@ -98,6 +98,18 @@ def scan_rings(spark: SparkSession, path: str) -> DataFrame:
     return rings.select("region", "ring", F.posexplode("points").alias("pos", "p")).select("region", "ring", "pos", F.get("p", 0).alias("x"), F.get("p", 1).alias("y"))
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, size, mtime in ms) of all visible files below a folder; their content isn't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, digest) of all visible files below a folder: SHA-256 of their bytes, taken in tasks. Files up to 2 GB, Spark's limit of one value."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.sha2("content", 256).alias("digest"))
+
+
 def union_same_schema(parts: list[DataFrame]) -> DataFrame:
     """Files of one vintage as one layer; differing fields are an error."""
     first = parts[0]

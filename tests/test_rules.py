@@ -336,3 +336,53 @@ def test_cover_of_repeated_parts_and_parts_of_one_name(spark):
     one = sp.polygon_cover(df.limit(1), 10).count()
     got = sp.polygon_cover(df, 10).groupBy("id").count().collect()
     assert [r.id for r in got] == [1] and got[0]["count"] == 2 * one + sp.polygon_cover(spark.createDataFrame([(1, square(300.0, 900.0))], df.schema), 10).count()
+
+
+def test_a_dense_bin_is_many_tasks_work(spark):
+    """All points in one bin, half of them at one height: the ranges deal them out, and equal heights are asked about once."""
+    df = spark.range(4000).select("id", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id") % 997).cast("double").alias("height"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one task
+    try:
+        got = {r.id: r.shade for r in sp.neighbour_shade(df, "id", "height", 0.01, 20.0).collect()}
+        asked = spark.range(1000).select(F.lit(0).alias("c"), F.col("id").cast("double").alias("at"))
+        assert stored_in_ranges(asked.repartition(4), "c", "at").select("_r").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    heights = [7.0 if i % 2 == 0 else float(i % 997) for i in range(4000)]
+    for i in (0, 1, 77, 996, 1993, 3999):
+        assert math.isclose(got[i], sum(min(1.0, max(0.0, (h - heights[i]) / 20)) for h in heights) / 3999, abs_tol=1e-9)
+
+
+def test_reading_at_the_step_shown(spark):
+    fine = spark.createDataFrame([(1, 10, 2000, 5.0), (1, 10, 2002, None), (1, 10, 2004, 9.0), (1, 11, 2003, 4.0), (2, 20, 2000, None)], "under long, cell long, step int, value double")
+    coarse = spark.createDataFrame([(1, 1999, 50.0), (1, 2001, 60.0), (1, 2005, 70.0), (3, 2000, 1.0)], "cell long, step int, value double")
+    read = lambda shown: {r.cell: r.value for r in series.fine_or_coarse(fine, coarse, shown).collect()}
+    assert read(2002) == {10: 5.0, 11: 60.0, 20: None} and read(2004) == {10: 9.0, 11: 4.0, 20: None} and read(1998) == {10: None, 11: None, 20: None}
+    once = series.fine_or_coarse(fine.filter("step in (2002, 2003)").drop("step"), coarse.filter("step = 2001").drop("step"))
+    assert {r.cell: r.value for r in once.collect()} == {10: 60.0, 11: 4.0}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = series.fine_or_coarse(fine, coarse, 2002)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("Exchange") == 1
+
+
+def test_one_changed_byte_changes_the_fingerprint(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a.bin", "one"), ("b.bin", "two")):
+        (tmp_path / "in" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    listed = files.listing(spark, str(tmp_path / "in"))
+    assert {(r.name, r["size"]) for r in listed.collect()} == {("a.bin", 3), ("b.bin", 3)}
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
+    printed = lambda: catalog.input_fingerprint(files.digests(spark, str(tmp_path / "in")).withColumn("k", F.lit(1)), ["k"]).first().fingerprint
+    stamped = lambda: catalog.level_stamp(files.listing(spark, str(tmp_path / "in")).withColumn("k", F.lit(1)), ["k"]).first().stamp
+    print_, stamp = printed(), stamped()
+    assert (printed(), stamped()) == (print_, stamp)
+    (tmp_path / "in" / "b.bin").write_text("twO")
+    assert printed() != print_ and stamped() != stamp
+    (tmp_path / "in" / "a.bin").unlink()
+    assert printed() == hashlib.sha256(b"twO").hexdigest()
