@@ -24,18 +24,19 @@ def scan_grid_csv(t):  # noqa: ANN001, ANN201
     return rows.groupBy("grid_id", "x", "y").agg(F.count("*").alias("rows"), F.sum("Einwohner").alias("total"))
 
 
-GRID = "(SELECT r % 40 AS r, c % 50 AS c, min(CASE WHEN raw < 5000 THEN -1 ELSE raw END) AS raw FROM <pixels> GROUP BY 1, 2)"
+GRID = "(SELECT r % 200 AS r, c % 250 AS c, min(CASE WHEN raw < 5000 THEN -1 ELSE raw END) AS raw FROM <pixels> GROUP BY 1, 2)"
 
 
-@query("scan_ascii_grid", f"SELECT 1000.0::DOUBLE + (c + 0.5) * 100 AS x, 2000.0::DOUBLE + (40 - r - 0.5) * 100 AS y, raw * 0.1::DOUBLE AS value FROM {GRID} WHERE raw <> -1")
+@query("scan_ascii_grid", f"SELECT 1000.0::DOUBLE + (c + 0.5) * 100 AS x, 2000.0::DOUBLE + (200 - r - 0.5) * 100 AS y, raw * 0.1::DOUBLE AS value FROM {GRID} WHERE raw <> -1")
 def scan_ascii_grid(t):  # noqa: ANN001, ANN201
+    """The pixels written as one uncompressed raster and read in byte ranges."""
     path, p = at.folder(t, "asc"), t("pixels")
-    grid = p.groupBy((F.col("r") % 40).alias("r"), (F.col("c") % 50).alias("c")).agg(F.min(F.when(F.col("raw") < 5000, -1).otherwise(F.col("raw"))).alias("raw"))
-    every = p.sparkSession.range(40).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("c")).join(grid, ["r", "c"], "left")
-    line = every.groupBy("r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", F.coalesce("raw", F.lit(-1)).alias("raw")))), lambda v: v["raw"].cast("string")), " ").alias("l"))
-    head = "NCOLS 50\nNROWS 40\nXLLCORNER 1000\nYLLCORNER 2000\nCELLSIZE 100\nNODATA_VALUE -1\n"
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "l"))), lambda v: v["l"]), "\n")
-    line.agg(F.concat(F.lit(head), body).alias("value")).write.option("compression", "gzip").text(path)
+    grid = p.groupBy((F.col("r") % 200).alias("r"), (F.col("c") % 250).alias("c")).agg(F.min(F.when(F.col("raw") < 5000, -1).otherwise(F.col("raw"))).alias("raw"))
+    every = p.sparkSession.range(200).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(249).cast("long"))).alias("c")).join(grid, ["r", "c"], "left")
+    lines = every.groupBy("r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", F.coalesce("raw", F.lit(-1)).alias("raw")))), lambda v: v["raw"].cast("string")), " ").alias("value"))
+    head = ["NCOLS 250", "NROWS 200", "XLLCORNER 1000", "YLLCORNER 2000", "CELLSIZE 100", "NODATA_VALUE -1"]
+    head = p.sparkSession.range(1).select(F.posexplode(F.lit(head)).alias("i", "value")).select((F.col("i") - len(head)).cast("long").alias("r"), "value")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("r").select("value").write.text(path)
     return files.scan_ascii_grid(p.sparkSession, path, 0.1).select("x", "y", "value")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions import pixels, units, values
@@ -10,6 +10,9 @@ from cellweave.functions import pixels, units, values
 #: cp1252 has a nil dash at byte 0x96, which ISO-8859-1 reads as this control character.
 LATIN_DASH = "\u0096"
 
+#: Lines before the first row of an ASCII raster.
+HEAD = 6
+
 
 def find_column(columns: list[str], pattern: str, whole: bool = False) -> str | None:
     """The first header that contains (or with ``whole`` begins with) a pattern, whatever the case."""
@@ -36,17 +39,41 @@ def scan_grid_csv(spark: SparkSession, path: str, columns: list[str], delimiter:
     return raw.select(key.alias("grid_id"), centre(x, gx).alias("x"), centre(y, gy).alias("y"), *[values.parse_value(text(c), missing).alias(c) for c in columns], *kept)
 
 
-def scan_ascii_grid(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
-    """(file, x, y, value) of each present cell of ESRI ASCII rasters, gzipped or not; a row of the wrong width is an error.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): every line with a character of text files with its number in its file, from 0.
 
-    Rasters are one record each, as they are one file each; cells are dealt out after splitting.
+    Files are read in byte ranges, as Spark splits them. The lines of a range are counted, the counts before it are
+    added to a line's place in it. One row for each range is sent to the tasks, as many as the driver plans anyway.
+    """
+    at = ["file", "_start"]
+    raw = spark.read.text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"))
+    raw = raw.withColumn("_id", F.monotonically_increasing_id())
+    ranges = raw.groupBy(*at).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = raw.join(F.broadcast(ranges.withColumn("_before", F.coalesce(before, F.lit(0)))), at)
+    here = F.col("_id") - F.col("_first")
+    known = F.assert_true((here >= 0) & (here < F.col("_n")), F.lit("the file changed while it was read"))
+    return placed.withColumn("_known", known).filter("_known is null").select("file", (F.col("_before") + here).alias("line"), "value")
+
+
+def scan_ascii_grid(spark: SparkSession, path: str, scale: float = 1.0, rows: tuple[int, int] | None = None) -> DataFrame:
+    """(file, x, y, value) of each present cell of ESRI ASCII rasters; a row of the wrong width or a missing row is an error.
+
+    An uncompressed raster is read in byte ranges by several tasks, a gzipped one by one task, which then deals out its
+    rows. ``rows`` takes the rows from the first number to before the second, counted from the top; cells of other rows aren't parsed.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", r"\r?\n"), lambda v: F.trim(v) != "").alias("l"))
-    head = F.map_from_entries(F.transform(F.slice("l", 1, 6), lambda v: F.struct(F.lower(F.get(F.split(F.trim(v), r"\s+"), 0)), F.get(F.split(F.trim(v), r"\s+"), 1).cast("double"))))
-    rows = text.select("file", head.alias("h"), F.posexplode(F.slice("l", 7, F.size("l"))).alias("r", "line"))
-    rows = rows.select("file", "h", "r", F.split(F.trim("line"), r"\s+").alias("v")).repartition("file", "r")
+    lines = numbered_lines(spark, path)
+    part = F.split(F.trim("value"), r"\s+")
+    entry = F.struct(F.lower(F.get(part, 0)), F.get(part, 1).cast("double"))
+    head = lines.filter(F.col("line") < HEAD).groupBy("file").agg(F.map_from_entries(F.collect_list(entry)).alias("h"))
+    count = lines.groupBy("file").agg((F.max("line") + 1 - HEAD).alias("_rows"))
+    head = head.join(count, "file").select("file", "h", F.assert_true(F.col("_rows") == F.col("h")["nrows"].cast("long"), F.lit("the raster has another number of rows")).alias("_all"))
+    body = lines.filter(F.col("line") >= HEAD).withColumn("r", F.col("line") - HEAD)
+    body = body.filter(F.col("r").between(rows[0], rows[1] - 1)) if rows else body
+    body = body.repartition("file", "r") if any(f.endswith(".gz") for f in spark.read.text(path).inputFiles()) else body
+    body = body.join(F.broadcast(head), "file").filter("_all is null").withColumn("v", part)  # one row for each file
     width = F.assert_true(F.size("v") == F.col("h")["ncols"].cast("int"), F.lit("a row of the raster has the wrong width"))
-    cells = rows.select("file", "h", "r", width.alias("_ok"), F.posexplode("v").alias("c", "raw"))
+    cells = body.select("file", "h", "r", width.alias("_ok"), F.posexplode("v").alias("c", "raw"))
     h = F.col("h")
     x, y = pixels.ascii_cell_centre(F.col("r"), F.col("c"), h["xllcorner"], h["yllcorner"], h["nrows"], h["cellsize"])
     value = F.when(F.col("raw").cast("double") != h["nodata_value"], F.col("raw").cast("double") * scale)

@@ -386,3 +386,29 @@ def test_one_changed_byte_changes_the_fingerprint(spark, tmp_path):
     assert printed() != print_ and stamped() != stamp
     (tmp_path / "in" / "a.bin").unlink()
     assert printed() == hashlib.sha256(b"twO").hexdigest()
+
+
+def test_a_raster_is_read_in_byte_ranges(spark, tmp_path):
+    import gzip
+
+    text = "NCOLS 30\nNROWS 400\nXLLCORNER 0\nYLLCORNER 0\nCELLSIZE 1\nNODATA_VALUE -9\n" + "".join(" ".join(str(r * 30 + c if c else -9) for c in range(30)) + ("\n\n" if r % 50 == 0 else "\n") for r in range(400))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "zip").mkdir()
+    (tmp_path / "plain" / "r.asc").write_text(text)
+    (tmp_path / "zip" / "r.asc.gz").write_bytes(gzip.compress(text.encode()))
+    want = {(c + 0.5, 399.5 - r): float(r * 30 + c) for r in range(400) for c in range(1, 30)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for kind, least in (("plain", 5), ("zip", 1)):
+            at = str(tmp_path / kind)
+            parts = spark.read.text(at).rdd.getNumPartitions()
+            assert parts >= least and (kind == "plain" or parts == 1)
+            assert {(r.x, r.y): r.value for r in files.scan_ascii_grid(spark, at).collect()} == want
+            assert {r.y for r in files.scan_ascii_grid(spark, at, rows=(10, 12)).collect()} == {389.5, 388.5}
+        (tmp_path / "plain" / "r.asc").write_text(text.rsplit("\n", 2)[0] + "\n")
+        with pytest.raises(Exception, match="another number of rows"):
+            files.scan_ascii_grid(spark, str(tmp_path / "plain")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
