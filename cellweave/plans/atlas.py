@@ -251,7 +251,9 @@ def class_lookup(t):  # noqa: ANN001, ANN201
     return t("part").join(F.broadcast(names), F.col("p_type") == F.col("label")).groupBy("label", "category").agg(F.count("*").alias("parts"))
 
 
-CODES = "(VALUES " + ", ".join(f"('{c}', {i})" for i, cs in enumerate(classes.GROUPS.values()) for c in cs) + ") AS k(c, grp)"
+#: Written out once more, so that the SQL doesn't depend on the library's table.
+CODES = """(SELECT c, CASE WHEN c < '113' THEN 0 WHEN c < '140' THEN 1 WHEN c < '150' THEN 2 WHEN c = '231' THEN 4 WHEN c < '250' THEN 3 WHEN c < '320' THEN 5 WHEN c < '400' THEN 6 ELSE 7 END AS grp
+  FROM (SELECT unnest(string_split('111 112 121 122 123 124 131 132 133 141 142 211 212 213 221 222 223 231 241 242 243 244 311 312 313 321 322 323 324 331 332 333 334 335 411 412 421 422 423 511 512 521 522 523', ' ')) AS c) AS codes) AS k"""
 
 
 @query("class_group", f"SELECT id, grp FROM <squares> JOIN {CODES} ON c = trim(code)")

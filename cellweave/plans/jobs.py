@@ -175,7 +175,7 @@ LAND_UP = f"(SELECT 9 AS res, * FROM {LAND} UNION ALL SELECT 8 AS res, up AS cel
 @query("job_land", f"SELECT res, cell, round(coalesce(sum(n) FILTER (category IN (0, 1, 2)), 0) / sum(n), 6) AS artificial_share, arg_max(category, n * 100 - category) AS dominant, round(max(n) / sum(n), 6) AS dominance FROM {LAND_UP} GROUP BY res, cell")
 def job_land(t):  # noqa: ANN001, ANN201
     counts = pool.levels(land_counts(t), 9, [8]).groupBy("res", "cell", "category").agg(F.sum("n").alias("n"))
-    out = pool.class_shares(counts, classes.artificial_groups(), ["res", "cell"])
+    out = pool.class_shares(counts, classes.artificial_groups(counts.sparkSession), ["res", "cell"])
     return out.select("res", "cell", F.round("artificial_share", 6).alias("artificial_share"), "dominant", F.round("dominance", 6).alias("dominance"))
 
 
@@ -199,9 +199,13 @@ SCENE = f"(SELECT *, ((((cell >> 26) & 67108863) - 33554432) + ((cell & 67108863
 FOCUS = "x >= 4304000 AND x < 4311000 AND y >= 3003000 AND y < 3012000"
 
 
-@query("job_view", f"SELECT cell, round(greatest(0, v * {at.SCALE}) * CASE WHEN {FOCUS} THEN 1 ELSE 0.28 END, 5) AS height, {FOCUS} AS inside FROM {SCENE}")
+COLOURED = at.stops_sql("CASE WHEN min >= 0 THEN v / p995 ELSE (v - min) / (p995 - min) END", SCENE, "cell, v, x, y, min, max, p50, p95, p995")
+DIMMED = ", ".join(f"CASE WHEN {FOCUS} THEN {c} ELSE floor({c} + ({scales.PAPER[k]} - {c}) * 0.72::DOUBLE)::INT END AS {c}" for k, c in enumerate("rgb"))
+
+
+@query("job_view", f"SELECT cell, round(greatest(0, v * {at.SCALE}) * CASE WHEN {FOCUS} THEN 1 ELSE 0.28 END, 5) AS height, {FOCUS} AS inside, {DIMMED} FROM ({COLOURED})")
 def job_view(t):  # noqa: ANN001, ANN201
-    """Heights and colours of one level, the region in focus; colours are checked by their own queries."""
+    """Heights and colours of one level, the region in focus."""
     scene = at.with_stats(t).filter("res = 8")
     x, y = cells.centre(F.col("cell"), 8)
     scene = scene.withColumns({"x": x, "y": y, "h": scales.elevation(F.col("v"), scales.height_scale(F.col("stats")))})
@@ -209,8 +213,8 @@ def job_view(t):  # noqa: ANN001, ANN201
     scene = scene.withColumn("color", scales.color_sequential(F.col("v"), low, high, at.STOPS))
     corners = at.inline(t, "('f', 0, 0, 4304000D, 3003000D), ('f', 0, 1, 4311000D, 3003000D), ('f', 0, 2, 4311000D, 3012000D), ('f', 0, 3, 4304000D, 3012000D)", "region, ring, pos, x, y")
     scene = sp.mask_region(scene, sp.ring_edges(corners), "cell", "x", "y", 1000.0)
-    height, _ = scales.region_dim(F.col("h"), F.col("color"), F.col("inside"))
-    return scene.select("cell", F.round(height, 5).alias("height"), "inside")
+    height, color = scales.region_dim(F.col("h"), F.col("color"), F.col("inside"))
+    return at.channels(scene.withColumn("height", F.round(height, 5)), color, "cell", "height", "inside")
 
 
 CHANGES = f"(SELECT a.cell, CASE WHEN a.value >= 100000 THEN (b.value - a.value) / a.value END AS v FROM (SELECT * FROM {ps.STEPS} WHERE step = 1998) a JOIN (SELECT * FROM {ps.STEPS} WHERE step = 2000) b USING (cell))"

@@ -1,4 +1,4 @@
-"""Catalog runs that arrive as a stream: each micro-batch is merged into the tables as a batch run would be."""
+"""Rows that arrive as files: pooled with the same two sums as a batch, and appended window by window."""
 
 from __future__ import annotations
 

@@ -228,7 +228,7 @@ def test_tiles_and_pixels(spark):
     assert sorted(r.tile for r in pixels.tiles_for_bbox(box).collect()) == ["h18v03", "h18v04", "h19v03", "h19v04"]
     w, n = spark.range(1).select(*pixels.tile_origin(F.lit("h18v03"))).first()
     assert (w, n) == (0, 60)
-    assert classes.artificial_groups() == [0, 1, 2]
+    assert classes.artificial_groups(spark) == [0, 1, 2]
 
 
 def test_files(spark, tmp_path):
