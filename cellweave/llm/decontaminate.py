@@ -22,7 +22,8 @@ words are fetched for the hits alone. Both ways give the same rows.
 Null and wordless texts on either side have no overlap. Items of fewer than five
 words are compared whole, as runs of their own words. Equal items are compared
 once and reported under the smallest item_id with their number; items without
-item_id are left out. Repeated document rows count once for each (key, item).
+item_id are left out. Documents count once for each (key, item): those that repeat a key, and all those without key, whose
+rows have a null key, stand together.
 """
 
 from __future__ import annotations
@@ -111,15 +112,16 @@ def overlaps(
     items = prepared(benchmark, item, item_text)
     masks = LIGHT if least >= 0.8 else LIGHT + MASKS
     n_seeds = items.select(F.sum(F.greatest(F.size("words") - SHORTEST + 1, F.lit(0))) * len(masks)).first()[0] or 0
-    rows = docs.select(F.col(key).alias("_key"), word_hashes(whole(text)).alias("h")).filter("_key is not null")
+    rows = docs.select(F.col(key).alias("_key"), word_hashes(whole(text)).alias("h"))
     at = rows.select("_key", "h", F.explode(starts(F.col("h"))).alias("i"))
     seed = F.explode(F.array(*seeds(F.col("h"), F.col("i"), masks))).alias("seed")
     bench = item_seeds(items, masks)
     if n_seeds <= max_broadcast:
         hits = at.select("_key", "h", "i", seed).join(F.broadcast(bench), "seed")
     else:
-        met = at.select("_key", "i", seed).join(bench, "seed").select("_key", "i", "item_id", "n", "j").distinct()
-        hits = met.join(rows, "_key")
+        met = at.select("_key", F.xxhash64("h").alias("_t"), "i", seed).join(bench, "seed").select("_key", "_t", "i", "item_id", "n", "j").distinct()
+        own = rows.select(F.col("_key").alias("_own"), "h")  # a key may stand on many texts
+        hits = met.join(own, F.col("_key").eqNullSafe(F.col("_own")) & (F.col("_t") == F.xxhash64("h"))).drop("_own", "_t")
     every = judged(hits, items, window, least)
     for part in short_overlaps(rows, items):
         every = every.unionByName(part)
