@@ -266,3 +266,47 @@ def test_field_is_fitted_on_a_bounded_sample(spark):
     finally:
         pii.fitter = fit
     assert not pii.train(docs.limit(0)).unary.any() and not pii.train(docs.filter("doc_id < 0")).unary.any()
+
+
+def letters(text):
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def brute_overlaps(docs, items, window=20, least=0.8):
+    """Every (key, item) for which some run of the item, laid anywhere over the document, has enough equal words."""
+    out = set()
+    for k, t in docs:
+        d = letters(t or "")
+        for i, x in items:
+            w = letters(x)
+            n = min(window, len(w))
+            for at in range(-len(w) + 1, len(d)):
+                same = [0 <= at + j < len(d) and d[at + j] == v for j, v in enumerate(w)]
+                if any(sum(same[j : j + n]) >= max(1, -(-least * n // 1)) for j in range(len(w) - n + 1)) and w:
+                    out.add((k, i))
+                    break
+    return out
+
+
+def test_overlaps_equal_all_pairs(spark):
+    """All items against all documents, null and repeated keys too: no overlap is missed and none is made up."""
+    from cellweave.llm import decontaminate
+
+    rng = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    run = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(run(n))) for i, n in enumerate([3, 4, 5, 9, 14, 20, 26, 33, 40])]
+    docs = []
+    for k in range(60):
+        _, x = rng.choice(items)
+        w = x.split()
+        for _ in range(rng.randint(0, max(1, len(w) // 4))):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        cut = rng.randint(0, max(0, len(w) - 12)) if k % 3 == 0 else 0
+        docs.append((k if k % 7 else None, " ".join(run(rng.randint(0, 25)) + w[cut:] + run(rng.randint(0, 25)))))
+    docs += [(3, " ".join(run(40))), (98, ""), (99, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_overlaps(docs, items)
+    for most in (500_000, 0):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(d, b, max_broadcast=most).collect()} == want
+    assert any(k is None for k, _ in want) and len(want) > 30
