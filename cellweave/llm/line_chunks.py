@@ -56,7 +56,7 @@ def repeated_chunks(chunked: DataFrame, part_rows: int = 2000) -> DataFrame:
     first = many.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.ceil(F.count("*") / part_rows).alias("parts")).filter("first <> last").drop("last")
     first = stored(first)  # read again, both sides of the join come from a shuffle, which Spark can split where a chunk is common
     part = F.pmod(F.xxhash64("_k", "_h", "place"), F.col("parts"))
-    members = stored(many.join(first, "digest").select("digest", "_k", "_h", "place", "body", "parts", part.alias("part"), (place == F.col("first")).alias("is_first")))
+    members = stored(many.join(first.hint("merge"), "digest").select("digest", "_k", "_h", "place", "body", "parts", part.alias("part"), (place == F.col("first")).alias("is_first")))
     original = members.filter("is_first").groupBy("digest").agg(F.min("body").alias("original"), F.first("parts").alias("parts"))
     original = original.select("digest", "original", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     gone = members.filter("not is_first").join(original, ["digest", "part"]).filter(F.col("body") == F.col("original"))
