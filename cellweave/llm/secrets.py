@@ -21,14 +21,13 @@ strings of both kinds no random span is found.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant_array, neutral, restored, stored, whole, words
+from .common import constant_array, let, neutral, restored, stored, whole, words
 
 # The patterns of the base kinds, in the order of the kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,11 +41,6 @@ SIDE = 95  # printable ASCII
 EMPTY = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def found(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """Spans of a pattern: the lengths of the matches and of what is between them add up to the offsets.
 
