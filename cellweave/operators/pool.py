@@ -61,10 +61,11 @@ def finish(spec: MetricSpec, num: Column | None = None, den: Column | None = Non
 
 
 def levels(base: DataFrame, res: int, up: list[int], cell: str = "cell") -> DataFrame:
-    """Each row of the base level once for itself and once for each coarser level: res and cell are replaced."""
-    names, now = [f"_up{r}" for r in up], base
-    for r, name in zip(up, names, strict=True):
-        now = cells.with_parent(now, cell, res, r, name)
+    """Each row of the base level once for itself and once for each coarser level: res and cell are replaced. A level goes up from the one below it."""
+    names, now, below, at = [f"_up{r}" for r in up], base, cell, res
+    for r, name in sorted(zip(up, names, strict=True), reverse=True):
+        now = cells.with_parent(now, below, at, r, name)
+        below, at = name, r
     own = [F.struct(F.lit(r).alias("res"), F.col(c).alias("cell")) for r, c in zip([res, *up], [cell, *names], strict=True)]
     now = now.withColumn("_at", F.explode(F.array(*own)))
     return now.withColumn("res", F.col("_at.res")).withColumn("cell", F.col("_at.cell")).drop("_at", *names)

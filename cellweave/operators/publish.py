@@ -8,6 +8,7 @@ each metric), ``tiles`` (one file for each tile of the fine levels, folded toget
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +24,13 @@ TILE = "count int, cells array<bigint>, lon array<double>, lat array<double>, me
 
 def described(cells_: DataFrame, resolutions: tuple[int, ...], tiled: tuple[int, ...] = TILED) -> DataFrame:
     """(res, cell) -> order, tile (none where the level isn't cut) and centre in metres of every cell."""
-    ordered = align.universe_order(cells_)
     parts = []
     for r in resolutions:
         x, y = cells.centre(F.col("cell"), r)
-        one = ordered.filter(F.col("res") == r)
+        one = cells_.filter(F.col("res") == r)
         one = cells.with_parent(one, "cell", r, cells.TILE_RES, "tile") if r in tiled else one.withColumn("tile", F.lit(None).cast("long"))
-        parts.append(one.select(F.lit(r).alias("res"), "cell", "ord", "tile", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(one.select(F.lit(r).alias("res"), "cell", "tile", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat")))
+    return align.universe_order(reduce(DataFrame.unionByName, parts)).select(*PLACE)
 
 
 def tiles(store: Store) -> DataFrame:
@@ -124,7 +121,4 @@ def published(store: Store) -> DataFrame:
     for m, e in now["metrics"].items():
         by.setdefault(e["levels"], []).append(m)
     parts = [store.spark.read.parquet(store.at(at)).unpivot(["res", "cell"], names, "metric", "value") for at, names in by.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +98,7 @@ def pooled_sums(spark: SparkSession, paths: dict[str, str], metrics: tuple[Metri
         adds = {k: v for m in own for k, v in sums_of(m.spec, m.name).items()}
         names += adds
         parts.append(rows.select("cell", *[v.alias(k) for k, v in adds.items()]))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     base = rows.groupBy("cell").agg(*[F.sum(c).alias(c) for c in names])
     return pool.levels(base, BASE, UP).groupBy("res", "cell").agg(*[F.sum(c).alias(c) for c in names])
 
