@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def connected(links: DataFrame) -> DataFrame:
     Tables are merged, not broadcast: many small broadcasts, one round after
     another, fill the driver's memory faster than it is cleared.
     """
+    released(links.sparkSession)
     both = stored(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, whole
+from .common import free_name, released, stored, whole
 from .components import connected, united
 from .tokens import Words, mix
 
@@ -251,6 +251,7 @@ def text_classes(rows: DataFrame, judged: str, least: float, margin: float, cent
     entries = stored(entries.join(met, "node").select("node", "band", "met"))
     texts = stored(candidate_texts(rows, nodes, met.select("node")))
 
+    released(rows.sparkSession)
     central = F.max_by("node", F.struct("met", "node"))
     heads = entries.groupBy("band").agg(F.min("node").alias("a"), central.alias("b"))
     stars = entries.join(heads, "band").select("node", F.explode(F.array("a", "b")).alias("v")).filter("node <> v")
@@ -267,6 +268,7 @@ def text_classes(rows: DataFrame, judged: str, least: float, margin: float, cent
     more = stored(close_pairs(pairs, nodes, least - margin).select("u", "v").join(tried, ["u", "v"], "left_anti"))
     label, tried = united(label, links(more, texts, least)), tried.union(more)
 
+    released(rows.sparkSession)
     mixed, main = mixed_buckets(entries, label)
     bits = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)]
     mixed = mixed.join(main, "band").join(nodes.select("node", "n", *bits), "node")
