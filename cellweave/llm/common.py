@@ -37,14 +37,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets the driver drop plans, broadcasts and shuffles that nothing refers to any more, as Spark's cleaner does every half hour.
-
-    For operators of many short jobs: their leftovers pile up long before that.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def neutral(df: DataFrame) -> DataFrame:
     """The columns as c0, c1, ..., whatever they are called."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
