@@ -127,16 +127,42 @@ def scan_rings(spark: SparkSession, path: str) -> DataFrame:
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, size, mtime in ms) of all visible files below a folder; their content isn't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+    return listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, digest) of all visible files below a folder: SHA-256 of their bytes, taken in tasks. Files up to 2 GB, Spark's limit of one value."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return digested(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """(path, name, size, mtime in ms) of files as rows of the binaryFile source, read from a folder or packed."""
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """(path, digest) of such rows."""
     return found.select("path", F.sha2("content", 256).alias("digest"))
 
 
+#: Rows of the binaryFile source.
+PACKED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def pack(rows: DataFrame, path: str) -> None:
+    """Adds files given as (path, content) to a packed folder.
+
+    A packed folder is Parquet with one row for each file, so that many small files cost no more than their bytes.
+    """
+    content = F.col("content").cast("binary")
+    rows.select("path", F.current_timestamp().alias("modificationTime"), F.octet_length(content).cast("long").alias("length"), content.alias("content")).write.mode("append").parquet(path)
+
+
+def unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a packed folder, as rows of the binaryFile source; what isn't selected isn't read."""
+    return spark.read.schema(PACKED).parquet(path)
+
+
 def union_same_schema(parts: list[DataFrame]) -> DataFrame:
     """Files of one vintage as one layer; differing fields are an error."""
     first = parts[0]

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import publish
+from cellweave.plans import atlas
 from cellweave.sources import files
 from cellweave.sources.store import Store, fixed_universe
+from cellweave.sources.views import view
 
 
 @pytest.fixture
@@ -104,3 +106,22 @@ def test_a_run_that_comes_second_folds_both(spark, store):
 def test_weights_of_files_without_ids_go_by_their_centres(spark, tmp_path):
     (tmp_path / "w.csv").write_text("x_mp_100m;y_mp_100m;n\n4300050;3000050;2\n4300050;3000050;–\n4300150.4;3000050;7,5\n;1;3\n")
     assert {r.grid_id: r.weight for r in files.scan_weights(spark, str(tmp_path / "w.csv"), "n").collect()} == {"4300050:3000050": 0.0, "4300150:3000050": 7.5, "1": 3.0}
+
+
+def test_a_packed_folder_is_listed_like_its_files(spark, tmp_path):
+    for name, text in (("a.bin", "one"), ("b.bin", ""), ("c.bin", "größer\n")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text)
+    found = spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    files.pack(found.filter("length > 0"), str(tmp_path / "packed"))
+    files.pack(found.filter("length = 0"), str(tmp_path / "packed"))
+    packed = files.unpacked(spark, str(tmp_path / "packed"))
+    own = lambda rows: {(r.path, r.name, r["size"]) for r in rows.collect()}
+    assert own(files.listed(packed)) == own(files.listing(spark, str(tmp_path / "in")))
+    assert "content" not in files.listed(packed)._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_many_small_files_take_few_files(spark, tiny):
+    path = atlas.written_folder(lambda name: view(spark, tiny, name))
+    held, written = files.unpacked(spark, path), [f for f in Path(path).rglob("*.parquet")]
+    assert held.select("path").distinct().count() == held.count() == 40 and len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
