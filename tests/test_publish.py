@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import publish
+from cellweave.operators import catalog, publish
 from cellweave.plans import atlas
 from cellweave.sources import files
 from cellweave.sources.store import Store, fixed_universe
@@ -125,3 +125,12 @@ def test_many_small_files_take_few_files(spark, tiny):
     path = atlas.written_folder(lambda name: view(spark, tiny, name))
     held, written = files.unpacked(spark, path), [f for f in Path(path).rglob("*.parquet")]
     assert held.select("path").distinct().count() == held.count() == 40 and len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_packed_and_single_files_have_one_fingerprint(spark, tmp_path):
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(name.encode() + b"\xff\x00")
+    files.pack(spark.read.format("binaryFile").load(str(tmp_path / "in")), str(tmp_path / "packed"))
+    printed = lambda found: catalog.input_fingerprint(found.withColumn("k", F.lit(1)), ["k"]).first()
+    assert printed(files.digested(files.unpacked(spark, str(tmp_path / "packed")))) == printed(files.digests(spark, str(tmp_path / "in")))
