@@ -84,11 +84,14 @@ def scan_weights(spark: SparkSession, path: str, column: str, sep: str = ";", en
     """(grid_id, weight) of a second grid file; of repeated cells the last one with a value, in file order.
 
     Cells go by their grid id, those of a file without ids by ``x:y`` of their centres, as in ``scan_grid_csv``.
-    Order is the file's name, then the place of the split in it, then the row.
+    Order is the file's name, then the place of the split in it, then the row. A cell's last row is found in each split
+    first, by numbers alone, so that neither the rows nor the names of their files have to be sorted; one row for
+    each cell and split is left.
     """
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_place")
-    rows = scan_grid_csv(spark, path, [column], sep, encoding, more=(place,))
-    return rows.filter(F.col(column).isNotNull()).groupBy("grid_id").agg(F.max_by(column, "_place").alias("weight"))
+    at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")
+    rows = scan_grid_csv(spark, path, [column], sep, encoding, more=at).filter(F.col(column).isNotNull())
+    last = rows.groupBy("grid_id", "_file", "_start").agg(F.max_by(column, "_row").alias("_last"))
+    return last.groupBy("grid_id").agg(F.max_by("_last", F.struct("_file", "_start")).alias("weight"))
 
 
 def scan_unit_xml(spark: SparkSession, path: str, element: str = "EinheitWind", charset: str = "UTF-16") -> DataFrame:

@@ -134,3 +134,19 @@ def test_packed_and_single_files_have_one_fingerprint(spark, tmp_path):
     files.pack(spark.read.format("binaryFile").load(str(tmp_path / "in")), str(tmp_path / "packed"))
     printed = lambda found: catalog.input_fingerprint(found.withColumn("k", F.lit(1)), ["k"]).first()
     assert printed(files.digested(files.unpacked(spark, str(tmp_path / "packed")))) == printed(files.digests(spark, str(tmp_path / "in")))
+
+
+def test_the_last_weight_is_found_without_sorting_the_rows(spark, tmp_path):
+    lines = [(f"c{i * 7 % 90}", i) for i in range(3000)]
+    (tmp_path / "w.csv").write_text("GITTER_ID_100m;n\n" + "".join(f"{k};{'.' if v % 11 == 0 else v}\n" for k, v in lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = files.scan_weights(spark, str(tmp_path / "w.csv"), "n")
+        assert {r.grid_id: r.weight for r in got.collect()} == {k: float(v) for k, v in lines if v % 11}
+        assert spark.read.text(str(tmp_path / "w.csv")).rdd.getNumPartitions() >= 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("HashAggregate", plan.index("SortAggregate")) < plan.index("Scan csv")
