@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, constant_array, let, neutral, restored, whole, words
+from .common import SPACES, constant_array, let, neutral, restored, stored, whole, words
 
 #: 40 bits of hash above 24 bits of position.
 POSITION_BITS = 24
@@ -125,30 +125,60 @@ def score(w: Column, ratios: list[float]) -> Column:
     return F.when(F.size(w) > 0, total / (2 * F.size(w))).otherwise(0.0)
 
 
+def at_share(values: DataFrame, share: float) -> float | None:
+    """The percentile of a column v, linear between ranks as Spark's own; None without values.
+
+    Different values are counted into sampled ranges and only a range that holds a wanted rank is sorted, so no
+    task or driver holds all values.
+    """
+    counted = values.filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    counted = stored(counted.repartitionByRange("v").withColumn("r", F.spark_partition_id()))
+    sizes = counted.groupBy("r").agg(F.sum("n").alias("n")).orderBy("r").collect()  # one row for each range
+    position = (sum(r["n"] for r in sizes) - 1) * share
+
+    def at(rank: int) -> float:
+        before = 0
+        for r in sizes:
+            if rank < before + r["n"]:
+                break
+            before += r["n"]
+        upto = counted.filter(F.col("r") == r["r"]).select("v", F.sum("n").over(Window.partitionBy("r").orderBy("v")).alias("upto"))
+        return upto.filter(F.col("upto") > rank - before).agg(F.min("v")).first()[0]
+
+    if not sizes:
+        return None
+    low, high = at(math.floor(position)), at(math.ceil(position))
+    return low if low == high else (math.ceil(position) - position) * low + (position - math.floor(position)) * high
+
+
 def quality_filter(
     docs: DataFrame,
     trusted_keys: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     buckets: int = 16384,
-    max_trusted: int = 20000,
     pass_share: float = 0.995,
+    max_broadcast: int = 500_000,
 ) -> DataFrame:
     """Text rules, llr, threshold and kept for every row.
 
-    ``trusted_keys`` lists keys of good texts; the ``max_trusted`` with the
-    smallest hashes are used, which bounds what is broadcast. The threshold is
+    ``trusted_keys`` lists keys of good texts. All of them count, up to
+    ``max_broadcast`` by a broadcast and more by a shuffle. The threshold is
     the llr that ``pass_share`` of the trusted texts reach that the base rules
     pass (-infinity without any), so the same input always gives the same one.
     """
-    few = trusted_keys.select(F.col(key).alias("k")).filter("k is not null").distinct()
-    few = F.broadcast(few.orderBy(F.xxhash64("k"), "k").limit(max_trusted).withColumn("trusted", F.lit(True)))
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    ratios = log_ratios(texts.join(few, "k", "left"), F.col("trusted"), "text", buckets)
-    scored = ruled(texts.join(few, "k", "left_semi"), "text").withColumn("r_llr", score(F.col("words"), ratios))
-    # a filter would be pushed below the word arrays, which would then be built for each word
-    low = scored.agg(F.percentile(F.when(~F.col("r_base_failed"), F.col("r_llr")), F.lit(1 - pass_share)).alias("low")).first()["low"]
+    k, t, mark = f"c{docs.columns.index(key)}", f"c{docs.columns.index(text)}", f"c{len(docs.columns)}"
+    trusted = stored(trusted_keys.select(F.col(key).alias("trusted_key")).filter("trusted_key is not null").distinct())
+    few = trusted.count() <= max_broadcast
+    flags = trusted.withColumn(mark, F.lit(True)).hint("broadcast" if few else "merge")
+    rows = neutral(docs)
+    rows = rows.join(flags, F.col(k) == F.col("trusted_key"), "left").drop("trusted_key")
+    rows = rows if few else stored(rows)
+    ratios = log_ratios(rows, F.col(mark), t, buckets)
+    # every text is scored once: the threshold comes from what is written
+    scored = stored(ruled(rows, t).withColumn("r_llr", score(F.col("words"), ratios)).drop("words"))
+    low = at_share(scored.filter(F.col(mark) & ~F.col("r_base_failed")).select(F.col("r_llr").alias("v")), 1 - pass_share)
     threshold = float("-inf") if low is None else low
-    out = ruled(docs, text).withColumn("r_llr", score(F.col("words"), ratios)).withColumn("r_threshold", F.lit(threshold))
-    out = out.withColumn("r_kept", ~F.col("r_base_failed") & (F.col("r_llr") >= threshold))
+    kept = ~F.col("r_base_failed") & (F.col("r_llr") >= threshold)
+    out = scored.withColumn("r_threshold", F.lit(threshold)).withColumn("r_kept", kept)
     return restored(out, docs.columns, (*RULES, "llr", "threshold", "kept"))

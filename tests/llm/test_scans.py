@@ -163,3 +163,24 @@ def test_quality_verdict_and_empty_tables(spark, tiny):
     assert sum(r.kept for r in got if r.doc_id in good) > 0.9 * sum(not r.base_failed for r in got if r.doc_id in good)
     none = quality.quality_filter(docs.limit(0), labels.limit(0).select("doc_id"))
     assert none.count() == 0
+
+
+def test_every_trusted_text_counts(spark):
+    """More trusted keys than a sample of 20,000 would have; by broadcast and by shuffle."""
+    good = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(20500).select(F.col("id").alias("doc_id"), F.concat(F.lit(good + " t"), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, good), (-1, "x " * 60)], "doc_id long, text string"))
+    keys = docs.select("doc_id").filter("doc_id >= 0")
+    outs = [{(r.doc_id, r.llr, r.threshold, r.kept) for r in quality.quality_filter(docs, keys, buckets=64, max_broadcast=n).collect()} for n in (10**6, 0)]
+    assert outs[0] == outs[1] and len(outs[0]) == 20502
+    llr = sorted(r[1] for r in outs[0] if r[0] is not None and r[0] >= 0)
+    at = (len(llr) - 1) * (1 - 0.995)
+    want = llr[int(at)] + (llr[int(at) + 1] - llr[int(at)]) * (at - int(at))
+    assert all(abs(r[2] - want) < 1e-12 for r in outs[0])
+
+
+def test_share_of_values_equals_the_percentile(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 9 > 0, F.floor(F.sqrt("id")).cast("double")).alias("v"))
+    for share in (0.0, 0.004, 0.37, 0.5, 1.0):
+        assert quality.at_share(rows, share) == rows.agg(F.percentile("v", F.lit(share))).first()[0]
+    assert quality.at_share(rows.limit(0), 0.5) is None
