@@ -221,19 +221,17 @@ class Lookup:
         del values, order
         bits = max(10, int(np.ceil(np.log2(max(2, len(codes))))) + 1)
         self.shift = np.uint64(64 - bits)
-        self.keys, self.slots = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits)
-        at = self.place(self.codes)
-        self.keys[at], self.slots[at] = self.codes, self.values
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self.place(self.codes)] = np.arange(len(self.codes), dtype=np.int32)
 
     def place(self, codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
-        at = self.place(codes)
-        out = self.slots[at]
-        missed = np.flatnonzero(self.keys[at] != codes)
-        out[missed] = self.values[np.searchsorted(self.codes, codes[missed])]
-        return out
+        at = self.slots[self.place(codes)]
+        missed = np.flatnonzero(self.codes[at] != codes)
+        at[missed] = np.searchsorted(self.codes, codes[missed])
+        return self.values[at]
 
 
 def word_counts(rows: pa.Table, words: pa.Array, counts: np.ndarray) -> Callable[[pa.Array], np.ndarray]:
@@ -282,7 +280,7 @@ def scorer(n: int, v: int, ends: int) -> Callable[[pa.Table, pa.Table], pa.Table
     return score
 
 
-def score_texts(docs: DataFrame, training: Column, text: str = "text", part_bytes: int = 28_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column, text: str = "text", part_bytes: int = 20_000_000) -> DataFrame:
     """The columns of ``docs`` besides the text, and ``RESULTS``: the words' counts and base score, and the model's log10 probability.
 
     The model learns from the rows that ``training`` marks and scores all of them.

@@ -281,3 +281,12 @@ def test_toxicity_thresholds_from_all_rows_not_fitted(spark):
         return 2 * hit / (hit + wrong + total[1])
 
     assert f1(trained.thresholds["en"]) > max(f1(g / 100) for g in range(20, 81)) - 1e-9
+
+
+def test_lookup_is_small_and_right():
+    rng = np.random.default_rng(1)
+    codes = np.unique(rng.integers(0, 1 << 48, 1_100_000).astype(np.uint64))
+    values = rng.random(len(codes))
+    look = ppm.Lookup(codes, values)
+    assert (look(codes[::-1]) == values[::-1]).all()
+    assert sum(x.nbytes for x in vars(look).values() if isinstance(x, np.ndarray)) < 40 * len(codes)  # 77 with keys and values in the slots
