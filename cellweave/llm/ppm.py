@@ -102,8 +102,11 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     code, n = (np.concatenate([p[i] for p in parts]) for i in range(2))
-    code, at = np.unique(code, return_inverse=True)
-    return code, np.bincount(at, n, len(code)).astype(np.int64)
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(code) else n
 
 
 def holdings(rows: pa.Table, part: int) -> pa.RecordBatch:
@@ -111,10 +114,13 @@ def holdings(rows: pa.Table, part: int) -> pa.RecordBatch:
     codes, words, trained = [], [pa.array([], pa.large_string())], [np.zeros(0, np.int64)]
     for training in (True, False):
         for _, texts in slices(rows.filter(pc.equal(rows["training"], training))["text"].combine_chunks()):
+            new = []
             for code, _ in grams(texts):
                 got, n = np.unique(code, return_counts=True)
-                codes.append((got, n if training else np.zeros(len(got), np.int64)))
-            codes = [merged(codes)]
+                new.append((got, n if training else np.zeros(len(got), np.int64)))
+            new = merged(new)
+            codes = [merged([*codes, new])]
+            del new
             found = token_words(texts)[0].value_counts()
             words.append(found.field("values"))
             trained.append(found.field("counts").to_numpy() if training else np.zeros(len(found), np.int64))

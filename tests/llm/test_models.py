@@ -290,3 +290,10 @@ def test_lookup_is_small_and_right():
     look = ppm.Lookup(codes, values)
     assert (look(codes[::-1]) == values[::-1]).all()
     assert sum(x.nbytes for x in vars(look).values() if isinstance(x, np.ndarray)) < 40 * len(codes)  # 77 with keys and values in the slots
+
+
+def test_merged_counts():
+    parts = [(np.array([3, 1, 3], np.uint64), np.array([2, 0, 5])), (np.array([1, 9], np.uint64), np.array([4, 0]))]
+    code, n = ppm.merged(parts)
+    assert code.tolist() == [1, 3, 9] and n.tolist() == [4, 7, 0] and ppm.merged([parts[0]])[1].dtype == np.int64
+    assert [len(x) for x in ppm.merged([(np.zeros(0, np.uint64), np.zeros(0, np.int64))])] == [0, 0]
