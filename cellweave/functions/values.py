@@ -13,11 +13,10 @@ GRID_ID = r"^CRS3035RES([0-9]+)mN([0-9]+)E([0-9]+)$"
 
 
 def parse_value(raw: Column, missing: tuple[str, ...] = ()) -> Column:
-    """Text -> double. Markers of the release outrank nil dashes; what is no plain numeral is NULL."""
+    """Text -> double. Markers of the release outrank nil dashes; what is no plain numeral, unknown markers too, is NULL."""
     text = F.trim(raw)
     plain = F.replace(text, F.lit(","), F.lit("."))
-    value = F.when(plain.rlike(NUMERAL), plain.try_cast("double"))
-    value = F.when(text.isin(*UNKNOWN), None).when(text.isin(*NIL), F.lit(0.0)).otherwise(value)
+    value = F.when(plain.rlike(NUMERAL), plain.try_cast("double")).when(text.isin(*NIL), F.lit(0.0))
     return F.when(text.isin(*missing), None).otherwise(value) if missing else value
 
 

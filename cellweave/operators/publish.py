@@ -23,14 +23,18 @@ TILE = "count int, cells array<bigint>, lon array<double>, lat array<double>, me
 
 
 def described(cells_: DataFrame, resolutions: tuple[int, ...], tiled: tuple[int, ...] = TILED) -> DataFrame:
-    """(res, cell) -> order, tile (none where the level isn't cut) and centre in metres of every cell."""
-    parts = []
-    for r in resolutions:
-        x, y = cells.centre(F.col("cell"), r)
-        one = cells_.filter(F.col("res") == r)
-        one = cells.with_parent(one, "cell", r, cells.TILE_RES, "tile") if r in tiled else one.withColumn("tile", F.lit(None).cast("long"))
-        parts.append(one.select(F.lit(r).alias("res"), "cell", "tile", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat")))
-    return align.universe_order(reduce(DataFrame.unionByName, parts)).select(*PLACE)
+    """(res, cell) -> order, tile (none where the level isn't cut) and centre in metres of every cell.
+
+    Only ids are put in order; the rest is taken from them afterwards.
+    """
+    rows = align.universe_order(cells_.filter(F.col("res").isin(*resolutions)).select(F.col("res").cast("int").alias("res"), "cell"))
+    cut = [r for r in resolutions if r in tiled]
+    for r in cut:
+        rows = cells.with_parent(rows, "cell", r, cells.TILE_RES, f"_t{r}")
+    by_res = lambda of: F.coalesce(*[F.when(F.col("res") == r, of(r)) for r in resolutions])
+    x, y = (by_res(lambda r, i=i: F.round(cells.centre(F.col("cell"), r)[i], 6)) for i in (0, 1))
+    tile = F.coalesce(F.lit(None).cast("long"), *[F.when(F.col("res") == r, F.col(f"_t{r}")) for r in cut])
+    return rows.select("res", "cell", "ord", tile.alias("tile"), x.alias("lon"), y.alias("lat")).select(*PLACE)
 
 
 def tiles(store: Store) -> DataFrame:

@@ -15,6 +15,7 @@ from cellweave.operators.pool import MetricSpec
 from cellweave.plans import atlas as at
 from cellweave.plans.registry import cell_sql, parent_sql, query
 from cellweave.sources import files
+from cellweave.sources.shared import stored
 from cellweave.sources.store import Store, fixed_universe
 
 BASE, UP = 10, [9, 8, 7]
@@ -83,24 +84,33 @@ def columns_of(m: Metric) -> dict[str, dict]:
 def pooled_sums(spark: SparkSession, paths: dict[str, str], metrics: tuple[Metric, ...]) -> DataFrame:
     """(res, cell, sums): every metric at every level. Metrics of one file, weights and treatment of markers share its scan.
 
-    All rules and the categories go through the same two aggregations, each with a map-side part: by cell of the base level, then by cell of every level.
+    The grid has about one square for each cell, so rows of all files are dealt out by cell as they are, each with the
+    number of its scan and only that scan's sums; all rules and the categories then go through one aggregation. Each
+    further level is pooled from the one below it, which is written first.
     """
     scans: dict[tuple, list[Metric]] = {}
     for m in metrics:
         scans.setdefault((m.file, m.weights, m.missing, m.encoding), []).append(m)
-    parts, names = [], []
-    for (file, weights, missing, encoding), own in scans.items():
+    by_grid = {w: stored(files.scan_weights(spark, paths[w[0]], w[1]).withColumnRenamed("weight", "_weight")) for w in dict.fromkeys(m.weights for m in metrics if m.weights)}
+    parts, sums = [], {}
+    for i, ((file, weights, missing, encoding), own) in enumerate(scans.items()):
         columns = list(dict.fromkeys(c for m in own for c in read_by(m.spec)))
         rows = files.scan_grid_csv(spark, paths[file], columns, encoding=encoding, missing=missing)
         if weights:
-            rows = rows.join(files.scan_weights(spark, paths[weights[0]], weights[1]).withColumnRenamed("weight", "_weight"), "grid_id", "left")
-        rows = cells.with_cell(rows.filter(values.usable_coordinates(F.col("x"), F.col("y"))), "x", "y", BASE)
+            rows = rows.join(by_grid[weights].hint("shuffle_hash"), "grid_id", "left")  # one row for each square
+        # after the cell: a filter before it would parse the coordinates a second time
+        rows = cells.with_cell(rows, "x", "y", BASE).filter(values.usable_coordinates(F.col("x"), F.col("y")))
         adds = {k: v for m in own for k, v in sums_of(m.spec, m.name).items()}
-        names += adds
-        parts.append(rows.select("cell", *[v.alias(k) for k, v in adds.items()]))
+        sums |= {k: F.sum(F.when(F.col("_scan") == i, F.col(f"_v{j}"))) for j, k in enumerate(adds)}
+        parts.append(rows.select("cell", F.lit(i).alias("_scan"), *[v.alias(f"_v{j}") for j, v in enumerate(adds.values())]))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    base = rows.groupBy("cell").agg(*[F.sum(c).alias(c) for c in names])
-    return pool.levels(base, BASE, UP).groupBy("res", "cell").agg(*[F.sum(c).alias(c) for c in names])
+    level = stored(rows.repartition("cell").groupBy("cell").agg(*[v.alias(k) for k, v in sums.items()]))
+    levels = [level.select(F.lit(BASE).alias("res"), "*")]
+    for below, r in zip([BASE, *UP], UP, strict=False):
+        up = cells.with_parent(level, "cell", below, r, "_up")
+        level = stored(up.groupBy(F.col("_up").alias("cell")).agg(*[F.sum(c).alias(c) for c in sums]))
+        levels.append(level.select(F.lit(r).alias("res"), "*"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def run(store: Store, paths: dict[str, str], metrics: tuple[Metric, ...] = METRICS) -> dict:

@@ -20,6 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written once to the shared folder and read again."""
+    path = f"{shared_dir(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def stored_in_ranges(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows, written once in ranges of ``keys`` that Spark samples, with the range's number as _r.
 

@@ -1,8 +1,13 @@
 """The census run from files by hand: rules, categories, the fixed universe, and a later run."""
 
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave.functions import cells
 from cellweave.operators import publish
 from cellweave.operators.pool import MetricSpec
 from cellweave.plans import census
@@ -62,3 +67,25 @@ def test_a_later_run_keeps_the_universe_and_the_other_metrics(atlas):
         assert {m: v for m, v in r.metrics.items() if m != "new"} == tiles[r.res, r.tile]
     assert {m for r in publish.tiles(store).collect() for m in r.metrics} == {"population_2022", "age_mean", "heating_category", "heating_dominance", "new"}
     assert {(r.metric, r.n) for r in publish.table(store, "stats").filter("res = 9").collect()} == {("population_2022", 2), ("age_mean", 1), ("heating_category", 2), ("heating_dominance", 2), ("new", 1)}
+
+
+def test_ancestors_of_many_steps_are_compiled_and_equal_single_steps(spark):
+    rows = spark.range(40000).select((F.col("id") % 200 * 100.0 + 4200050).alias("x"), (F.floor(F.col("id") / 200) * 100.0 + 2800050).alias("y"))
+    rows = cells.with_cell(rows, "x", "y", 10).select("cell").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    for to in (7, 6, 5):
+        single = rows.select("cell", F.col("cell").alias("p"))
+        for r in range(10, to, -1):
+            single = cells.with_parent(single, "p", r, r - 1, "p")
+        both = cells.with_parent(single, "cell", 10, to, "q")
+        assert both.filter(~F.col("p").eqNullSafe(F.col("q"))).isEmpty() and both.filter("q is null").count() == 1
+    printed = io.StringIO()
+    with contextlib.redirect_stdout(printed):
+        cells.with_parent(rows, "cell", 10, 5, "q").explain("codegen")
+    assert all(int(n) < 8000 for n in re.findall(r"maxMethodCodeSize:(\d+)", printed.getvalue()))  # the JVM compiles no larger method; this one had 10,242 bytes
+
+
+def test_a_square_without_usable_coordinates_is_left_out_of_the_pooling(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("GITTER_ID_100m;x_mp_100m;y_mp_100m;Einwohner\na;4300050;3000050;7\nb;0;3000050;8\nc;4300050;0;9\nd;x;.;10\n")
+    sums = census.pooled_sums(spark, {"people": str(path)}, census.METRICS[:1])
+    assert sorted((r.res, r.population_2022_num, r.population_2022_den) for r in sums.collect()) == [(r, 7.0, 1.0) for r in (7, 8, 9, 10)]
