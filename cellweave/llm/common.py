@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def constant_array(values: list[float]) -> Column:
     return F.split(F.lit(" ".join(repr(float(v)) for v in values)), " ").cast("array<double>")
 
 
+def held_arrays(spark: SparkSession, rows: list[list[float]]) -> list[Column]:
+    """Bounded lists of doubles, each read from a one-row table by a scalar subquery.
+
+    A literal's values are written out in every description of the plan that
+    Spark's listeners keep, at each step of adaptive execution again.
+    """
+    table = spark.createDataFrame(pa.table({f"a{i}": pa.array([r], pa.list_(pa.float64())) for i, r in enumerate(rows)}))
+    return [table.select(c).scalar() for c in table.columns]
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -25,7 +25,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import constant_array, free_name, stored, whole, words
+from .common import free_name, held_arrays, stored, whole, words
 
 MAX_DOMAINS = 16
 
@@ -65,7 +65,7 @@ def memberships(docs: DataFrame, model: Classifier, key: str = "doc_id", text: s
     rows = docs.select(F.col(key).alias("_k"), F.xxhash64(whole(text)).alias("_h"), F.explode(F.concat(F.array(F.lit("")), words(whole(text)))).alias("_w"))
     real = F.col("_w") != ""
     rows = rows.select("_k", "_h", real.alias("_real"), bucket(F.col("_w"), size).alias("_b"))
-    sums = [F.sum(F.when(F.col("_real"), F.get(constant_array(logs), F.col("_b")))).alias(f"s_{i}") for i, logs in enumerate(model.logs)]
+    sums = [F.sum(F.when(F.col("_real"), F.get(logs, F.col("_b")))).alias(f"s_{i}") for i, logs in enumerate(held_arrays(docs.sparkSession, model.logs))]
     grouped = rows.groupBy("_k", "_h").agg(F.sum((~F.col("_real")).cast("long")).alias("rows"), F.count_if("_real").alias("_n"), *sums)
     n = F.col("_n") / F.col("rows")
     weight = n * evidence / (n + evidence)

@@ -1,5 +1,6 @@
 """Near duplicates, decontamination, mixing, line chunks, sharding and the pipeline."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -7,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate, line_chunks, minhash, mixing, sharding
 
@@ -239,3 +241,17 @@ def test_pipeline_stages(spark, tiny):
         else:
             assert now.columns == before and (m >= n if name == "mixing" else 0 < m < n)
         n = m
+
+
+def test_mixing_writes_no_model_into_its_plan(spark):
+    """A description of the plan is kept by the driver for each execution and each of its steps."""
+    docs = spark.createDataFrame([(i, f"word{i} and word{i % 7}", "abcd"[i % 4]) for i in range(40)], "doc_id long, text string, lang string")
+    model = mixing.train(docs, "lang")
+    members = mixing.memberships(docs, model)
+    assert len(members._jdf.queryExecution().toString()) < 200_000
+    place = {r.w: r.b for r in spark.createDataFrame([("word5",), ("and",)], "w string").select("w", mixing.bucket(F.col("w"), len(model.logs[0])).alias("b")).collect()}
+    first = members.filter("doc_id = 5").first()
+    words = [place["word5"], place["and"], place["word5"]]
+    logit = [sum(logs[b] for b in words) / 3 * (3 * 50 / 53) + math.log(p) for logs, p in zip(model.logs, model.prior, strict=True)]
+    powers = [math.exp(x - max(logit)) for x in logit]
+    assert [first[f"p_{i}"] for i in range(4)] == pytest.approx([p / sum(powers) for p in powers])
